@@ -46,12 +46,12 @@ def text_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *m
     return df.select(F.col(id_col), F.col(text_col).cast("binary").alias("_bytes"), *[F.col(c) for c in more])
 
 
-def slices(batch: pa.RecordBatch, bytes_col: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no piece holds much more than BATCH_BYTES of text."""
+def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES, bytes_col: int = 1) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that no piece holds much more than `most` bytes of text."""
     lengths = pc.fill_null(pc.binary_length(batch.column(bytes_col)), 0).to_pylist()
     start, size = 0, 0
     for i, n in enumerate(lengths):
-        if i > start and (size + n > BATCH_BYTES or i - start >= BATCH_ROWS):
+        if i > start and (size + n > most or i - start >= BATCH_ROWS):
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += n
@@ -78,7 +78,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
     return df.mapInArrow(run, kind)
 
 
-def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType) -> DataFrame:
+def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType, most: int = BATCH_BYTES) -> DataFrame:
     """As map_rows, with a function of a whole bounded piece that returns columns by name."""
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
@@ -86,9 +86,9 @@ def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most):
                 out = f(piece)
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([v if isinstance(v := out[x.name], pa.Array) else pa.array(v, x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .decontaminate import contamination
 from .mpeg_audio import probe_media, store_texts
+from .packing import pack_pieces
 from .secrets_scan import BASE, scan_secrets
+from .tokens import count_tokens, encode_pieces
 
 
 def of_kinds(kinds) -> Column:
@@ -33,8 +37,35 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe_media(store_texts(read_table(spark, sf_dir, "documents")), "doc_id", "media", "n_bytes")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    hashed = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), hashed, "contaminated")
+
+
+#: Vocabulary files of the token queries, as the tokenizers' own index names them.
+BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
+TOKEN_LIMIT, SEQUENCE_TOKENS = 512, 2048
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    return pack_pieces(encode_pieces(docs, public_tokenizers.path(WORD_VOCABULARY), SEQUENCE_TOKENS, end_id=0), SEQUENCE_TOKENS)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_decontamination": op3_decontamination,
     "op7_media_columns": op7_media_columns,
+    "op8_token_counts": op8_token_counts,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
