@@ -10,6 +10,8 @@ from .common import read_table
 from .decontaminate import contamination
 from .mpeg_audio import probe_media, store_texts
 from .packing import pack_pieces
+from .pii import BASE as PII_BASE
+from .pii import find_personal
 from .secrets_scan import BASE, scan_secrets
 from .tokens import count_tokens, encode_pieces
 
@@ -61,11 +63,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(find_personal(read_table(spark, sf_dir, "documents")), PII_BASE)
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontamination": op3_decontamination,
     "op7_media_columns": op7_media_columns,
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {}
