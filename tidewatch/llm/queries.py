@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, quality
 from .common import read_table
 from .decontaminate import contamination
+from .langid import held_out
 from .mpeg_audio import probe_media, store_texts
 from .packing import pack_pieces
 from .pii import BASE as PII_BASE
@@ -35,6 +37,23 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(scan_secrets(read_table(spark, sf_dir, "documents")), BASE)
 
 
+QUALITY_THRESHOLD = 0.7
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    kept_out = held_out("doc_id", 4, 2)
+    scored = quality.score_quality(docs, quality.train_on(docs, labels.where(~kept_out)))
+    return scored.select("doc_id", kept_out.alias("held_out"), F.round("score", 6).alias("score"), (F.round("score", 6) >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    kept_out = held_out("doc_id", 5, 0)
+    found = langid.identify(docs, langid.train_on(docs.where(~kept_out)))
+    return found.select("doc_id", kept_out.alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe_media(store_texts(read_table(spark, sf_dir, "documents")), "doc_id", "media", "n_bytes")
 
@@ -70,6 +89,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontamination": op3_decontamination,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_language_id": op6_language_id,
     "op7_media_columns": op7_media_columns,
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
