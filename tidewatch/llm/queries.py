@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import langid, licenses, quality
 from .common import read_table
 from .decontaminate import contamination
 from .langid import held_out
@@ -33,6 +33,10 @@ def span_digest(found: DataFrame, kinds) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(of_kinds(kinds)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(scan_secrets(read_table(spark, sf_dir, "documents")), BASE)
 
@@ -87,6 +91,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_secret_scan": op2_secret_scan,
     "op3_decontamination": op3_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
@@ -96,4 +101,4 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle_sql()}
