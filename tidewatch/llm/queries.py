@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import langid, licenses, quality
 from .common import read_table
 from .decontaminate import contamination
+from .jaccard import link_documents
 from .langid import held_out
 from .mpeg_audio import probe_media, store_texts
 from .packing import pack_pieces
@@ -51,6 +52,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", kept_out.alias("held_out"), F.round("score", 6).alias("score"), (F.round("score", 6) >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     kept_out = held_out("doc_id", 5, 0)
@@ -95,6 +100,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontamination": op3_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
     "op7_media_columns": op7_media_columns,
     "op8_token_counts": op8_token_counts,
