@@ -209,6 +209,19 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(smallest, "label", "left").select(id_col, F.col("n").alias("n_shingles"), least.alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are the smallest id of their class; rows with a null id stay, of equal rows one stays."""
+    found = materialise(link_documents(docs, id_col, text_col), "classes")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
+    repeated = materialise(found.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id_col).alias("_id")), "repeated")
+    if not repeated.limit(1).count():  # the usual case: ids are unique, and no text needs to be shuffled
+        return kept
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates())
+
+
 def join_blocks(stars: DataFrame, labels: DataFrame, texts_of) -> DataFrame | None:
     """Links between different classes of large groups; None if each such group is one class already.
 
