@@ -4,10 +4,12 @@
 2. A count sketch of fixed size over all documents gives every n-gram a frequency class; n-grams are ordered by class,
    then hash, so rare ones come first everywhere. Two linked sets of size n and m share one of the first
    n - ceil(t n) + 1 n-grams of both: only these go into buckets. The sketch changes the work, never the result.
-3. A bucket's smallest node is its pivot. All buckets of a pivot are one group of nodes, in which a trie join finds the
-   links. A large group is dealt into bounded chunks that each hold the pivot too; where a large group has not become
-   one class after that, its blocks of different classes are joined pairwise. So every pair that shares a bucket has
-   been compared or is already in one class.
+3. A bucket's smallest node is its pivot. All buckets of a pivot are one group of nodes. A large group is dealt into
+   bounded chunks that each hold the pivot too. In a group only the first n-grams travel at first: what two sets share
+   there, and the lengths that remain, bound their overlap, and the group falls apart into the sets that may be linked.
+   Only their texts are brought together, for a trie join. Where a large group has not become one class after that, its
+   blocks of different classes are joined pairwise in the same way. So every pair that shares a bucket has been ruled
+   out, compared, or is already in one class.
 4. Classes come from label propagation with pointer jumping over links to the smallest node of each local class.
 
 Defined results: a null or blank text has no n-grams and is linked with nothing; a text of fewer than n words has one
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_pieces, materialise, text_bytes
-from .trie import link_group
+from .trie import Union, link_group
 from .words import NOT_SPACE, gram_hashes, join_texts, mix, word_hashes
 
 WORDS = 4
@@ -61,7 +63,7 @@ def node_id(grams: np.ndarray) -> int:
 
 
 def sketch_classes(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """A frequency class, 0 to 255, for each slot of the sketch: all n-grams of all documents are counted."""
+    """A frequency class, 0 to 127, for each slot of the sketch: all n-grams of all documents are counted."""
 
     def run(batches):
         counts = np.zeros(SKETCH, np.uint32)
@@ -86,7 +88,7 @@ def sketch_classes(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
         total = np.zeros(SKETCH_ROW, np.uint64)
         for x in table.column("counts").to_pylist():
             total += np.frombuffer(x, np.uint32)
-        step = np.minimum(255, 4 * np.log2(total + 1.0)).astype(np.uint8)
+        step = np.minimum(127, 4 * np.log2(total + 1.0)).astype(np.uint8)
         return pa.table({"part": table.column("part")[:1], "classes": pa.array([step.tobytes()], pa.binary())})
 
     classes = np.zeros((SKETCH // SKETCH_ROW, SKETCH_ROW), np.uint8)
@@ -95,6 +97,11 @@ def sketch_classes(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     return classes.ravel()
 
 
+def ordered(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """N-grams as numbers in the global order: the frequency class, then 55 bits of the hash."""
+    return rank[(grams >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(55) | grams >> np.uint64(9)
+
+
 def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n, node, prefix): set size, node and the rarest n-grams of every document."""
     classes = docs.sparkSession.sparkContext.broadcast(sketch_classes(docs, id_col, text_col))
@@ -113,8 +120,7 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     prefixes.append(None)
                     continue
                 take = n + (-NUMERATOR * n // DENOMINATOR) + 1  # n - ceil(t n) + 1
-                order = np.lexsort((grams, rank[(grams >> np.uint64(44)).astype(np.int64)]))[:take]
-                prefixes.append(grams[order].view(np.int64))
+                prefixes.append(np.sort(ordered(grams, rank))[:take].view(np.int64))
             return {id_col: keys, "n": sizes, "node": nodes, "prefix": prefixes}
 
         return piece
@@ -122,16 +128,78 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_pieces(text_bytes(docs, id_col, text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, n long, node long, prefix array<long>", PIECE_BYTES)
 
 
-def join_groups(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (node, root) of every group: members has pivot, part, node and label; texts has node and text."""
-    rows = members.join(texts, "node").select("pivot", "part", "node", "label", "_bytes").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "node")
+def possible(prefixes: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """Which pairs may be linked, from the first n-grams alone.
+
+    Up to the smaller of the last n-grams that are known of both, the overlap is counted; beyond it, it is at most what
+    is left of the shorter rest.
+    """
+    values, inverse = np.unique(np.concatenate(prefixes), return_inverse=True)
+    has = np.zeros((len(prefixes), len(values)), np.float32)
+    lengths = [len(p) for p in prefixes]
+    has[np.repeat(np.arange(len(prefixes)), lengths), inverse] = 1
+    shared = (has @ has.T).astype(np.int64)
+    last = np.array([p[-1] for p in prefixes])
+    before = np.stack([np.searchsorted(p, last, side="right") for p in prefixes])  # of i, up to the last of j
+    rest = np.array(sizes)[:, None] - before
+    most = shared + np.minimum(rest, rest.T)
+    total = np.add.outer(np.array(sizes), np.array(sizes))
+    return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * total
+
+
+def runs(batches, keys: int):
+    """(key, rows) of each run of equal first `keys` columns."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != key:
+                if held:
+                    yield key, held
+                key, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield key, held
+
+
+def candidate_groups(members: DataFrame, unique: DataFrame) -> DataFrame:
+    """(group, node, label): the sets of each group that may be linked, each connected part a group of its own.
+
+    members has pivot, part, node and label; parts with the same nodes come out as one group.
+    """
+    rows = members.join(unique.select("node", "n", "prefix"), "node").select("pivot", "part", "node", "label", "n", "prefix")
+    rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "node")
 
     def run(batches):
-        key, nodes, labels, held = None, [], [], []
+        for _, held in runs(batches, 2):
+            held = [x for i, x in enumerate(held) if not i or x[0] != held[i - 1][0]]
+            if len(held) < 2:
+                continue
+            nodes, labels, sizes, prefixes = zip(*held, strict=True)
+            maybe = possible([np.array(p, np.int64) for p in prefixes], list(sizes))
+            union = Union(range(len(nodes)))
+            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(maybe, 1))), strict=True):
+                union.join(i, j)
+            parts: dict[int, list[int]] = {}
+            for i in range(len(nodes)):
+                parts.setdefault(union.root(i), []).append(i)
+            good = [x for x in parts.values() if len({labels[i] for i in x}) > 1]
+            if good:
+                names = [node_id(np.array([nodes[i] for i in x], np.int64)) for x in good]
+                flat = [(name, nodes[i], labels[i]) for name, x in zip(names, good, strict=True) for i in x]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], names=["group", "node", "label"])
+
+    return materialise(rows.mapInArrow(run, "group long, node long, label long").distinct(), "candidates")
+
+
+def join_groups(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (node, root) inside every group: groups has group, node and label; texts has node and text."""
+    rows = groups.join(texts, "node").select("group", "node", "label", "_bytes").repartition("group").sortWithinPartitions("group", "node")
 
-        def links():
-            sets = gram_sets(held)
-            good = [i for i, x in enumerate(sets) if node_id(x) == nodes[i]]  # an id that is used for other texts as well
+    def run(batches):
+        for _, held in runs(batches, 1):
+            nodes, labels, data = zip(*held, strict=True)
+            sets = gram_sets([x or b"" for x in data])
+            good = [i for i, x in enumerate(sets) if node_id(x) == nodes[i]]  # an id may be used for other texts as well
             union = link_group([sets[i] for i in good], [labels[i] for i in good], NUMERATOR, DENOMINATOR)
             least: dict[int, int] = {}
             for j, i in enumerate(good):
@@ -139,21 +207,9 @@ def join_groups(members: DataFrame, texts: DataFrame) -> DataFrame:
                 least[r] = min(least.get(r, nodes[i]), nodes[i])
             pairs = {(nodes[i], least[union.root(j)]) for j, i in enumerate(good)}
             pairs = [(a, b) for a, b in pairs if a != b]
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["node", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["node", "root"])
 
-        for batch in batches:
-            for pivot, part, node, label, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (pivot, part) != key:
-                    if len(nodes) > 1:
-                        yield links()
-                    key, nodes, labels, held = (pivot, part), [], [], []
-                nodes.append(node)
-                labels.append(label)
-                held.append(data or b"")
-        if len(nodes) > 1:
-            yield links()
-
-    return rows.mapInArrow(run, "node long, root long")
+    return materialise(rows.mapInArrow(run, "node long, root long"), "links")
 
 
 def classes_of(links: DataFrame) -> DataFrame:
@@ -172,9 +228,9 @@ def classes_of(links: DataFrame) -> DataFrame:
         labels = new
 
 
-def pick_texts(docs: DataFrame, prepared: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def pick_texts(docs: DataFrame, unique: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, text) of one document for each node."""
-    ids = materialise(prepared.where(F.col(id_col).isNotNull()).join(nodes, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias(id_col)), "ids")
+    ids = materialise(unique.select(id_col, "node").join(nodes, "node", "left_semi"), "ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return text_bytes(docs, id_col, text_col).join(side, id_col).select("node", "_bytes")
 
@@ -182,24 +238,27 @@ def pick_texts(docs: DataFrame, prepared: DataFrame, nodes: DataFrame, id_col: s
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): set size and the smallest id reachable by links, for every row."""
     prepared = materialise(prepare(docs, id_col, text_col), "prepared")
-    tokens = prepared.select(F.explode("prefix").alias("token"), "node", "n")
+    first = prepared.where(F.col("prefix").isNotNull()).groupBy("node").agg(F.min(id_col).alias(id_col))
+    unique = prepared.join(first, ["node", id_col], "left_semi")  # a node's copies go no further
+    tokens = unique.select(F.explode("prefix").alias("token"), "node", "n")
     buckets = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("token", "pivot")
     stars = materialise(tokens.join(buckets, "token").where("node <> pivot").select("pivot", "node", "n").distinct(), "stars")
     chunks = F.greatest(F.ceil(F.count("*") / GROUP_NODES), F.ceil(F.sum("n") / GROUP_GRAMS)).cast("int")
     sizes = stars.groupBy("pivot").agg(chunks.alias("_chunks"))
     dealt = stars.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("string").alias("part"), "node")
     pivots = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1).cast("array<string>")).alias("part"), F.col("pivot").alias("node"))
-    members = dealt.unionByName(pivots).withColumn("label", F.col("node"))
-    nodes = stars.select("node").unionByName(stars.select(F.col("pivot").alias("node"))).distinct()
-    texts = pick_texts(docs, prepared, nodes, id_col, text_col)
-    links = materialise(join_groups(members, texts), "links")
-    labels = classes_of(links)
 
+    def links_of(members: DataFrame) -> DataFrame:
+        groups = candidate_groups(members, unique)
+        return join_groups(groups, pick_texts(docs, unique, groups.select("node").distinct(), id_col, text_col))
+
+    links = links_of(dealt.unionByName(pivots).withColumn("label", F.col("node")))
+    labels = classes_of(links)
     large = sizes.where("_chunks > 1").select("pivot")
     if large.limit(1).count():
-        more = join_blocks(stars.join(large, "pivot", "left_semi"), labels, lambda nodes: pick_texts(docs, prepared, nodes, id_col, text_col))
-        if more is not None:
-            labels = classes_of(links.unionByName(more))
+        members = block_members(stars.join(large, "pivot", "left_semi"), labels)
+        if members is not None:
+            labels = classes_of(links.unionByName(links_of(members)))
 
     rows = prepared.select(id_col, "n", "node").join(labels, "node", "left")
     # Rows without n-grams have no node and stay alone.
@@ -222,8 +281,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates())
 
 
-def join_blocks(stars: DataFrame, labels: DataFrame, texts_of) -> DataFrame | None:
-    """Links between different classes of large groups; None if each such group is one class already.
+def block_members(stars: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Members (pivot, part, node, label) that bring different classes of large groups together; None if each is one class.
 
     A class is dealt into blocks of bounded size, small classes of a group share blocks; pairs of blocks are joined
     except where both are of one class.
@@ -250,5 +309,4 @@ def join_blocks(stars: DataFrame, labels: DataFrame, texts_of) -> DataFrame | No
     pairs = names.join(other, "pivot").where((F.col("block") <= F.col("_other")) & ~F.coalesce(F.col("_only") == F.col("_other_only"), F.lit(False)))
     part = F.concat_ws("|", "block", "_other").alias("part")
     wanted = pairs.select("pivot", "block", part).unionByName(pairs.where("block <> _other").select("pivot", F.col("_other").alias("block"), part))
-    members = blocks.join(wanted, ["pivot", "block"]).select("pivot", "part", "node", "label")
-    return materialise(join_groups(members, texts_of(open_to.select("node").distinct())), "links")
+    return blocks.join(wanted, ["pivot", "block"]).select("pivot", "part", "node", "label")
