@@ -5,8 +5,9 @@
    then hash, so rare ones come first everywhere. Two linked sets of size n and m share one of the first
    n - ceil(t n) + 1 n-grams of both: only these go into buckets. The sketch changes the work, never the result.
 3. A bucket's smallest node is its pivot. All buckets of a pivot are one group of nodes. A large group is dealt into
-   bounded chunks that each hold the pivot too. In a group only the first n-grams travel at first: what two sets share
-   there, and the lengths that remain, bound their overlap, and the group falls apart into the sets that may be linked.
+   bounded chunks that each hold the pivot too. In a group only the n-grams that stand in some bucket travel at first:
+   how many of them two sets share, and the lengths that remain, bound their overlap, and the group falls apart into
+   the sets that may be linked.
    Only their texts are brought together, for a trie join. Where a large group has not become one class after that, its
    blocks of different classes are joined pairwise in the same way. So every pair that shares a bucket has been ruled
    out, compared, or is already in one class.
@@ -128,23 +129,19 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_pieces(text_bytes(docs, id_col, text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, n long, node long, prefix array<long>", PIECE_BYTES)
 
 
-def possible(prefixes: list[np.ndarray], sizes: list[int]) -> np.ndarray:
-    """Which pairs may be linked, from the first n-grams alone.
+def possible(shared: list[list[int]], sizes: list[int]) -> np.ndarray:
+    """Which pairs may be linked, from the n-grams that the first parts of two sets have in common.
 
-    Up to the smaller of the last n-grams that are known of both, the overlap is counted; beyond it, it is at most what
-    is left of the shorter rest.
+    The first part that ends sooner in the order holds all of the overlap up to there; what follows in that set is one
+    n-gram less than the least overlap, ceil(t n). So the overlap is at most the count in common and the larger rest.
     """
-    values, inverse = np.unique(np.concatenate(prefixes), return_inverse=True)
-    has = np.zeros((len(prefixes), len(values)), np.float32)
-    lengths = [len(p) for p in prefixes]
-    has[np.repeat(np.arange(len(prefixes)), lengths), inverse] = 1
-    shared = (has @ has.T).astype(np.int64)
-    last = np.array([p[-1] for p in prefixes])
-    before = np.stack([np.searchsorted(p, last, side="right") for p in prefixes])  # of i, up to the last of j
-    rest = np.array(sizes)[:, None] - before
-    most = shared + np.minimum(rest, rest.T)
-    total = np.add.outer(np.array(sizes), np.array(sizes))
-    return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * total
+    values, inverse = np.unique(np.concatenate(shared), return_inverse=True)
+    has = np.zeros((len(shared), len(values)), np.float32)
+    has[np.repeat(np.arange(len(shared)), [len(x) for x in shared]), inverse] = 1
+    n = np.array(sizes)
+    rest = -(-NUMERATOR * n // DENOMINATOR) - 1
+    most = (has @ has.T).astype(np.int64) + np.maximum.outer(rest, rest)
+    return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * np.add.outer(n, n)
 
 
 def runs(batches, keys: int):
@@ -161,12 +158,13 @@ def runs(batches, keys: int):
         yield key, held
 
 
-def candidate_groups(members: DataFrame, unique: DataFrame) -> DataFrame:
+def candidate_groups(members: DataFrame, grams: DataFrame) -> DataFrame:
     """(group, node, label): the sets of each group that may be linked, each connected part a group of its own.
 
-    members has pivot, part, node and label; parts with the same nodes come out as one group.
+    members has pivot, part, node and label; grams has node, n and its bucketed n-grams; parts with the same nodes come
+    out as one group.
     """
-    rows = members.join(unique.select("node", "n", "prefix"), "node").select("pivot", "part", "node", "label", "n", "prefix")
+    rows = members.join(grams, "node").select("pivot", "part", "node", "label", "n", "grams")
     rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "node")
 
     def run(batches):
@@ -174,8 +172,8 @@ def candidate_groups(members: DataFrame, unique: DataFrame) -> DataFrame:
             held = [x for i, x in enumerate(held) if not i or x[0] != held[i - 1][0]]
             if len(held) < 2:
                 continue
-            nodes, labels, sizes, prefixes = zip(*held, strict=True)
-            maybe = possible([np.array(p, np.int64) for p in prefixes], list(sizes))
+            nodes, labels, sizes, shared = zip(*held, strict=True)
+            maybe = possible(list(shared), list(sizes))
             union = Union(range(len(nodes)))
             for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(maybe, 1))), strict=True):
                 union.join(i, j)
@@ -228,9 +226,10 @@ def classes_of(links: DataFrame) -> DataFrame:
         labels = new
 
 
-def pick_texts(docs: DataFrame, unique: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def pick_texts(docs: DataFrame, prepared: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, text) of one document for each node."""
-    ids = materialise(unique.select(id_col, "node").join(nodes, "node", "left_semi"), "ids")
+    known = prepared.where(F.col("prefix").isNotNull()).select(id_col, "node").join(nodes, "node", "left_semi")
+    ids = materialise(known.groupBy("node").agg(F.min(id_col).alias(id_col)), "ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return text_bytes(docs, id_col, text_col).join(side, id_col).select("node", "_bytes")
 
@@ -238,19 +237,19 @@ def pick_texts(docs: DataFrame, unique: DataFrame, nodes: DataFrame, id_col: str
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): set size and the smallest id reachable by links, for every row."""
     prepared = materialise(prepare(docs, id_col, text_col), "prepared")
-    first = prepared.where(F.col("prefix").isNotNull()).groupBy("node").agg(F.min(id_col).alias(id_col))
-    unique = prepared.join(first, ["node", id_col], "left_semi")  # a node's copies go no further
-    tokens = unique.select(F.explode("prefix").alias("token"), "node", "n")
+    tokens = prepared.select(F.explode("prefix").alias("token"), "node", "n")
     buckets = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("token", "pivot")
-    stars = materialise(tokens.join(buckets, "token").where("node <> pivot").select("pivot", "node", "n").distinct(), "stars")
+    bucketed = materialise(tokens.join(buckets, "token").distinct(), "buckets")  # few of all n-grams; copies fall together
+    grams = bucketed.groupBy("node").agg(F.max("n").alias("n"), F.collect_list("token").alias("grams"))  # a first part at most
+    stars = materialise(bucketed.where("node <> pivot").select("pivot", "node", "n").distinct(), "stars")
     chunks = F.greatest(F.ceil(F.count("*") / GROUP_NODES), F.ceil(F.sum("n") / GROUP_GRAMS)).cast("int")
     sizes = stars.groupBy("pivot").agg(chunks.alias("_chunks"))
     dealt = stars.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("string").alias("part"), "node")
     pivots = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1).cast("array<string>")).alias("part"), F.col("pivot").alias("node"))
 
     def links_of(members: DataFrame) -> DataFrame:
-        groups = candidate_groups(members, unique)
-        return join_groups(groups, pick_texts(docs, unique, groups.select("node").distinct(), id_col, text_col))
+        groups = candidate_groups(members, grams)
+        return join_groups(groups, pick_texts(docs, prepared, groups.select("node").distinct(), id_col, text_col))
 
     links = links_of(dealt.unionByName(pivots).withColumn("label", F.col("node")))
     labels = classes_of(links)
