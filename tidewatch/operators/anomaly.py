@@ -79,7 +79,7 @@ def page_hinkley(df: DataFrame, key: str, order: Sequence[str], value: str, thre
     """Cumulated excess over the first value, above its lowest point so far."""
     w = Window.partitionBy(key).orderBy(*order)
     up_to = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_s", F.sum(F.col(value) - F.col("_ref") - alpha).over(up_to)) if "_ref" in df.columns else df.withColumn("_ref", F.first(value).over(up_to)).withColumn("_s", F.sum(F.col(value) - F.col("_ref") - alpha).over(up_to))
+    df = df.withColumn("_ref", F.first(value).over(up_to)).withColumn("_s", F.sum(F.col(value) - F.col("_ref") - alpha).over(up_to))
     stat = F.col("_s") - F.least(F.lit(0.0), F.min("_s").over(up_to))
     return df.withColumn("score", stat).withColumn("is_drift", F.col("score") > threshold).withColumn("is_warning", (F.col("score") > 0.7 * threshold) & ~F.col("is_drift")).drop("_s", "_ref")
 
