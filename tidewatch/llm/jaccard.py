@@ -36,6 +36,8 @@ NUMERATOR, DENOMINATOR = 85, 100
 #: Counters of the frequency sketch, and how many travel in one row.
 SKETCH = 1 << 20
 SKETCH_ROW = 1 << 12
+#: Marks of a first part: where in the order its parts end, for the bound on overlaps.
+MARKS = 16
 #: Nodes and n-grams of one group that a task joins at a time.
 GROUP_NODES = 96
 GROUP_GRAMS = 400_000
@@ -103,8 +105,18 @@ def ordered(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return rank[(grams >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(55) | grams >> np.uint64(9)
 
 
+def first_part(n: int) -> int:
+    """How many n-grams the first part of a set of n has: n - ceil(t n) + 1."""
+    return n + (-NUMERATOR * n // DENOMINATOR) + 1
+
+
+def mark_places(length: int) -> np.ndarray:
+    """Counts of n-grams, up to all, at which a first part of this length is marked."""
+    return -(-np.arange(1, MARKS + 1) * length // MARKS)
+
+
 def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, prefix): set size, node and the rarest n-grams of every document."""
+    """(id, n, node, prefix, marks): set size, node, the rarest n-grams of every document, and evenly spaced ones of them."""
     classes = docs.sparkSession.sparkContext.broadcast(sketch_classes(docs, id_col, text_col))
 
     def make():
@@ -112,35 +124,38 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def piece(batch):
             keys = batch.column(0)
-            sizes, nodes, prefixes = [], [], []
+            sizes, nodes, prefixes, marks = [], [], [], []
             for key, grams in zip(keys.to_pylist(), gram_sets([x or b"" for x in batch.column(1).to_pylist()]), strict=True):
                 n = len(grams)
                 sizes.append(n)
                 nodes.append(node_id(grams) if n else None)
                 if not n or key is None:
                     prefixes.append(None)
+                    marks.append(None)
                     continue
-                take = n + (-NUMERATOR * n // DENOMINATOR) + 1  # n - ceil(t n) + 1
-                prefixes.append(np.sort(ordered(grams, rank))[:take].view(np.int64))
-            return {id_col: keys, "n": sizes, "node": nodes, "prefix": prefixes}
+                prefixes.append(np.sort(ordered(grams, rank))[: first_part(n)].view(np.int64))
+                marks.append(prefixes[-1][mark_places(len(prefixes[-1])) - 1])
+            return {id_col: keys, "n": sizes, "node": nodes, "prefix": prefixes, "marks": marks}
 
         return piece
 
-    return map_pieces(text_bytes(docs, id_col, text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, n long, node long, prefix array<long>", PIECE_BYTES)
+    return map_pieces(text_bytes(docs, id_col, text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, n long, node long, prefix array<long>, marks array<long>", PIECE_BYTES)
 
 
-def possible(shared: list[list[int]], sizes: list[int]) -> np.ndarray:
+def possible(shared: list[list[int]], sizes: list[int], marks: list[list[int]]) -> np.ndarray:
     """Which pairs may be linked, from the n-grams that the first parts of two sets have in common.
 
-    The first part that ends sooner in the order holds all of the overlap up to there; what follows in that set is one
-    n-gram less than the least overlap, ceil(t n). So the overlap is at most the count in common and the larger rest.
+    Up to the end of the first part that ends sooner, the overlap is the count in common; beyond, it is at most what is
+    left of the shorter rest. Where the other set stands at that point is known to a step of its marks.
     """
     values, inverse = np.unique(np.concatenate(shared), return_inverse=True)
     has = np.zeros((len(shared), len(values)), np.float32)
     has[np.repeat(np.arange(len(shared)), [len(x) for x in shared]), inverse] = 1
     n = np.array(sizes)
-    rest = -(-NUMERATOR * n // DENOMINATOR) - 1
-    most = (has @ has.T).astype(np.int64) + np.maximum.outer(rest, rest)
+    last = np.array([m[-1] for m in marks])
+    reached = np.stack([np.append(0, mark_places(first_part(k)))[np.searchsorted(m, last, side="right")] for m, k in zip(marks, sizes, strict=True)])
+    rest = n[:, None] - reached  # of i, beyond the end of j's first part
+    most = (has @ has.T).astype(np.int64) + np.minimum(rest, rest.T)
     return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * np.add.outer(n, n)
 
 
@@ -161,10 +176,10 @@ def runs(batches, keys: int):
 def candidate_groups(members: DataFrame, grams: DataFrame) -> DataFrame:
     """(group, node, label): the sets of each group that may be linked, each connected part a group of its own.
 
-    members has pivot, part, node and label; grams has node, n and its bucketed n-grams; parts with the same nodes come
-    out as one group.
+    members has pivot, part, node and label; grams has node, n, its bucketed n-grams and its marks; parts with the same
+    nodes come out as one group.
     """
-    rows = members.join(grams, "node").select("pivot", "part", "node", "label", "n", "grams")
+    rows = members.join(grams, "node").select("pivot", "part", "node", "label", "n", "grams", "marks")
     rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "node")
 
     def run(batches):
@@ -172,8 +187,8 @@ def candidate_groups(members: DataFrame, grams: DataFrame) -> DataFrame:
             held = [x for i, x in enumerate(held) if not i or x[0] != held[i - 1][0]]
             if len(held) < 2:
                 continue
-            nodes, labels, sizes, shared = zip(*held, strict=True)
-            maybe = possible(list(shared), list(sizes))
+            nodes, labels, sizes, shared, marks = zip(*held, strict=True)
+            maybe = possible(shared, sizes, marks)
             union = Union(range(len(nodes)))
             for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(maybe, 1))), strict=True):
                 union.join(i, j)
@@ -240,7 +255,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tokens = prepared.select(F.explode("prefix").alias("token"), "node", "n")
     buckets = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("token", "pivot")
     bucketed = materialise(tokens.join(buckets, "token").distinct(), "buckets")  # few of all n-grams; copies fall together
-    grams = bucketed.groupBy("node").agg(F.max("n").alias("n"), F.collect_list("token").alias("grams"))  # a first part at most
+    first = prepared.where(F.col("marks").isNotNull()).groupBy("node").agg(F.min(id_col).alias(id_col))
+    marks = prepared.select("node", id_col, "marks").join(first, ["node", id_col], "left_semi").select("node", "marks")
+    grams = bucketed.groupBy("node").agg(F.max("n").alias("n"), F.collect_list("token").alias("grams")).join(marks, "node")  # a first part at most
     stars = materialise(bucketed.where("node <> pivot").select("pivot", "node", "n").distinct(), "stars")
     chunks = F.greatest(F.ceil(F.count("*") / GROUP_NODES), F.ceil(F.sum("n") / GROUP_GRAMS)).cast("int")
     sizes = stars.groupBy("pivot").agg(chunks.alias("_chunks"))
