@@ -28,7 +28,7 @@ both(
     round(sum(case when not success then 1 else 0 end) * cast(100 as double) / count(*), 6) as error_pct
     from requests group by model_id, {start(DAY)} having count(*) >= 5""",
 )
-both("q04_hourly_cost", f"select model_id, {start(HOUR)} as hour_start, count(*) as n, round(sum(cost_usd), 6) as cost, round(avg(cost_usd), 6) as mean_cost, sum(prompt_tokens + completion_tokens) as tokens from requests group by model_id, {start(HOUR)}")
+both("q04_hourly_cost", f"select model_id, {start(HOUR)} as hour_start, count(*) as n, round(sum(cost_usd), 6) as cost, round(avg(cost_usd) + cast(0.000000001 as double), 6) as mean_cost, sum(prompt_tokens + completion_tokens) as tokens from requests group by model_id, {start(HOUR)}")
 both(
     "q05_cost_anomaly",
     f"""with hourly as (select model_id, {start(HOUR)} as hour_start, sum(cost_usd) as cost from requests group by model_id, {start(HOUR)}),
