@@ -252,13 +252,17 @@ def pick_texts(docs: DataFrame, prepared: DataFrame, nodes: DataFrame, id_col: s
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): set size and the smallest id reachable by links, for every row."""
     prepared = materialise(prepare(docs, id_col, text_col), "prepared")
-    tokens = prepared.select(F.explode("prefix").alias("token"), "node", "n")
-    buckets = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("token", "pivot")
-    bucketed = materialise(tokens.join(buckets, "token").distinct(), "buckets")  # few of all n-grams; copies fall together
+    tokens = prepared.select(F.explode("prefix").alias("token"), "node")
+    # Counts shuffle least, and most n-grams are alone: only the others are looked at with their nodes.
+    several = tokens.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
+    shared = materialise(tokens.join(several, "token", "left_semi").distinct(), "shared")  # copies fall together
+    buckets = shared.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("token", "pivot")
+    bucketed = materialise(shared.join(buckets, "token"), "buckets")
     first = prepared.where(F.col("marks").isNotNull()).groupBy("node").agg(F.min(id_col).alias(id_col))
-    marks = prepared.select("node", id_col, "marks").join(first, ["node", id_col], "left_semi").select("node", "marks")
-    grams = bucketed.groupBy("node").agg(F.max("n").alias("n"), F.collect_list("token").alias("grams")).join(marks, "node")  # a first part at most
-    stars = materialise(bucketed.where("node <> pivot").select("pivot", "node", "n").distinct(), "stars")
+    known = prepared.select("node", id_col, "n", "marks").join(first, ["node", id_col], "left_semi").select("node", "n", "marks")
+    grams = bucketed.groupBy("node").agg(F.collect_list("token").alias("grams")).join(known, "node")  # a first part at most
+    stars = bucketed.where("node <> pivot").select("pivot", "node").distinct()
+    stars = materialise(stars.join(known.select("node", "n"), "node").select("pivot", "node", "n"), "stars")
     chunks = F.greatest(F.ceil(F.count("*") / GROUP_NODES), F.ceil(F.sum("n") / GROUP_GRAMS)).cast("int")
     sizes = stars.groupBy("pivot").agg(chunks.alias("_chunks"))
     dealt = stars.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("_chunks")).cast("string").alias("part"), "node")
