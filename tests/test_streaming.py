@@ -51,3 +51,15 @@ def test_entry_and_registration(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_keyed_state_equals_loops(spark, small, tmp_path):
+    rows = files(spark, small, f"{tmp_path}/in", 1)
+    stream = stream_files(spark, "parquet", f"{tmp_path}/in", rows.schema)
+    n = rows.groupBy("model_id").count().collect()
+    for name, out in (("cw", S.count_windows(stream, "model_id", "latency_ms", 10)), ("ra", S.running_average(stream, "model_id", "latency_ms", 0.3))):
+        out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination(180)
+    fired = {r.key: r.n for r in spark.sql("select key, count(*) as n from cw group by key").collect()}
+    assert fired == {r.model_id: r["count"] // 10 for r in n if r["count"] >= 10}
+    ema = spark.sql("select key, count(*) as n, max(ema) as top, max(value) as most from ra group by key").collect()
+    assert {r.key: r.n for r in ema} == {r.model_id: r["count"] for r in n} and all(r.top <= r.most for r in ema)
