@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+#: Rows of an Arrow batch between Spark and Python: texts are long, and a batch is held on both sides.
+ARROW_ROWS = 1_000
 #: Rows and bytes that one output batch holds at most; a single row may be larger.
 BATCH_ROWS = 2_000
 BATCH_BYTES = 8 << 20
@@ -46,6 +48,14 @@ def text_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *m
     return df.select(F.col(id_col), F.col(text_col).cast("binary").alias("_bytes"), *[F.col(c) for c in more])
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's batch size for the plan that follows, never raise it."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES, bytes_col: int = 1) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no piece holds much more than `most` bytes of text."""
     lengths = pc.fill_null(pc.binary_length(batch.column(bytes_col)), 0).to_pylist()
@@ -75,7 +85,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return in_small_batches(df).mapInArrow(run, kind)
 
 
 def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType, most: int = BATCH_BYTES) -> DataFrame:
@@ -90,7 +100,7 @@ def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
                 out = f(piece)
                 yield pa.RecordBatch.from_arrays([v if isinstance(v := out[x.name], pa.Array) else pa.array(v, x.type) for x in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return in_small_batches(df).mapInArrow(run, kind)
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:

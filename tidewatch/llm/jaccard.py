@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, materialise, text_bytes
+from .common import in_small_batches, map_pieces, materialise, text_bytes
 from .trie import Union, link_group
 from .words import NOT_SPACE, gram_hashes, join_texts, mix, word_hashes
 
@@ -85,7 +85,7 @@ def sketch_classes(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
         used = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["part", "counts"])
 
-    partial = text_bytes(docs, id_col, text_col).mapInArrow(run, "part long, counts binary")
+    partial = in_small_batches(text_bytes(docs, id_col, text_col)).mapInArrow(run, "part long, counts binary")
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_ROW, np.uint64)
@@ -201,7 +201,7 @@ def candidate_groups(members: DataFrame, grams: DataFrame) -> DataFrame:
                 flat = [(name, nodes[i], labels[i]) for name, x in zip(names, good, strict=True) for i in x]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], names=["group", "node", "label"])
 
-    return materialise(rows.mapInArrow(run, "group long, node long, label long").distinct(), "candidates")
+    return materialise(in_small_batches(rows).mapInArrow(run, "group long, node long, label long").distinct(), "candidates")
 
 
 def join_groups(groups: DataFrame, texts: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def join_groups(groups: DataFrame, texts: DataFrame) -> DataFrame:
             pairs = [(a, b) for a, b in pairs if a != b]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["node", "root"])
 
-    return materialise(rows.mapInArrow(run, "node long, root long"), "links")
+    return materialise(in_small_batches(rows).mapInArrow(run, "node long, root long"), "links")
 
 
 def classes_of(links: DataFrame) -> DataFrame:

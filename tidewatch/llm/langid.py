@@ -77,13 +77,17 @@ def fit(rows: list[tuple[bytes, str]]) -> LanguageModel:
     chosen, each = [], -(-LANDMARKS // len(languages))
     for lang in languages:
         chosen += [i for i, (_, own) in enumerate(rows) if own == lang][:each]
-    x = presence([t for t, _ in rows]).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    landmarks = x[chosen]
-    values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
+
+    def vectors(texts: list[bytes]) -> np.ndarray:
+        x = presence(texts).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+    landmarks = vectors([rows[i][0] for i in chosen])
+    near = [vectors([t for t, _ in rows[at : at + BATCH_TEXTS]]) @ landmarks.T for at in range(0, len(rows), BATCH_TEXTS)]  # a batch of vectors at a time
+    values, axes = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     keep = values > 1e-6 * values[-1]
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    features = (x @ landmarks.T).astype(np.float64) @ root
+    root = axes[:, keep] / np.sqrt(values[keep])
+    features = np.concatenate(near).astype(np.float64) @ root
     targets = np.where(np.array([own for _, own in rows])[:, None] == np.array(languages), 1.0, -1.0)
     mean, centre = features.mean(0), targets.mean(0)
     gram = (features - mean).T @ (features - mean)

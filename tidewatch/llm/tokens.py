@@ -30,7 +30,7 @@ WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LE
 #: Bounds of the broadcast table and of a worker's cache. They change speed only, never a result.
 SAMPLE_ROWS = 2_000
 TABLE_ENTRIES = 65_536
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 LONGEST_ENTRY = 64
 
 
