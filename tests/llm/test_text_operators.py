@@ -226,3 +226,16 @@ def test_pack_pieces_hot_length(spark):
     pieces = spark.range(5000).selectExpr("id as doc_id", "0 as piece", "0L as start", "case when id % 3 = 0 then 700L else 1L + id % 5 end as length", "id as ids_crc32")
     packed = pack_pieces(pieces, 2048)
     assert packed.count() == 5000 and packed.selectExpr("sequence_id", "offset").distinct().count() == 5000
+
+
+def test_media_keeps_payloads_that_say_tag():
+    trailer = b"TAG" + b"title".ljust(125, b"\0")
+    for n, at in ((128, 29), (1417, 1289), (1417 + 128, 1417 + 29)):
+        payload = b"x" * at + b"TAG" + b"y" * (n - at - 3)
+        media = write_mpeg(payload)
+        assert media[-128:-125] == b"TAG"
+        for data in (media, media + trailer):
+            x = read_mpeg(data)
+            assert (x["payload"], x["skipped"], x["bad"]) == (payload, 0, 0) and len(x["offsets"]) == x["table"]["frames"]
+    plain = write_mpeg(b"x" * 128)
+    assert read_mpeg(plain + b"junk" + trailer)["skipped"] > 0 and read_mpeg(plain + trailer)["payload"] == b"x" * 128

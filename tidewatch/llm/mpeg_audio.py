@@ -130,17 +130,20 @@ def read_mpeg(data: bytes) -> dict:
     """Tags, frames, checksums, the variable-bitrate table and the carried bytes of one file.
 
     A header counts if the next frame's header, or the end of the data, follows where it says; else the
-    reader looks for the next sync pattern and counts the bytes that it skips.
+    reader looks for the next sync pattern and counts the bytes that it skips. The last 128 bytes are an ID3v1 tag only
+    if they say so and no frame reaches into them: the bytes that a frame carries may say so too.
     """
     tags, at = read_tags(data)
-    end = len(data) - (128 if len(data) - at >= 128 and data[-128:-125] == b"TAG" else 0)
+    end = len(data)
+    tag_at = end - 128 if end - at >= 128 and data[-128:-125] == b"TAG" else end
     offsets, body, kbps, samples, rate, bad, checked, skipped, table, first = [], [], set(), 0, 0, 0, 0, 0, None, None
-    while at < end:
+    while at < end and at != tag_at:
         h = header_at(data, at)
         after = at + h["size"] if h else 0
-        if h is None or after > end or (after < end and header_at(data, after) is None):
-            sync = data.find(b"\xff", at + 1, end)
-            sync = end if sync < 0 else sync
+        if h is None or after > end or (after not in (tag_at, end) and header_at(data, after) is None):
+            stop = tag_at if at < tag_at else end
+            sync = data.find(b"\xff", at + 1, stop)
+            sync = stop if sync < 0 else sync
             skipped += sync - at
             at = sync
             continue
