@@ -165,8 +165,7 @@ def ordered_lists(spark, sf_dir):
     ordered = F.array_sort(F.collect_list(F.struct("epoch_s", "request_id", "model_id")))
     return (
         requests(spark, sf_dir).where("success").groupBy("user_id")
-        .agg(F.transform(ordered, lambda x: x["request_id"]).alias("ids"), F.concat_ws(",", F.transform(ordered, lambda x: x["model_id"])).alias("models"), F.min_by("endpoint", at).alias("first_endpoint"), F.max_by("endpoint", at).alias("last_endpoint"), F.count_distinct("model_id").alias("n_models"), F.count("*").alias("_n"))
-        .where("_n < 2000").drop("_n")
+        .agg(F.transform(ordered, lambda x: x["request_id"]).alias("ids"), F.concat_ws(",", F.transform(ordered, lambda x: x["model_id"])).alias("models"), F.min_by("endpoint", at).alias("first_endpoint"), F.max_by("endpoint", at).alias("last_endpoint"), F.count_distinct("model_id").alias("n_models"))
     )
 
 
