@@ -24,3 +24,16 @@ def test_ordered_lists_keep_hot_users(spark, tmp_path):
     found = {r.user_id: r for r in registry.QUERIES["a06_ordered_lists"](spark, path).collect()}
     assert {u: r.ids for u, r in found.items()} == {u: [i for i in range(3000) if (7 if i % 6 else 8) == u] for u in (7, 8)}
     assert found[7].n_models == 4 and len(found[7].models.split(",")) == 2500
+
+
+def test_bursts_look_back_across_any_hour(spark, tmp_path):
+    start = 473352  # hours from 1970 to 2024; multiples of 720 hours follow at 408, 1128 and 1848
+    per_hour = {h: 1 for h in range(370, 440, 3)} | {408: 9, 410: 2, 411: 5, 1128: 7, 1129: 8, 1848: 20}
+    path = events(tmp_path, [(h * 3600 + i, 1) for h, n in sorted(per_hour.items()) for i in range(n)])
+    hours, expected = sorted(per_hour.items()), []
+    for k, (h, n) in enumerate(hours):
+        before = [m for _, m in hours[max(0, k - 10) : k]]
+        if before and n > 2 * sum(before) / len(before):
+            expected.append((start + h, n, round(sum(before) / len(before), 6)))
+    assert len({408, 1128, 1848} & {t - start for t, _, _ in expected}) == 3
+    assert sorted(tuple(r) for r in registry.QUERIES["z06_bursts"](spark, path).collect()) == expected
