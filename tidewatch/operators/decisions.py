@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .walks import walk
+
 SEVERITY = {"info": 0, "warning": 1, "error": 2, "critical": 3}
 
 
@@ -77,19 +79,22 @@ def merge_decisions(proposals: DataFrame, cycle: str, most: int = 3) -> DataFram
 
 def token_bucket(df: DataFrame, source: str, epoch: str, order: str, rate: float, burst: float) -> DataFrame:
     """Which requests a token bucket would let pass: what is left depends on every request before, so sources are walked."""
-    kinds = dict(df.dtypes)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([epoch, order])
-        level, at, passed = burst, None, []
-        for t in pdf[epoch].tolist():
+    def start():
+        level, at = burst, None
+
+        def step(t):
+            nonlocal level, at
+            t = math.nan if t is None else t
             level = burst if at is None else min(burst, level + (t - at) * rate)
             at = t
-            passed.append(level >= 1)
-            level -= passed[-1]
-        return pdf.assign(passed=passed)[[source, order, "passed"]]
+            passed = level >= 1
+            level -= passed
+            return passed
+
+        return step
 
-    return df.select(source, epoch, order).groupBy(source).applyInPandas(walk, f"{source} {kinds[source]}, {order} {kinds[order]}, passed boolean")
+    return walk(df, source, [epoch, order], epoch, start, [source, order], "passed boolean")
 
 
 def budget_walk(df: DataFrame, keys: Sequence[str], order: str, cost: str, limit: float, per_request: float) -> DataFrame:

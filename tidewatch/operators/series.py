@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .walks import walk, walk_filter
+
 
 def rolling(keys: Sequence[str], order: Sequence[str], n: int, *, before: bool = False):
     """A frame of the last n rows, with the current one or only those before it."""
@@ -26,14 +29,26 @@ def exponential_average(values: Column, alpha: float) -> Column:
 
 
 def exponential_average_by_row(df: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
-    """The same for long series: each key's rows in order, in numpy."""
-    kinds = dict(df.dtypes)
+    """The same for long series: each key's rows in order; a missing value repeats the average and lets its weight fade."""
+
+    def start():
+        mean, weight = None, 1.0
+
+        def step(x):
+            nonlocal mean, weight
+            missing = x is None or x != x
+            if mean is None:
+                mean = None if missing else float(x)
+                return mean
+            weight *= 1 - alpha
+            if not missing:
+                mean = mean if mean == x else (weight * mean + alpha * x) / (weight + alpha)
+                weight = 1.0
+            return mean
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(ema=pdf[value].ewm(alpha=alpha, adjust=False).mean())[[key, order, "ema"]]
+        return step
 
-    return df.select(key, order, value).groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, {order} {kinds[order]}, ema double")
+    return walk(df, key, [order], value, start, [key, order], "ema double")
 
 
 #: How a value between two known ones is made; p and n are the known values, f the share of the way.
@@ -83,19 +98,20 @@ def bars(df: DataFrame, keys: Sequence[str], slot: Column, order: Sequence[str],
 def drop_outliers(df: DataFrame, series: str, order: str, value: str, threshold: float = 3.0, last: int = 100) -> DataFrame:
     """Rows whose z-score against the last kept values is over the threshold go; what is kept decides what follows."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        kept, keep = [], []
-        for x in pdf[value].tolist():
-            recent = kept[-last:]
+    def start():
+        recent: deque = deque(maxlen=last)
+
+        def step(x):
+            x = math.nan if x is None else x
             odd = False
             if len(recent) >= 3:
                 mean = sum(recent) / len(recent)
                 sd = (sum((v - mean) ** 2 for v in recent) / len(recent)) ** 0.5
                 odd = sd > 0 and abs(x - mean) / sd > threshold
-            keep.append(not odd)
             if not odd:
-                kept.append(x)
-        return pdf[keep]
+                recent.append(x)
+            return not odd
+
+        return step
 
-    return df.groupBy(series).applyInPandas(walk, df.schema)
+    return walk_filter(df, series, [order], value, start)

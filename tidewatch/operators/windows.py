@@ -5,13 +5,14 @@ The functions that only use event time take batch and streaming DataFrames alike
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import agg_spec
+from .walks import walk
 
 
 def tumbling(ts: str, size: str, offset: str | None = None) -> Column:
@@ -55,18 +56,20 @@ def capped_sessions(df: DataFrame, key: str, epoch: str, order: str, gap: int, m
     The cut depends on the cut before it, so each key's events are walked in order; `session_no` counts from 0.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([epoch, order])
-        number, numbers, first, last = -1, [], None, None
-        for t in pdf[epoch].tolist():
+    def start():
+        number, first, last = -1, None, None
+
+        def step(t):
+            nonlocal number, first, last
+            t = math.nan if t is None else t
             if last is None or t - last > gap or t - first >= most:
                 number, first = number + 1, t
             last = t
-            numbers.append(number)
-        return pdf.assign(session_no=numbers)[[key, order, epoch, "session_no"]]
+            return number
+
+        return step
 
-    kinds = dict(df.dtypes)
-    return df.select(key, order, epoch).groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, {order} {kinds[order]}, {epoch} {kinds[epoch]}, session_no long")
+    return walk(df, key, [epoch, order], epoch, start, [key, order, epoch], "session_no long")
 
 
 def count_trigger(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
