@@ -50,6 +50,24 @@ def test_licenses_match_brute_force(spark, small):
     assert licenses.scan_licenses(odd_rows(spark)).where("n_units > 0").count() == 0 and licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_inside_lines_and_over_paragraphs(spark):
+    bsd = licenses.TEMPLATES["bsd-clauses"]
+    apache = licenses.TEMPLATES["apache-2.0-notice"]
+    texts = {
+        1: ("The parser is released under the MIT License.", 1, "mit", 1.0),
+        2: ("Copyright (c) 2021 Jane Doe. Released under the MIT License.", 1, "mit", 1.0),
+        3: ("Copyright (c) 2020, A.\n\n" + "Some words on this tool come first. " * 9 + "\n\n" + bsd.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ") + "\n\nTHIS SOFTWARE IS PROVIDED AS IS.", 1, "bsd-clauses", 1.0),
+        4: ("See below. " + apache.replace("Unless", "So unless") + " Ask us for more about all of this, or else read the manual of the tool first and then some more of it, please.", 1, "apache-2.0-notice", None),
+        5: ("One part is released under the MIT License. Others are licensed under CC BY 4.0. by their authors", 2, "cc-by-short,mit", 1.0),
+        6: ("Released under the MIT License.\nand it was released under the MIT License.", 2, "mit", 1.0),
+        7: ("The licence was not released under any name, the MIT press said.", 0, "", None),
+    }
+    docs = spark.createDataFrame([(i, x[0]) for i, x in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert {i: (r.n_units, r.licenses) for i, r in got.items()} == {i: x[1:3] for i, x in texts.items()}
+    assert all(got[i].best_dice == x[3] for i, x in texts.items() if x[3])
+
+
 def test_license_bounds_lose_nothing():
     assert licenses.size_bounds(6) == (4, 9)
     words = set(licenses.anchor_words(licenses.TEMPLATES))

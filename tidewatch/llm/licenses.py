@@ -8,6 +8,10 @@ By the same bound a match shares all but a known number of the template's bigram
 more of each template's bigrams than may be missing: a text or unit without any of these words has no match, and a
 plain search for them spares it all other work.
 
+A notice inside a longer line, or over several paragraphs, is a run: consecutive word bigrams of the text, whatever line
+ends lie between them, first and last ones of the template, no more than the size bound and what the template repeats.
+Runs are sought outside the units that have a licence; of overlapping runs the one with most bigrams of its template counts.
+
 Defined results: a null or empty text has no licence; equal units of a text count once; on equal coefficients the
 first template by name wins; repeated rows give repeated results; an empty table gives an empty result; other columns
 are ignored.
@@ -51,6 +55,7 @@ TEMPLATES = {
 COMMON = {"a", "and", "any", "by", "can", "for", "if", "in", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "with", "you"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARAGRAPH = r"\n[ \t\r]*\n"
+MARK = "\x01"
 
 
 def bigrams(text: str) -> list[str]:
@@ -85,7 +90,10 @@ def anchor_words(templates: dict[str, str], threshold: Fraction = THRESHOLD) ->
 
 
 def license_matches(text: Column, low: Column, templates: dict[str, str] = TEMPLATES, threshold: Fraction = THRESHOLD) -> Column:
-    """array<struct<dice, license>> of the best template of each unit that has one; `low` is the text in lower case."""
+    """array<struct<unit, best: struct<dice, license>>> of each unit that has a licence; null if the text cannot hold any.
+
+    `low` is the text in lower case.
+    """
     known = [(name, bigrams(t), *size_bounds(len(bigrams(t)), threshold)) for name, t in sorted(templates.items())]
     least, most = min(k[2] for k in known), max(k[3] for k in known)
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, g)).alias("grams")) for name, g, low, high in known])
@@ -94,10 +102,10 @@ def license_matches(text: Column, low: Column, templates: dict[str, str] = TEMPL
     anchored = lambda u: F.exists(F.array(F.lower(u)), holds)  # noqa: E731  the array binds the lower-cased unit, so it is made once
 
     units = F.filter(F.array_distinct(F.concat(F.array(text), F.split(text, PARAGRAPH), F.split(text, "\n"))), anchored)
-    words = F.transform(units, lambda u: F.split(F.trim(F.regexp_replace(F.translate(u, UPPER, LOWER), "[^a-z0-9]+", " ")), " "))
-    words = F.filter(words, lambda w: F.size(w) > least)  # repeated bigrams only lower the count: no upper bound yet
-    grams = F.transform(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
-    grams = F.filter(grams, lambda g: F.size(g).between(least, most))
+    words = F.transform(units, lambda u: F.struct(u.alias("unit"), F.split(F.trim(F.regexp_replace(F.translate(u, UPPER, LOWER), "[^a-z0-9]+", " ")), " ").alias("w")))
+    words = F.filter(words, lambda x: F.size(x["w"]) > least)  # repeated bigrams only lower the count: no upper bound yet
+    grams = F.transform(words, lambda x: F.struct(x["unit"].alias("unit"), F.array_distinct(pairs(x["w"])).alias("g")))
+    grams = F.filter(grams, lambda x: F.size(x["g"]).between(least, most))
 
     def dice(g: Column) -> Column:
         open_to = F.filter(table, lambda t: F.size(g).between(t["low"], t["high"]))
@@ -105,14 +113,75 @@ def license_matches(text: Column, low: Column, templates: dict[str, str] = TEMPL
         return F.filter(scored, lambda x: x["dice"] >= need)
 
     first = lambda found: F.reduce(found, F.element_at(found, 1), lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a))
-    found = F.transform(F.filter(F.transform(grams, dice), lambda d: F.size(d) > 0), first)
-    return F.when(holds(low), found)
+    scored = F.filter(F.transform(grams, lambda x: F.struct(x["unit"].alias("unit"), dice(x["g"]).alias("all"))), lambda x: F.size(x["all"]) > 0)
+    return F.when(holds(low), F.transform(scored, lambda x: F.struct(x["unit"].alias("unit"), first(x["all"]).alias("best"))))
+
+
+def pairs(words: Column) -> Column:
+    """The word bigrams of an array of words."""
+    return F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def words_outside(text: Column, units: Column) -> Column:
+    """The words of a text, with a mark that is no word where a unit stood."""
+    taken = F.transform(units, lambda x: x["unit"])
+    clear = lambda u: F.when(F.array_contains(taken, u), F.lit(MARK)).otherwise(F.translate(u, UPPER + MARK, LOWER + " "))
+    lines = lambda p: F.array_join(F.transform(F.split(p, "\n"), clear), "\n")
+    rest = F.array_join(F.transform(F.split(text, PARAGRAPH), lambda p: F.when(F.array_contains(taken, p), F.lit(MARK)).otherwise(lines(p))), "\n")
+    return F.when(~F.array_contains(taken, text), F.split(F.trim(F.regexp_replace(rest, f"[^a-z0-9{MARK}]+", " ")), " "))
+
+
+def template_runs(name: str, text: str, grams: Column, hits: Column, threshold: Fraction) -> Column:
+    """array<struct<less, dice, license, start, end>> of one template: the best run from each start that has one."""
+    own = bigrams(text)
+    n, need, (low, high) = len(own), float(threshold), size_bounds(len(own), threshold)
+    span = high + len(re.findall("[a-z0-9]+", text.lower())) - 1 - n
+    table = F.array(*map(F.lit, own))
+
+    def best_from(p: Column, k: Column) -> Column:
+        start = F.element_at(p, k)
+        ends = F.filter(F.slice(p, k + low - 1, F.lit(span)), lambda e: e - start < span)
+        sets = F.transform(ends, lambda e: F.struct(e.alias("end"), F.array_distinct(F.slice(grams, start + 1, e - start + 1)).alias("g")))
+        shared = F.transform(sets, lambda x: F.struct(x["end"].alias("end"), F.size(x["g"]).alias("m"), F.size(F.array_intersect(x["g"], table)).alias("shared")))
+        scored = F.transform(shared, lambda x: F.struct((2.0 * x["shared"] / (x["m"] + n)).alias("dice"), x["shared"].alias("shared"), (-x["end"]).alias("end")))
+        best = F.array_max(F.filter(scored, lambda x: x["dice"] >= need))
+        return F.transform(F.array(best), lambda b: F.struct((-b["shared"]).alias("less"), (-b["dice"]).alias("dice"), F.lit(name).alias("license"), start.alias("start"), (-b["end"]).alias("end")))[0]
+
+    def from_hits(p: Column) -> Column:
+        starts = F.when(F.size(p) >= low, F.sequence(F.lit(1), F.size(p) - low + 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(starts, lambda k: F.element_at(p, k + low - 1) - F.element_at(p, k) < span)
+        return F.filter(F.transform(starts, lambda k: best_from(p, k)), lambda x: x["dice"].isNotNull())
+
+    places = F.transform(F.filter(hits, lambda x: x["gram"].isin(own)), lambda x: x["at"])
+    return F.flatten(F.transform(F.array(places), from_hits))
+
+
+def license_runs(words: Column, grams: Column, hits: Column, templates: dict[str, str] = TEMPLATES, threshold: Fraction = THRESHOLD) -> Column:
+    """array<struct<dice, license>> of the runs; hits are the (gram, at) of `grams` that any template has."""
+    found = [template_runs(name, text, grams, hits, threshold) for name, text in sorted(templates.items())]
+    ordered = F.array_sort(F.concat(*found))
+    apart = lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] <= y["end"]) & (y["start"] <= x["end"])), acc).otherwise(F.concat(acc, F.array(x)))
+    chosen = F.aggregate(ordered, F.filter(ordered, lambda x: F.lit(False)), apart)
+    runs = F.transform(chosen, lambda x: F.struct((-x["dice"]).alias("dice"), x["license"].alias("license"), F.concat_ws(" ", F.slice(words, x["start"] + 1, x["end"] - x["start"] + 2)).alias("run")))
+    return F.transform(F.array_distinct(runs), lambda x: F.struct(x["dice"].alias("dice"), x["license"].alias("license")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_units, licenses, best_license, best_dice): units with a licence, the distinct licences, and the best."""
+    """(id, n_units, licenses, best_license, best_dice): units and runs with a licence, the distinct licences, and the best."""
     texts = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))  # a column, so it is made once
-    found = texts.select(F.col(id_col), F.coalesce(license_matches(F.col("_text"), F.col("_low")), F.array()).alias("_found"))
+    # each step is a column of its own, so it is made once; a text that cannot hold a licence is null from the first one on
+    steps = texts.select(F.col(id_col), "_text", license_matches(F.col("_text"), F.col("_low")).alias("_units"))
+    steps = steps.select(F.col(id_col), "_units", words_outside(F.col("_text"), F.col("_units")).alias("_words"))
+    steps = steps.select(F.col(id_col), "_units", "_words", pairs(F.col("_words")).alias("_grams"))
+    known = [(own, size_bounds(len(own))[0]) for own in map(bigrams, TEMPLATES.values())]
+    every = sorted({g for own, _ in known for g in own})
+    steps = steps.select(F.col(id_col), "_units", "_words", "_grams", F.array_intersect("_grams", F.array(*map(F.lit, every))).alias("_common"))
+    opened = reduce(or_, [F.size(F.array_intersect("_common", F.array(*map(F.lit, own)))) >= low for own, low in known])  # the search by place is slow
+    hits = F.filter(F.transform("_grams", lambda g, i: F.struct(g.alias("gram"), i.alias("at"))), lambda x: x["gram"].isin(every))
+    steps = steps.select(F.col(id_col), "_units", "_words", "_grams", F.when(opened, hits).alias("_hits"))
+    runs = F.when(F.col("_hits").isNotNull(), license_runs(F.col("_words"), F.col("_grams"), F.col("_hits")))
+    in_units, none = F.transform("_units", lambda x: x["best"]), F.array().cast("array<struct<dice:double,license:string>>")
+    found = steps.select(F.col(id_col), F.concat(F.coalesce(in_units, none), F.coalesce(runs, none)).alias("_found"))
     best = F.reduce("_found", F.element_at(F.col("_found"), 1), lambda a, x: F.when((x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["license"] < a["license"])), x).otherwise(a))
     some = F.size("_found") > 0
     return found.select(
