@@ -222,6 +222,12 @@ def test_plan_places_every_rank_once():
                 assert at <= capacity
 
 
+def test_plan_pairs_single_lengths():
+    for histogram, sequences in (({1000: 1, 990: 1, 980: 1, 970: 1}, 2), ({1000: 3, 990: 1, 700: 2}, 3)):
+        plan = plan_packing(histogram, 2048)
+        assert len({first + k // each for _, low, high, first, _, each in plan for k in range(high - low)}) == sequences
+
+
 def test_pack_pieces_hot_length(spark):
     pieces = spark.range(5000).selectExpr("id as doc_id", "0 as piece", "0L as start", "case when id % 3 = 0 then 700L else 1L + id % 5 end as length", "id as ids_crc32")
     packed = pack_pieces(pieces, 2048)

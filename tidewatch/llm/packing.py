@@ -52,6 +52,11 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[int, in
         while at >= 0 and not left[large[at]]:
             large.pop(at)
             at -= 1
+        if at >= 0 and large[at] == longest and left[longest] == 1:  # no second one: the next length that is left
+            at -= 1
+            while at >= 0 and not left[large[at]]:
+                large.pop(at)
+                at -= 1
         partner = large[at] if at >= 0 else 0
         if partner == longest and left[longest] > 1:
             bins, each = left[longest] // 2, 2
