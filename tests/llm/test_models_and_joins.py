@@ -56,7 +56,7 @@ def test_licenses_inside_lines_and_over_paragraphs(spark):
     texts = {
         1: ("The parser is released under the MIT License.", 1, "mit", 1.0),
         2: ("Copyright (c) 2021 Jane Doe. Released under the MIT License.", 1, "mit", 1.0),
-        3: ("Copyright (c) 2020, A.\n\n" + "Some words on this tool come first. " * 9 + "\n\n" + bsd.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ") + "\n\nTHIS SOFTWARE IS PROVIDED AS IS.", 1, "bsd-clauses", 1.0),
+        3: ("Copyright (c) 2020, A.\n\n" + " ".join(f"word{i}" for i in range(60)) + "\n\n" + bsd.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ") + "\n\nTHIS SOFTWARE IS PROVIDED AS IS.", 1, "bsd-clauses", 1.0),
         4: ("See below. " + apache.replace("Unless", "So unless") + " Ask us for more about all of this, or else read the manual of the tool first and then some more of it, please.", 1, "apache-2.0-notice", None),
         5: ("One part is released under the MIT License. Others are licensed under CC BY 4.0. by their authors", 2, "cc-by-short,mit", 1.0),
         6: ("Released under the MIT License.\nand it was released under the MIT License.", 2, "mit", 1.0),
