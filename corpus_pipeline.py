@@ -20,10 +20,11 @@ from tidewatch.llm.pii import redact
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected: null texts and texts without a letter. A missing language is filled in; a stated one is kept."""
-    given = docs.columns
     model = langid.train_on(docs.where(~langid.held_out("doc_id", 5, 0)))
-    found = langid.identify(docs, model, keep=tuple(c for c in given if c != "doc_id"))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*given)
+    found = langid.identify(docs, model, keep_row=True).where(F.col("lang_pred") != langid.UNKNOWN)
+    row = F.col("_row")
+    filled = {"lang": F.coalesce(row.getField("lang"), F.col("lang_pred"))}
+    return found.select(*[filled.get(c, row.getField(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    marked = contamination(docs, read_table(spark, sf_dir, "benchmark"), keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return marked.where(~F.col("contaminated")).select(*docs.columns)
+    marked = contamination(docs, read_table(spark, sf_dir, "benchmark"), keep_row=True)
+    return marked.where(~F.col("contaminated")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

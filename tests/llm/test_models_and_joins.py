@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import jaccard, langid, licenses, pii, quality
+from tidewatch.llm import common, jaccard, langid, licenses, pii, quality
 from tidewatch.llm import queries as q
 from tidewatch.llm.trie import link_group
 
@@ -159,11 +159,22 @@ def test_language_odd_rows(spark):
     docs = odd_rows(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(docs, langid.train_on(docs)).collect()} == {"und"}
     model = langid.fit([(b"the and of the", "en"), (b"der und die das", "de")])
-    got = {r.doc_id: r.lang_pred for r in langid.identify(odd_rows(spark).drop("score"), model).collect()}
+    got = {r.doc_id: r.lang_pred for r in langid.identify(odd_rows(spark), model).collect()}
     assert got[1] == got[2] == got[5] == "und" and got[4] in ("en", "de")
     assert langid.identify(odd_rows(spark).limit(0), model).count() == 0
 
 
+def test_language_letters_and_strips(spark, monkeypatch):
+    model = langid.fit([(b"the and of the", "en"), (b"der und die das", "de")])
+    docs = spark.createDataFrame([(1, "² ½ ①"), (2, "Ⅷ ³_"), (3, "1 ²é"), (4, "\u4e2d"), (5, "٣")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred != "und" for r in langid.identify(docs, model).collect()} == {1: False, 2: False, 3: True, 4: True, 5: False}
+    texts = [b"", b"a", b"ab", "été und so weiter".encode() * 9, b"the end of"]
+    whole = langid.presence(texts)
+    for strip in (1, 2, 3, 7, 40):
+        monkeypatch.setattr(langid, "STRIP", strip)
+        assert (langid.presence(texts) == whole).all()
+
+
 def test_quality_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
@@ -213,6 +224,36 @@ def test_personal_model_adds_and_keeps(spark):
     assert pii.find_personal(odd_rows(spark)).count() == 7 and pii.redact(odd_rows(spark).limit(0)).count() == 0
 
 
+def test_pipeline_stages_take_clashing_columns(spark, small):
+    """Columns named as the operators' own ones pass through every stage unchanged."""
+    clashing = ["score", "lang_pred", "_bytes", "_row", "_id", "_text", "_key", "n_words", "n_hit", "items", "contaminated", "node", "n", "prefix", "component_id", "spans", "piece", "length"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    for c in clashing:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} "), "doc_id"))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, small)
+        assert after.columns == docs.columns and after.dtypes == docs.dtypes, name
+        rows = after.collect()
+        assert rows and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in clashing), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() >= docs.count()
+
+
+def test_cluster_needs_its_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802  Spark's name
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815  Spark's name
+        conf = {}
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.shared_path(Session(), "x")
+
+
 def test_pipeline_stages_keep_their_contract(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     before = docs

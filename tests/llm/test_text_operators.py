@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewatch.llm import queries as q
-from tidewatch.llm.decontaminate import contamination
+from tidewatch.llm.decontaminate import Index, contamination
 from tidewatch.llm.mpeg_audio import probe_media, read_mpeg, store_texts, write_mpeg
 from tidewatch.llm.packing import pack_pieces, plan_packing
 from tidewatch.llm.secrets_scan import find_spans, scan_secrets
@@ -114,11 +115,31 @@ def test_contamination_random_and_in_blocks(spark, monkeypatch):
     docs = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_hit", F.lit("x"))
     bench = bench.where("item_id is not null")
     one = check_contamination(docs, bench)
-    monkeypatch.setattr("tidewatch.llm.decontaminate.BLOCK_BYTES", 200)
+    assert "MapInArrow" in plan_of(contamination(docs, bench)) and "Exchange" not in plan_of(contamination(docs, bench))
+    monkeypatch.setattr("tidewatch.llm.decontaminate.BROADCAST_BYTES", 200)
     assert check_contamination(docs, bench) == one
+    clashing = docs.withColumn("items", F.lit("y")).withColumn("_key", F.lit(1))
+    kept = contamination(clashing, bench, keep_row=True)
+    assert kept.count() == docs.count() and kept.select("_row.*").columns == clashing.columns
+    assert plan_of(kept).count("MapInArrow") == 0  # every Python step is written before the joins
     assert contamination(docs, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_window_of_many_items(spark):
+    """A window that 10,000 items share is one entry: the search takes no longer than for one item."""
+    passage = " ".join(f"w{i}" for i in range(13))
+    bench = spark.createDataFrame([(i, passage) for i in range(10_000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + passage + " y"), (2, "nothing")], "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in contamination(docs, bench).collect()}
+    assert (rows[1].n_words, rows[1].n_hit, len(rows[1]["items"]), rows[2].n_hit) == (15, 13, 10_000, 0) and time.time() - began < 60
+    assert len(Index([(str(i), passage.encode()) for i in range(10_000)]).words[13]) == 1
+
+
 def test_media_round_trip(spark, small):
     known = texts(spark, small)
     for r in q.op7_media_columns(spark, small).collect():

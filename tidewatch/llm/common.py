@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Rows of an Arrow batch between Spark and Python: texts are long, and a batch is held on both sides.
 ARROW_ROWS = 1_000
@@ -27,10 +27,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the setting is absent, as in tests on one machine, a local folder is made and set.
+    Only where the setting is absent and Spark runs on one machine, as in tests, a local folder is made and set; a
+    cluster must name its shared folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -43,9 +46,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """(doc_id, UTF-8 bytes, more...): only these columns leave the scan, whatever else the table holds."""
-    return df.select(F.col(id_col), F.col(text_col).cast("binary").alias("_bytes"), *[F.col(c) for c in more])
+def text_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, UTF-8 bytes): only these columns leave the scan, whatever else the table holds."""
+    return df.select(F.col(id_col), F.col(text_col).cast("binary").alias("_bytes"))
+
+
+def text_and_row(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, UTF-8 bytes, the whole row as one struct): in it no column can clash with an operator's own."""
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_bytes"), F.struct("*").alias("_row"))
+
+
+def with_row(df: DataFrame, id_col: str, own: str) -> StructType:
+    """The schema (_id, _row, own columns...) of an operator's result over text_and_row."""
+    return StructType([StructField("_id", df.schema[id_col].dataType), StructField("_row", df.schema), *_parse_datatype_string(own).fields])
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
@@ -103,13 +116,16 @@ def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     return in_small_batches(df).mapInArrow(run, kind)
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, rows: int, seed: int, text_col: str | None = None, text_bytes: int = 0) -> DataFrame:
     """About `rows` rows chosen by a hash of the key, for fitting a model; all of them if there are no more.
 
-    The share is set from an exact count, so the expected size never grows with the table.
+    With a text column the sample also has about `text_bytes` of text at most. The share is set from exact sums, so the
+    expected size never grows with the table.
     """
-    total = df.count()
-    if total <= rows:
+    size = F.sum(F.octet_length(text_col)) if text_col else F.lit(0)
+    total, length = df.agg(F.count("*"), size).first()
+    share = min(rows / max(total, 1), text_bytes / max(length or 0, 1) if text_col else 1.0)
+    if share >= 1:
         return df
-    cut = int(rows / total * (1 << 31))
+    cut = int(share * (1 << 31))
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 31)) < cut)

@@ -5,9 +5,10 @@ both, over the root of the product of their numbers. Landmark texts give Nystrom
 which one ridge regression per language is fitted against the rest. The kernel is linear in presence vectors, so
 landmarks and regressions fold into one matrix, and a batch of texts is scored by one product with it.
 
-Fitting takes at most TRAIN_ROWS labelled texts of at most TRAIN_CHARS characters, chosen by a hash; scoring takes
-every whole text. Defined results: a null text, or one without a letter, is `und` with score 0; without any labelled
-text all are `und`; repeated rows give repeated results; other columns are ignored.
+Fitting takes about TRAIN_ROWS labelled texts and TRAIN_BYTES of text at most, chosen by a hash; a text over
+TRAIN_TEXT_BYTES is not learnt from. Scoring takes every whole text. Defined results: a null text, or one without a
+letter (a character of a Unicode letter category), is `und` with score 0; without any labelled text all are `und`;
+repeated rows give repeated results; other columns are ignored, or kept as one struct.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_pieces, text_bytes
+from .common import bounded_sample, map_pieces, text_and_row, text_bytes, with_row
 from .words import join_texts
 
 BUCKETS = 1 << 15
 ORDERS = 3
 TRAIN_ROWS = 3_000
-TRAIN_CHARS = 20_000
+TRAIN_BYTES = 24 << 20
+TRAIN_TEXT_BYTES = 2 << 20
 LANDMARKS = 256
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -33,17 +35,40 @@ UNKNOWN = "und"
 BATCH_TEXTS = 96
 PIECE_BYTES = 1 << 20
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and a few number signs that are sorted out one by one.
+MAY_BE_LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of one text whose n-grams are looked at together; longer texts are taken in strips that overlap.
+STRIP = 1 << 20
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in MAY_BE_LETTER.finditer(text))
+
+
 def presence(texts: list[bytes]) -> np.ndarray:
     """A row per text: which buckets its n-grams fall into."""
-    data, edges = join_texts(texts)
     out = np.zeros((len(texts), BUCKETS), bool)
+    parts, rows, size = [], [], 0
+    for i, x in enumerate(texts):
+        for at in range(0, max(1, len(x)), STRIP):
+            parts.append(x[at : at + STRIP + ORDERS - 1])
+            rows.append(i)
+            size += len(parts[-1])
+            if size >= STRIP:
+                _mark(out, parts, rows)
+                parts, rows, size = [], [], 0
+    if parts:
+        _mark(out, parts, rows)
+    return out
+
+
+def _mark(out: np.ndarray, texts: list[bytes], rows: list[int]) -> None:
+    """Set the buckets of the n-grams of each text in its row of `out`."""
+    data, edges = join_texts(texts)
     flat = out.ravel()
     codes = _LOWER[data]
-    row = np.repeat(np.arange(len(texts), dtype=np.int64) * BUCKETS, np.diff(edges))
+    row = np.repeat(np.array(rows, np.int64) * BUCKETS, np.diff(edges))
     last = np.repeat(edges[1:] - 1, np.diff(edges))  # where the text of each byte ends
     gram = np.zeros(len(data), np.uint32)
     place = np.arange(len(data))
@@ -54,7 +79,6 @@ def presence(texts: list[bytes]) -> np.ndarray:
         inside = place[: len(gram)] + n < last[: len(gram)]
         hashed = ((gram + np.uint32(n << 24)) * np.uint32(0x9E3779B1)) >> np.uint32(17)
         flat[row[: len(gram)][inside] + hashed[inside]] = True
-    return out
 
 
 @dataclass
@@ -97,16 +121,15 @@ def fit(rows: list[tuple[bytes, str]]) -> LanguageModel:
 
 def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on a bounded sample of the rows that are given: the caller leaves out what is held out."""
-    known = docs.where(F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
-    sample = bounded_sample(known, id_col, TRAIN_ROWS, seed=6).where(F.char_length(text_col) <= TRAIN_CHARS)
-    rows = sample.select(F.xxhash64(id_col, F.lit(6)).alias("h"), F.col(text_col).cast("binary").alias("t"), lang_col).collect()
-    return fit([(bytes(r["t"]), r[lang_col]) for r in sorted(rows, key=lambda r: (r["h"], bytes(r["t"]), r[lang_col]))])
+    known = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= TRAIN_TEXT_BYTES)).select(id_col, text_col, lang_col)
+    sample = bounded_sample(known, id_col, TRAIN_ROWS, 6, text_col, TRAIN_BYTES)
+    rows = sample.select(F.xxhash64(id_col, F.lit(6)).alias("h"), F.col(text_col).cast("binary").alias("t"), F.col(lang_col).alias("l")).collect()
+    return fit([(bytes(r["t"]), r["l"]) for r in sorted(rows, key=lambda r: (r["h"], bytes(r["t"]), r["l"]))])
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score): the likeliest language of every whole text."""
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
+    """(id, lang_pred, score): the likeliest language of every whole text; with keep_row (_id, _row, lang_pred, score)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
 
     def make():
         model = shared.value
@@ -119,15 +142,17 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 s = model.scores(part)
                 best = s.argmax(1) if s.shape[1] else np.zeros(len(part), int)
                 for i, x in enumerate(part):
-                    found = s.shape[1] and LETTER.search(x.decode())
+                    found = s.shape[1] and has_letter(x.decode())
                     names.append(model.languages[best[i]] if found else UNKNOWN)
                     scores.append(float(min(1.0, max(0.0, (s[i, best[i]] + 1) / 2))) if found else 0.0)
-            return {id_col: batch.column(0), "lang_pred": names, "score": scores} | {c: batch.column(2 + i) for i, c in enumerate(keep)}
+            return {"_id": batch.column(0), "_row": batch.column(2) if keep_row else None, "lang_pred": names, "score": scores}
 
         return piece
 
-    schema = ", ".join([f"{id_col} {kinds[id_col]}", *(f"{c} {kinds[c]}" for c in keep), "lang_pred string, score double"])
-    return map_pieces(text_bytes(docs, id_col, text_col, *keep), make, schema, PIECE_BYTES)
+    if keep_row:
+        return map_pieces(text_and_row(docs, id_col, text_col), make, with_row(docs, id_col, "lang_pred string, score double"), PIECE_BYTES)
+    found = map_pieces(text_bytes(docs, id_col, text_col), make, f"_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double", PIECE_BYTES)
+    return found.withColumnRenamed("_id", id_col)
 
 
 def held_out(id_col: str, modulus: int, remainder: int):

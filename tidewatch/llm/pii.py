@@ -13,8 +13,9 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import map_pieces, text_bytes
+from .common import map_pieces, text_and_row, text_bytes
 from .crf import Crf, shapes, tokens, train
 from .words import join_texts
 
@@ -207,20 +208,21 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The same rows and columns with every span replaced by its kind; null texts stay null."""
     model = docs.sparkSession.sparkContext.broadcast(trained())
-    schema = docs.schema
+    names = docs.columns
+    counted = length_col in names
 
     def make():
         find = finder(model.value, True)
 
         def piece(batch):
             new = find(batch.select([0, 1]))["redacted"]
-            out = {c.name: batch.column(i + 2) for i, c in enumerate(schema)}
-            out[text_col] = [None if old is None else x for old, x in zip(batch.column(1).to_pylist(), new, strict=True)]
-            if length_col in out:
-                out[length_col] = [None if x is None else len(x) for x in out[text_col]]
-            return out
+            texts = [None if old is None else x for old, x in zip(batch.column(1).to_pylist(), new, strict=True)]
+            return {"_row": batch.column(2), "_text": texts, "_length": [None if x is None else len(x) for x in texts] if counted else [None] * len(texts)}
 
         return piece
 
-    rows = docs.select(F.lit(0).alias("_key"), F.col(text_col).cast("binary").alias("_bytes"), "*")
-    return map_pieces(rows, make, schema, PIECE_BYTES)
+    schema = StructType([StructField("_row", docs.schema), StructField("_text", StringType()), StructField("_length", LongType())])
+    found = map_pieces(text_and_row(docs, text_col, text_col), make, schema, PIECE_BYTES)
+    row = F.col("_row")
+    changed = {text_col: F.col("_text")} | ({length_col: F.col("_length").cast(docs.schema[length_col].dataType)} if counted else {})
+    return found.select(*[changed.get(c, row.getField(c)).alias(c) for c in names])
