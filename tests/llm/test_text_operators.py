@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from tidewatch.llm import queries as q
 from tidewatch.llm.decontaminate import Index, contamination
-from tidewatch.llm.mpeg_audio import probe_media, read_mpeg, store_texts, write_mpeg
+from tidewatch.llm.mpeg_audio import feature, probe_media, read_mpeg, store_texts, write_mpeg
 from tidewatch.llm.packing import pack_pieces, plan_packing
 from tidewatch.llm.secrets_scan import find_spans, scan_secrets
 from tidewatch.llm.tokens import count_tokens
@@ -266,3 +266,80 @@ def test_media_keeps_payloads_that_say_tag():
             assert (x["payload"], x["skipped"], x["bad"]) == (payload, 0, 0) and len(x["offsets"]) == x["table"]["frames"]
     plain = write_mpeg(b"x" * 128)
     assert read_mpeg(plain + b"junk" + trailer)["skipped"] > 0 and read_mpeg(plain + trailer)["payload"] == b"x" * 128
+
+
+def test_media_random_round_trips():
+    """Every length up to 1,000 and texts full of the format's own patterns come back whole."""
+    rng = random.Random(7)
+    for n in range(1001):
+        payload = rng.randbytes(n)
+        assert read_mpeg(write_mpeg(payload))["payload"] == payload, n
+    marks = [b"TAG", b"Xing", b"Info", b"VBRI", b"ID3\x04\0\0\0\0\0\x09", b"\xff\xfa\xe8\xc0", b"\xff\xfb\x90\x64", b"TXXX", b"payload_bytes\x00" + b"5", b"\0" * 9, b"\xff"]
+    for n in (64, 128, 1408, 1417, 1418, 2880, 4096):
+        for at in range(0, n, 13):
+            mark = rng.choice(marks)
+            payload = (bytes(at) + mark + rng.choice([b"x", b"\0", b"\xff"]) * n)[:n]
+            assert read_mpeg(write_mpeg(payload))["payload"] == payload, (n, at, mark)
+    for _ in range(300):
+        payload = b"".join(rng.choice(marks) for _ in range(rng.randint(1, 700)))
+        assert read_mpeg(write_mpeg(payload))["payload"] == payload
+
+
+def test_media_hostile_files_do_not_crash():
+    rng = random.Random(8)
+    good = write_mpeg(b"some payload" * 300)
+    for value in ("²", "-1", "99999999999999999999999", "", "7"):
+        text = b"\x03payload_bytes\0" + value.encode()
+        tag = b"TXXX" + bytes([0, 0, 0, len(text)]) + b"\0\0" + text
+        x = read_mpeg(b"ID3\x04\0\0" + bytes([0, 0, 0, len(tag)]) + tag + good[good.index(b"\xff\xfa") :])
+        assert (len(x["payload"]) == 7) == (value == "7")
+    for _ in range(2000):
+        data = bytearray(good[: rng.randint(0, len(good))])
+        for _ in range(rng.randint(0, 20)):
+            if data:
+                data[rng.randrange(len(data))] = rng.choice([0, 0xFF, 0xFA, rng.randrange(256)])
+        read_mpeg(bytes(data))
+        read_mpeg(rng.choice([b"ID3", b"\xff\xfd", b"\xff\xff", b"TAG"]) + rng.randbytes(rng.randint(0, 400)))
+
+
+def frames(second: int, third: int, fourth: int, count: int, body) -> bytes:
+    from tidewatch.llm.mpeg_audio import header_at
+
+    head = bytes([0xFF, second, third, fourth])
+    size = header_at(head, 0)["size"]
+    return b"".join((head + body).ljust(size, b"\0") for _ in range(count))
+
+
+def plain_crc(bits: str) -> int:
+    v = 0xFFFF
+    for b in bits:
+        v = (v << 1 & 0xFFFF) ^ (0x8005 if (v >> 15) ^ int(b) else 0)
+    return v
+
+
+def test_media_checksums_of_layers_one_and_two():
+    bits_of = lambda data: "".join(f"{b:08b}" for b in data)
+    for second, third, fourth, allocation, selections in (
+        (0xFE, 0x94, 0xC0, "0010" + "0000" * 31, 0),  # Layer I mono
+        (0xFE, 0x94, 0x00, "0001" * 64, 0),  # Layer I stereo
+        (0xFC, 0xA4, 0xC0, "0001" * 11 + "001" * 12 + "01" * 4, 2 * 27),  # Layer II mono, 48 kHz
+        (0xF4, 0x84, 0xC0, "0001" * 4 + "001" * 7 + "01" * 19, 2 * 30),  # Layer II, low sampling rate
+    ):
+        covered = allocation + "10" * (selections // 2)
+        body = int(covered.ljust(-(-len(covered) // 8) * 8, "0"), 2).to_bytes(-(-len(covered) // 8), "big")
+        crc = plain_crc(bits_of(bytes([third, fourth])) + covered)
+        x = read_mpeg(frames(second, third, fourth, 3, crc.to_bytes(2, "big") + body))
+        assert (len(x["offsets"]), x["checked"], x["bad"]) == (3, 3, 0), (second, third)
+        y = read_mpeg(frames(second, third, fourth, 3, (crc ^ 1).to_bytes(2, "big") + body))
+        assert y["bad"] == 3
+
+
+def test_media_bitrate_tables():
+    x = read_mpeg(write_mpeg(bytes(50_000)))
+    assert x["table"]["kind"] == "Xing" and len(x["table"]["seek"]) == 100 and x["table"]["seek"] == sorted(x["table"]["seek"])
+    first = frames(0xFB, 0x90, 0xC0, 1, b"\0" * 32 + b"VBRI" + bytes(6) + (4000).to_bytes(4, "big") + (9).to_bytes(4, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + b"".join(n.to_bytes(2, "big") for n in (100, 200, 300)))
+    y = read_mpeg(first + frames(0xFB, 0x90, 0xC0, 2, b""))
+    assert y["table"] == {"kind": "VBRI", "frames": 9, "bytes": 4000, "seek": [0, 200, 600]} and len(y["offsets"]) == 2
+    bare = frames(0xFB, 0x90, 0xC0, 1, bytes(17) + b"Info" + (1).to_bytes(4, "big") + (2).to_bytes(4, "big"))
+    z = read_mpeg(bare + frames(0xFB, 0x90, 0xC0, 2, b""))
+    assert z["table"] == {"kind": "Info", "frames": 2, "bytes": None, "seek": None} and "vbr=2/none" in feature(z)

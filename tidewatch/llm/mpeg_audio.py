@@ -104,7 +104,7 @@ def header_at(data: bytes, at: int) -> dict | None:
     size = (12_000 * kbps // rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + pad
     mono = data[at + 3] >> 6 == 3
     side = (17 if mono else 32) if first else (9 if mono else 17)
-    return {"version": version, "layer": layer, "rate": rate, "kbps": kbps, "samples": samples, "size": size, "mono": mono, "crc": not data[at + 1] & 1, "side": side if layer == 3 else 0}
+    return {"version": version, "layer": layer, "rate": rate, "kbps": kbps, "samples": samples, "size": size, "mono": mono, "bound": 4 * (data[at + 3] >> 4 & 3) + 4 if data[at + 3] >> 6 == 1 else 32, "crc": not data[at + 1] & 1, "side": side if layer == 3 else 0}
 
 
 def read_tags(data: bytes) -> tuple[dict[str, str], int]:
@@ -126,6 +126,89 @@ def read_tags(data: bytes) -> tuple[dict[str, str], int]:
     return tags, end
 
 
+# Fixed values of the format: Layer II bit allocation tables as (bands, bits of each allocation field by band).
+ALLOCATION_BITS = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "lsf": [4] * 4 + [3] * 7 + [2] * 19}
+
+
+def allocation_fields(h: dict) -> tuple[list[int], int, int]:
+    """Layers I and II: bits of the allocation field of each subband, channels, and from which subband channels share one."""
+    channels = 1 if h["mono"] else 2
+    if h["layer"] == 1:
+        fields = [4] * 32
+    elif h["version"] != 3:
+        fields = ALLOCATION_BITS["lsf"]
+    else:
+        each = h["kbps"] // channels
+        low = each in (32, 48)
+        fields = ALLOCATION_BITS[("d" if h["rate"] == 32000 else "c") if low else "a" if h["rate"] == 48000 or 56 <= each <= 80 else "b"]
+    return fields, channels, min(h["bound"], len(fields))
+
+
+def protected_bytes(data: bytes, at: int, h: dict) -> tuple[bytes, int]:
+    """What the checksum of the frame at `at` covers: bytes and the number of bits of them that count.
+
+    The last two bytes of the header, then the side information of Layer III, or the bit allocation of Layer I, or bit
+    allocation and scale factor selection of Layer II.
+    """
+    body = data[at + 6 : at + h["size"]]
+    if h["layer"] == 3:
+        return data[at + 2 : at + 4] + body[: h["side"]], 8 * (2 + h["side"])
+    fields, channels, bound = allocation_fields(h)
+    bits, used, selected = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 0, 0
+    for band, width in enumerate(fields):
+        for _ in range(channels if band < bound else 1):
+            value = bits >> (512 - used - width) & ((1 << width) - 1)
+            used += width
+            if value and h["layer"] == 2:  # a shared allocation still has a selection for each channel
+                selected += 2 * (1 if band < bound else channels)
+    total = 16 + used + selected
+    return data[at + 2 : at + 4] + body[: (used + selected + 7) // 8], total
+
+
+def crc16_bits(data: bytes, bits: int) -> int:
+    """As crc16, over the first so many bits."""
+    v = crc16(data[: bits // 8])
+    for i in range(bits // 8 * 8, bits):
+        bit = data[i // 8] >> (7 - i % 8) & 1
+        v = (v << 1 & 0xFFFF) ^ (0x8005 if (v >> 15 ^ bit) & 1 else 0)
+    return v
+
+
+def bitrate_table(data: bytes, start: int, end: int, at: int) -> dict | None:
+    """A variable-bitrate table in a first frame: Xing or Info after the side information, or VBRI at a fixed place.
+
+    frames, bytes and seek are None where the table does not have them; seek holds byte offsets from the first frame at
+    even steps of the playing time.
+    """
+    number = lambda p, n: int.from_bytes(data[p : p + n], "big")
+    if data[start : start + 4] in (b"Xing", b"Info") and start + 8 <= end:
+        out: dict = {"kind": data[start : start + 4].decode(), "frames": None, "bytes": None, "seek": None}
+        flags, p = number(start + 4, 4), start + 8
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit and p + 4 <= end:
+                out[name] = number(p, 4)
+                p += 4
+        if flags & 4 and p + 100 <= end and out["bytes"] is not None:
+            out["seek"] = [x * out["bytes"] // 256 for x in data[p : p + 100]]
+        return out
+    p = at + 36
+    if data[p : p + 4] == b"VBRI" and p + 26 <= end:
+        entries, scale, size = number(p + 18, 2), number(p + 20, 2), number(p + 22, 2)
+        out = {"kind": "VBRI", "frames": number(p + 14, 4), "bytes": number(p + 10, 4), "seek": None}
+        if size and p + 26 + entries * size <= end:
+            out["seek"], total = [], 0
+            for i in range(entries):
+                out["seek"].append(total)
+                total += number(p + 26 + i * size, size) * scale
+        return out
+    return None
+
+
+def whole_number(text: str) -> int | None:
+    """A plain decimal number; digits of other scripts and signs are none."""
+    return int(text) if text.isascii() and text.isdigit() and len(text) <= 18 else None
+
+
 def read_mpeg(data: bytes) -> dict:
     """Tags, frames, checksums, the variable-bitrate table and the carried bytes of one file.
 
@@ -147,14 +230,14 @@ def read_mpeg(data: bytes) -> dict:
             skipped += sync - at
             at = sync
             continue
-        start = at + 4 + 2 * h["crc"] + h["side"]
-        if h["crc"] and h["layer"] == 3:
+        start = min(after, at + 4 + 2 * h["crc"] + h["side"])
+        if h["crc"] and h["size"] >= 6:
             checked += 1
-            bad += crc16(data[at + 2 : at + 4] + data[at + 6 : start]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            bad += crc16_bits(*protected_bytes(data, at, h)) != int.from_bytes(data[at + 4 : at + 6], "big")
         if first is None:
             first = h
-            if data[start : start + 4] in (b"Xing", b"Info"):
-                table = {"flags": int.from_bytes(data[start + 4 : start + 8], "big"), "frames": int.from_bytes(data[start + 8 : start + 12], "big"), "bytes": int.from_bytes(data[start + 12 : start + 16], "big")}
+            table = bitrate_table(data, start, after, at) if h["layer"] == 3 else None
+            if table is not None:
                 at = after
                 continue
         offsets.append(at)
@@ -163,11 +246,11 @@ def read_mpeg(data: bytes) -> dict:
         samples, rate = samples + h["samples"], h["rate"]
         at = after
     payload = b"".join(body)
-    stated = tags.get("payload_bytes", "")
+    stated = whole_number(tags.get("payload_bytes", ""))
     seconds = Fraction(samples, rate) if rate else Fraction(0)
     return {
         "tags": tags, "first": first, "offsets": offsets, "kbps": sorted(kbps), "samples": samples, "rate": rate, "seconds": seconds,
-        "checked": checked, "bad": bad, "skipped": skipped, "table": table, "payload": payload[: int(stated)] if stated.isdigit() else payload,
+        "checked": checked, "bad": bad, "skipped": skipped, "table": table, "payload": payload if stated is None else payload[:stated],
     }
 
 
@@ -176,7 +259,8 @@ def feature(x: dict) -> str:
     h, t = x["first"], x["table"]
     if h is None:
         return f"none;skipped={x['skipped']}"
-    vbr = f"{t['frames']}/{t['bytes']}" if t else "none"
+    said = lambda x: "none" if x is None else x
+    vbr = f"{said(t['frames'])}/{said(t['bytes'])}" if t else "none"
     return (
         f"mpeg{VERSIONS[h['version']]}-layer{h['layer']};rate={x['rate']};channels={1 if h['mono'] else 2};frames={len(x['offsets'])};samples={x['samples']};"
         f"seconds={x['seconds'].numerator}/{x['seconds'].denominator};kbps={'-'.join(map(str, sorted({min(x['kbps'], default=0), max(x['kbps'], default=0)})))};"
