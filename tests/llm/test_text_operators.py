@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewatch.llm import queries as q
+from tidewatch.llm import tokens
 from tidewatch.llm.decontaminate import Index, contamination
 from tidewatch.llm.mpeg_audio import feature, probe_media, read_mpeg, store_texts, write_mpeg
 from tidewatch.llm.packing import pack_pieces, plan_packing
@@ -191,6 +192,52 @@ def test_token_counts_random_texts(spark, seed):
     assert {r.doc_id: r.n_tokens for r in count_tokens(docs, public_tokenizers.path(q.BYTE_VOCABULARY)).collect()} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows}
 
 
+SCRIPTS = ["0020-007e", "00a0-017f", "0300-036f", "0370-03ff", "0400-04ff", "0590-05ff", "0600-06ff", "0900-097f", "0e00-0e7f", "1100-11ff", "1e00-1fff", "2000-206f", "2070-209f", "2150-218f", "2460-24ff", "3000-30ff", "4e00-4fff", "ac00-acff", "fb00-fdff", "ff00-ffef", "10900-1091f", "105c0-105f3", "1d400-1d7ff", "1f300-1f64f", "0000-001f", "0085-0085", "e0000-e007f"]
+
+
+def script_texts(rng, count):
+    """Random texts over all kinds of scripts, with white space of all kinds, special strings and contractions between."""
+    joints = [" ", "  ", "\n", "\n\n", "\n \n", "\t", "\u3000", "\u2009", "\x1d", "'s ", "'LL", "<|endoftext|>", "<|startoftext|>", "“quoted” — text… ", "Σ", "ΣΑΣ ", "İ", "e\u0301", " \u0308"]
+    for _ in range(count):
+        out = []
+        for _ in range(rng.randint(0, 12)):
+            low, high = (int(x, 16) for x in rng.choice(SCRIPTS).split("-"))
+            out.append("".join(chr(rng.randint(low, high)) for _ in range(rng.randint(1, 6))))
+            out.append(rng.choice(joints))
+        yield "".join(out)
+
+
+@pytest.mark.parametrize("frequent", [True, False])
+def test_tokens_of_all_scripts_equal_the_library(frequent):
+    """Counts by pre-tokens and ids by words, with and without a table of frequent ones."""
+    rng = random.Random(12)
+    for file, cut, value in ((q.BYTE_VOCABULARY, tokens.pre_tokens, "bytes_of"), (q.WORD_VOCABULARY, tokens.words, "words_of")):
+        path = public_tokenizers.path(file)
+        library, encoder = Tokenizer.from_file(path), tokens.Encoder(path)
+        texts = [*script_texts(rng, 3000), *ODD]
+        table = {w: getattr(encoder, value)(w) for t in texts[:500] for w in cut(t)} if frequent else {}
+        lookup = tokens.Lookup(table, getattr(encoder, value))
+        for t in texts:
+            assert [i for w in cut(t) for i in lookup[w]] == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_only_doubtful_pre_tokens_go_to_the_library(monkeypatch):
+    encoder, asked = tokens.Encoder(public_tokenizers.path(q.BYTE_VOCABULARY)), []
+    whole = encoder.whole
+    monkeypatch.setattr(encoder, "whole", type("Whole", (), {"encode": lambda self, t, **k: asked.append(t) or whole.encode(t, **k)})())
+    for t in tokens.pre_tokens("Привет, мир — “quoted” κόσμε 你好 x² ½ <|endoftext|>y end"):
+        encoder.bytes_of(t)
+    assert asked == [" x²", " ½", " <|endoftext|>y"]
+
+
+def test_frequent_pre_tokens_count_all_documents(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('common word', id % 7, ' only', id) as text").repartition(4)
+    found = tokens.frequent_pre_tokens(docs, tokens.pre_tokens)
+    assert found[0] == "common" and set(found[1:]) == {f" word{i}" for i in range(7)}
+    monkeypatch.setattr(tokens, "COUNTED_ENTRIES", 20)
+    assert tokens.frequent_pre_tokens(docs, tokens.pre_tokens)[0] == "common"
+
+
 def check_packing(packed, known):
     library = Tokenizer.from_file(public_tokenizers.path(q.WORD_VOCABULARY))
     rows, places = packed.collect(), {}
@@ -255,6 +302,13 @@ def test_pack_pieces_hot_length(spark):
     assert packed.count() == 5000 and packed.selectExpr("sequence_id", "offset").distinct().count() == 5000
 
 
+def test_pack_pieces_repeated_rows(spark):
+    pieces = spark.range(3000).selectExpr("7L as doc_id", "0 as piece", "0L as start", "500L as length", "1L as ids_crc32")
+    packed = pack_pieces(pieces, 2048)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"] and packed.selectExpr("sequence_id", "offset").distinct().count() == 3000
+    assert packed.select("sequence_id").distinct().count() == 750
+
+
 def test_media_keeps_payloads_that_say_tag():
     trailer = b"TAG" + b"title".ljust(125, b"\0")
     for n, at in ((128, 29), (1417, 1289), (1417 + 128, 1417 + 29)):

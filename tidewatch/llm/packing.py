@@ -91,21 +91,22 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[int, in
 def pack_pieces(pieces: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     """Add (sequence_id, offset) to pieces that have `key`, `piece`, `length` and `ids_crc32`."""
     spark = pieces.sparkSession
-    pieces = materialise(pieces, "pieces")
+    names = pieces.columns
+    pieces = materialise(pieces.withColumn("_deal", F.monotonically_increasing_id()), "pieces")  # written, so that it stays
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     plan = plan_packing(histogram, capacity)
     buckets = max(LEAST_BUCKETS, sum(histogram.values()) // BUCKET_ROWS)
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(key, "piece", "ids_crc32", "_deal"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("length", "_bucket", before.alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(key, "piece", "ids_crc32"))
+    within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(key, "piece", "ids_crc32", "_deal"))
     ranked = dealt.withColumn("_row", within).join(starts, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
     places = spark.createDataFrame(plan, "length long, _low long, _high long, _first long, _offset long, _each long")
     placed = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
     at = F.col("_rank") - F.col("_low")
     return placed.select(
-        *[ranked[c] for c in pieces.columns],
+        *[ranked[c] for c in names],
         (F.col("_first") + F.floor(at / F.col("_each"))).cast("long").alias("sequence_id"),
         (F.col("_offset") + at % F.col("_each") * ranked["length"]).cast("long").alias("offset"),
     )

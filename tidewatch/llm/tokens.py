@@ -1,8 +1,14 @@
 """Token counts and ids by two tiers of pre-token tables: a broadcast table of frequent ones, then a cache per worker.
 
-A text takes the table path only if its characters are ones on which the library's own patterns are restated here
-exactly (printable ASCII, tab, line ends, Latin-1 and Latin Extended-A letters and signs); any other text, and any text with
-a special token's string, goes to the library whole.
+A pre-token here is a run of white space with the run of other characters after it. No token of the two kinds of
+vocabulary crosses from one into the next, whatever their characters are, so a text's tokens are those of its
+pre-tokens. A miss in both tiers is cut by the library's own pattern, restated with Python's character classes, and its
+words are encoded by the bare model. Only where the restatement may differ (other numbers than decimal ones, code points
+that Python's tables do not know, separators that Python takes for white space, a special token's string) the library
+encodes that one pre-token, never the whole text.
+
+Frequent pre-tokens are counted over all documents, by counters of bounded size in the tasks. They change speed only,
+never a result.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows give repeated results; an empty table
 gives an empty result; other columns of the input are ignored.
@@ -11,26 +17,32 @@ gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
+import zlib
 from collections import Counter
+from functools import cache
 from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_pieces, map_rows, text_bytes
-
-#: Letters of Unicode category L among the characters of the table path.
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
-#: Characters outside the table path: other numbers (superscripts, fractions) and the dotted capital I among them.
-UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ſ]|<\\|")
-#: The two vocabularies' pre-token patterns, restated for the characters above.
-BYTE_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
-WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
-
-#: Bounds of the broadcast table and of a worker's cache. They change speed only, never a result.
-SAMPLE_ROWS = 2_000
-TABLE_ENTRIES = 65_536
-CACHE_ENTRIES = 100_000
+from .common import map_pieces, map_rows, text_bytes
+
+#: The characters that Unicode calls white space.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PRE_TOKEN = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+WORD = re.compile(f"[^{SPACE}]+")
+#: Separators that are white space for Python's split and patterns, and not for Unicode.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+#: The two vocabularies' own patterns; letters are word characters without digits and the low line.
+BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+WORD_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+#: Bounds of the broadcast table, of a task's counter, of what a task reports, and of a worker's caches.
+TABLE_ENTRIES = 1 << 17
+COUNTED_ENTRIES = 1 << 18
+REPORTED_ENTRIES = 1 << 16
+CACHE_ENTRIES = 1 << 17
 LONGEST_ENTRY = 64
 
 
@@ -41,116 +53,154 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-class Lookup(dict):
-    """Pre-token to value; a miss is encoded by the library's model and kept in the worker's bounded cache."""
+@cache
+def doubtful(c: str) -> bool:
+    """Whether a character may count otherwise for the library than for Python's patterns."""
+    return "\x1c" <= c <= "\x1f" or unicodedata.category(c) in ("No", "Nl", "Cn")
 
-    def __init__(self, frequent: dict, encode) -> None:
-        super().__init__(frequent)
-        self.encode, self.cache = encode, {}
 
-    def __missing__(self, word):
-        value = self.cache.get(word)
-        if value is None:
-            value = self.encode(word)
-            if len(word) <= LONGEST_ENTRY:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[word] = value
-        return value
+def restated(pre_token: str) -> bool:
+    """Whether the patterns above cut this pre-token as the library does."""
+    if "<|" in pre_token:
+        return False
+    if pre_token.isascii():
+        return not SEPARATORS.search(pre_token)
+    return not any(map(doubtful, pre_token))
+
+
+def normal_form(word: str) -> str:
+    """As the word-level vocabulary normalises: composed, then each character in lower case by itself."""
+    return word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
 
 
 class Encoder:
-    """The library's tokenizer of one file, and its bare model for single pre-tokens."""
+    """The library's tokenizer of one file, and its bare model for the words of pre-tokens."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model, self.alphabet = self.whole.model, byte_alphabet()
+        self.words: dict[str, list[int]] = {}
+
+    def word(self, word: str) -> list[int]:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = [t.id for t in self.model.tokenize("".join([self.alphabet[b] for b in word.encode()]))]
+            if len(word) <= LONGEST_ENTRY:
+                if len(self.words) >= CACHE_ENTRIES:
+                    self.words.clear()
+                self.words[word] = ids
+        return ids
+
+    def bytes_of(self, pre_token: str) -> list[int]:
+        """Ids of a pre-token of a byte-level vocabulary."""
+        if not restated(pre_token):
+            return self.whole.encode(pre_token, add_special_tokens=False).ids
+        return list(chain.from_iterable(map(self.word, BYTE_LEVEL.findall(pre_token))))
 
-    def pre_token(self, word: str) -> list[int]:
-        alphabet = self.alphabet
-        return [t.id for t in self.model.tokenize("".join([alphabet[b] for b in word.encode()]))]
+    def words_of(self, pre_token: str) -> list[int]:
+        """Ids of a pre-token of a word-level vocabulary, which drops white space."""
+        if not restated(pre_token):
+            return self.whole.encode(pre_token, add_special_tokens=False).ids
+        return list(chain.from_iterable(map(self.word, WORD_LEVEL.findall(normal_form(pre_token)))))
 
-    def text(self, text: str) -> list[int]:
-        return self.whole.encode(text, add_special_tokens=False).ids
+
+class Lookup(dict):
+    """Pre-token to value: the broadcast table, and for the rest the worker's bounded cache."""
+
+    def __init__(self, frequent: dict, value) -> None:
+        super().__init__(frequent)
+        self.value, self.cache = value, {}
+
+    def __missing__(self, pre_token):
+        found = self.cache.get(pre_token)
+        if found is None:
+            found = self.value(pre_token)
+            if len(pre_token) <= LONGEST_ENTRY:
+                if len(self.cache) >= CACHE_ENTRIES:
+                    self.cache.clear()
+                self.cache[pre_token] = found
+        return found
 
 
 _WORKER: dict = {}
 
 
-def worker_lookup(kind: str, path: str, frequent, value) -> tuple[Encoder, Lookup]:
+def worker_lookup(kind: str, path: str, frequent, value) -> Lookup:
     """One encoder and cache per worker process and table, shared by the tasks that it runs."""
     key = (kind, path, frequent.id if hasattr(frequent, "id") else id(frequent))
     if key not in _WORKER:
         _WORKER.clear()
         encoder = Encoder(path)
-        _WORKER[key] = encoder, Lookup(frequent.value, lambda w: value(encoder.pre_token(w)))
+        _WORKER[key] = Lookup(frequent.value, lambda w: value(encoder, w))
     return _WORKER[key]
 
 
-def frequent_pre_tokens(docs: DataFrame, pattern: re.Pattern, lower: bool, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """The commonest pre-tokens of a bounded hash sample of documents, TABLE_ENTRIES at most."""
-    sample = bounded_sample(docs.select(id_col, text_col), id_col, SAMPLE_ROWS, seed=8)
+def pre_tokens(text: str) -> list[str]:
+    return PRE_TOKEN.findall(text)
 
-    def make():
-        def piece(batch):
-            seen: Counter = Counter()
-            for data in batch.column(1).to_pylist():
-                text = (data or b"").decode()
-                if not UNUSUAL.search(text):
-                    seen.update(pattern.findall(text.lower() if lower else text))
-            kept = [(w, n) for w, n in seen.items() if len(w) <= LONGEST_ENTRY]
-            return {"word": [w for w, _ in kept], "n": [n for _, n in kept]}
 
-        return piece
+def words(text: str) -> list[str]:
+    """Pre-tokens without their white space."""
+    return WORD.findall(text) if SEPARATORS.search(text) else text.split()
+
 
-    counts = map_pieces(text_bytes(sample, id_col, text_col), make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(TABLE_ENTRIES)
-    return [r.word for r in top.select("word").collect()]
+def frequent_pre_tokens(docs: DataFrame, cut, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
+    """The commonest pre-tokens of all documents, TABLE_ENTRIES at most.
+
+    A task's counter that is full keeps its larger half, and a task reports its largest counts.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: Counter = Counter()
+        for batch in batches:
+            for data in batch.column(1).to_pylist():
+                seen.update(cut((data or b"").decode()))
+                if len(seen) > COUNTED_ENTRIES:
+                    seen = Counter(dict(seen.most_common(COUNTED_ENTRIES // 2)))
+        kept = [(w, n) for w, n in seen.most_common(REPORTED_ENTRIES) if n > 1 and len(w) <= LONGEST_ENTRY]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+
+    counts = text_bytes(docs, id_col, text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(TABLE_ENTRIES).select("word").collect()]
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens) of every whole text under a byte-level vocabulary; no pre-token is shuffled."""
-    words = frequent_pre_tokens(docs, BYTE_LEVEL, False, id_col, text_col)
+    """(id, n_bytes, n_tokens) of every whole text under a byte-level vocabulary; no text's pre-tokens are shuffled."""
     encoder = Encoder(path)
-    frequent = docs.sparkSession.sparkContext.broadcast({w: len(encoder.pre_token(w)) for w in words})
+    frequent = docs.sparkSession.sparkContext.broadcast({w: len(encoder.bytes_of(w)) for w in frequent_pre_tokens(docs, pre_tokens, id_col, text_col)})
 
     def make():
-        library, lengths = worker_lookup("count", path, frequent, len)
-        split, unusual, length = BYTE_LEVEL.findall, UNUSUAL.search, lengths.__getitem__
+        length = worker_lookup("count", path, frequent, lambda e, w: len(e.bytes_of(w))).__getitem__
 
         def one(key, data):
-            if not data:
-                return key, 0, 0
-            text = data.decode()
-            return key, len(data), len(library.text(text)) if unusual(text) else sum(map(length, split(text)))
+            return (key, len(data), sum(map(length, pre_tokens(data.decode())))) if data else (key, 0, 0)
 
         return one
 
     return map_rows(text_bytes(docs, id_col, text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long")
 
 
+def packed(ids: list[int]) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids])
+
+
 def encode_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and one end id, cut at `capacity`."""
-    import zlib
-
-    words = frequent_pre_tokens(docs, WORD_LEVEL, True, id_col, text_col)
     encoder = Encoder(path)
-    pack = lambda ids: b"".join([i.to_bytes(4, "little") for i in ids])
-    frequent = docs.sparkSession.sparkContext.broadcast({w: pack(encoder.pre_token(w)) for w in words})
-    width = 4 * capacity
+    frequent = docs.sparkSession.sparkContext.broadcast({w: packed(encoder.words_of(w)) for w in frequent_pre_tokens(docs, words, id_col, text_col)})
+    width, last = 4 * capacity, end_id.to_bytes(4, "little")
 
     def make():
-        library, ids_of = worker_lookup("ids", path, frequent, pack)
-        split, unusual, ids = WORD_LEVEL.findall, UNUSUAL.search, ids_of.__getitem__
-        last = end_id.to_bytes(4, "little")
+        ids = worker_lookup("ids", path, frequent, lambda e, w: packed(e.words_of(w))).__getitem__
 
         def piece(batch):
             rows = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = (data or b"").decode()
-                coded = pack(library.text(text)) + last if unusual(text) else b"".join(chain(map(ids, split(text.lower())), (last,)))
+                coded = b"".join(chain(map(ids, words((data or b"").decode())), (last,)))
                 for n, at in enumerate(range(0, len(coded), width)):
                     part = coded[at : at + width]
                     rows.append((key, n, at // 4, len(part) // 4, zlib.crc32(part)))
