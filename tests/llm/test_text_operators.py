@@ -221,6 +221,18 @@ def test_tokens_of_all_scripts_equal_the_library(frequent):
             assert [i for w in cut(t) for i in lookup[w]] == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_word_ids_in_batches_equal_the_library(monkeypatch):
+    """Batches of any kind of text, with caches that are full after every one."""
+    rng, path = random.Random(13), public_tokenizers.path(q.WORD_VOCABULARY)
+    library, found = Tokenizer.from_file(path), tokens.WordIds(path)
+    monkeypatch.setattr(tokens, "WORD_ENTRIES", 300)
+    texts = [*script_texts(rng, 1500), *ODD, "İ İstanbul", " ".join(f"W{i}x{i * i}!" for i in range(900)), "it's 'S don't !!'s '"]
+    for at in range(0, len(texts), 97):
+        part = texts[at : at + 97] + texts[:5]
+        assert found.encode(part) == [tokens.packed(library.encode(t, add_special_tokens=False).ids) for t in part]
+    assert not any(len(w) > tokens.LONGEST_ENTRY for w in (*found.new, *found.old))
+
+
 def test_only_doubtful_pre_tokens_go_to_the_library(monkeypatch):
     encoder, asked = tokens.Encoder(public_tokenizers.path(q.BYTE_VOCABULARY)), []
     whole = encoder.whole

@@ -1,4 +1,4 @@
-"""Token counts and ids by two tiers of pre-token tables: a broadcast table of frequent ones, then a cache per worker.
+"""Token counts by two tiers of pre-token tables, a broadcast table of frequent ones and a cache per worker; token ids.
 
 A pre-token here is a run of white space with the run of other characters after it. No token of the two kinds of
 vocabulary crosses from one into the next, whatever their characters are, so a text's tokens are those of its
@@ -16,6 +16,7 @@ gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -23,6 +24,7 @@ from collections import Counter
 from functools import cache
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,11 @@ TABLE_ENTRIES = 1 << 17
 COUNTED_ENTRIES = 1 << 18
 REPORTED_ENTRIES = 1 << 16
 CACHE_ENTRIES = 1 << 17
+WORD_ENTRIES = 1 << 18
 LONGEST_ENTRY = 64
+#: Words that are encoded as one text, and text that a task encodes together, bytes; a longer text is taken alone.
+JOINED_WORDS = 200
+PIECE_BYTES = 2 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -56,7 +62,7 @@ def byte_alphabet() -> list[str]:
 @cache
 def doubtful(c: str) -> bool:
     """Whether a character may count otherwise for the library than for Python's patterns."""
-    return "\x1c" <= c <= "\x1f" or unicodedata.category(c) in ("No", "Nl", "Cn")
+    return "\x1c" <= c <= "\x1f" or c == "İ" or unicodedata.category(c) in ("No", "Nl", "Cn")
 
 
 def restated(pre_token: str) -> bool:
@@ -69,8 +75,8 @@ def restated(pre_token: str) -> bool:
 
 
 def normal_form(word: str) -> str:
-    """As the word-level vocabulary normalises: composed, then each character in lower case by itself."""
-    return word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+    """As the word-level vocabulary normalises: composed, then each character in lower case by itself (no final sigma)."""
+    return word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
 
 
 class Encoder:
@@ -184,23 +190,78 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return map_rows(text_bytes(docs, id_col, text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long")
 
 
-def packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+def packed(ids) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
+
+
+class WordIds:
+    """Pre-token to packed ids of a word-level vocabulary, for all pre-tokens of a batch of texts at once.
+
+    Each worker learns what it meets: unknown words are joined and encoded together, and fall apart at the tokens that
+    end a word. What the last batches used is kept in two generations of bounded size.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread: Spark runs a task on every core
+        self.encoder, self.new, self.old = Encoder(path), {}, {}
+        vocabulary = self.encoder.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        library = self.encoder.whole
+        texts = [" ".join(words[i : i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
+        ids = np.fromiter(chain.from_iterable(x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)), np.dtype("<u4"))
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) != len(words) or (len(cut) and cut[-1] != len(ids)):  # a word that is not one word when joined: each by itself
+            return {w: packed(self.encoder.words_of(w)) for w in words}
+        raw, edges = ids.tobytes(), (4 * np.concatenate([[0], cut])).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, edges[:-1], edges[1:], strict=True)}
+
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens without white space; what holds for all of them is done to all of them at once."""
+        odd = [w for w in missing if "<|" in w]
+        if any(map(doubtful, set().union(*missing))):
+            odd += [w for w in missing if "<|" not in w and not restated(w)]
+        plain = list(missing.difference(odd))
+        normal = normal_form(" ".join(plain)).split(" ") if plain else []
+        parts = [n if n.isalpha() else WORD_LEVEL.findall(n) for n in normal]
+        ids = self.encode_words(list({x for p in parts for x in ((p,) if p.__class__ is str else p)}))
+        found = {w: packed(self.encoder.whole.encode(w, add_special_tokens=False).ids) for w in odd}
+        found.update((w, ids[p] if p.__class__ is str else b"".join([ids[x] for x in p])) for w, p in zip(plain, parts, strict=True))
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.new) > WORD_ENTRIES:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        lists = [words(t) for t in texts]
+        ids = [list(map(new.get, x)) for x in lists]
+        gaps = [[i for i, v in enumerate(x) if v is None] for x in ids]
+        missing = {ws[i] for ws, g in zip(lists, gaps, strict=True) for i in g}
+        found = {w: old[w] for w in missing if w in old}
+        found |= self.learn(missing - found.keys())
+        for ws, x, g in zip(lists, ids, gaps, strict=True):
+            for i in g:
+                x[i] = found[ws[i]]
+        new.update((w, v) for w, v in found.items() if len(w) <= LONGEST_ENTRY)
+        return list(map(b"".join, ids))
 
 
 def encode_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and one end id, cut at `capacity`."""
-    encoder = Encoder(path)
-    frequent = docs.sparkSession.sparkContext.broadcast({w: packed(encoder.words_of(w)) for w in frequent_pre_tokens(docs, words, id_col, text_col)})
-    width, last = 4 * capacity, end_id.to_bytes(4, "little")
+    width, last = 4 * capacity, packed([end_id])
 
     def make():
-        ids = worker_lookup("ids", path, frequent, lambda e, w: packed(e.words_of(w))).__getitem__
+        if ("ids", path) not in _WORKER:
+            _WORKER.clear()
+            _WORKER["ids", path] = WordIds(path)
+        ids = _WORKER["ids", path]
 
         def piece(batch):
             rows = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                coded = b"".join(chain(map(ids, words((data or b"").decode())), (last,)))
+            for key, coded in zip(batch.column(0).to_pylist(), ids.encode([(x or b"").decode() for x in batch.column(1).to_pylist()]), strict=True):
+                coded += last
                 for n, at in enumerate(range(0, len(coded), width)):
                     part = coded[at : at + width]
                     rows.append((key, n, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -209,4 +270,4 @@ def encode_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col
 
         return piece
 
-    return map_pieces(text_bytes(docs, id_col, text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long")
+    return map_pieces(text_bytes(docs, id_col, text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long", PIECE_BYTES)
