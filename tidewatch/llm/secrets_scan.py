@@ -14,15 +14,28 @@ from pyspark.sql import DataFrame
 from .automaton import Automaton, compile_rules, ends, longest
 from .common import map_rows, text_bytes
 
-#: Kind, pattern, whether letters match in either case, least length. Matches under the least length
-#: are dropped. A hexadecimal run would accept in nearly every word, so its limit also stands in the pattern;
-#: counting in the rarer rules as well would only multiply the states.
+#: Kind, pattern of the scan, what follows it in a whole match, whether letters match in either case, least
+#: length. Matches under the least length are dropped. A hexadecimal run would accept in nearly every word, so its limit
+#: also stands in the pattern. The scan looks for the marks of providers alone, and the rest of a match is followed from
+#: there: long runs of several rules side by side would multiply the states of the combined automaton.
 RULES = [
-    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=\-]+)""", True, 0),
-    ("access", r"AKIA[A-Z0-9]+", False, 20),
-    ("hex", r"[0-9a-f]{24,}", False, 24),
-    ("github", r"gh[oprsu]_[A-Za-z0-9]+", False, 40),
-    ("private_key", r"-----BEGIN [A-Z]+ ?[A-Z]* ?KEY-----", False, 0),
+    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=\-]+)""", "", True, 0),
+    ("access", r"AKIA[A-Z0-9]+", "", False, 20),
+    ("hex", r"[0-9a-f]{24,}", "", False, 24),
+    ("github", r"gh[oprsu]_", r"[A-Za-z0-9]+", False, 40),
+    ("private_key", r"-----BEGIN [A-Z]+ ?[A-Z]* ?KEY-----", "", False, 0),
+    ("github_fine", r"github_pat_", r"[A-Za-z0-9_]+", False, 60),
+    ("gitlab", r"glpat-", r"[A-Za-z0-9_\-]+", False, 26),
+    ("slack", r"xox[abeoprs]-", r"[A-Za-z0-9\-]+", False, 24),
+    ("google_api", r"AIza", r"[A-Za-z0-9_\-]+", False, 39),
+    ("stripe", r"[rs]k_(live|test)_", r"[A-Za-z0-9]+", False, 24),
+    ("sendgrid", r"SG\.", r"[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", False, 60),
+    ("npm", r"npm_", r"[A-Za-z0-9]+", False, 40),
+    ("pypi", r"pypi-AgE", r"[A-Za-z0-9_\-]+", False, 60),
+    ("hugging", r"hf_", r"[A-Za-z0-9]+", False, 34),
+    ("digitalocean", r"do[oprt]_v1_", r"[0-9a-f]+", False, 71),
+    ("shopify", r"shp(at|ca|pa|ss)_", r"[0-9a-fA-F]+", False, 38),
+    ("web_token", r"eyJ", r"[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", False, 40),
 ]
 BASE = ("assign", "access", "hex")
 VALUE = re.compile(rb"""[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -31,9 +44,10 @@ MIN_VALUE = 6
 
 @cache
 def automata() -> tuple[Automaton, list[Automaton], list[Automaton]]:
-    """The combined automaton, and per rule an anchored one forwards and one backwards."""
-    rules = [(pattern, fold) for _, pattern, fold, _ in RULES]
-    return compile_rules(rules), [compile_rules([r], anchored=True) for r in rules], [compile_rules([r], anchored=True, reverse=True) for r in rules]
+    """The combined automaton, and per rule an anchored one of whole matches forwards and one of the scan backwards."""
+    rules = [(pattern, fold) for _, pattern, _, fold, _ in RULES]
+    whole = [compile_rules([(pattern + rest, fold)], anchored=True) for _, pattern, rest, fold, _ in RULES]
+    return compile_rules(rules), whole, [compile_rules([r], anchored=True, reverse=True) for r in rules]
 
 
 def find_spans(data: bytes, compiled=None) -> list[tuple[int, int, int]]:
@@ -50,8 +64,10 @@ def find_spans(data: bytes, compiled=None) -> list[tuple[int, int, int]]:
             if start is None:
                 continue
             stop = longest(forwards[rule], data, start, len(data), 1)
+            if stop is None:  # the mark of a provider without what must follow it
+                continue
             free[rule] = stop
-            if stop - start < RULES[rule][3]:
+            if stop - start < RULES[rule][4]:
                 continue
             if RULES[rule][0] == "assign" and len(VALUE.fullmatch(data, start, stop)[1]) < MIN_VALUE:
                 continue
