@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import common, jaccard, langid, licenses, pii, quality
+from tidewatch.llm import common, crf, jaccard, langid, licenses, pii, quality
 from tidewatch.llm import queries as q
 from tidewatch.llm.trie import link_group
 
@@ -224,6 +227,86 @@ def test_personal_model_adds_and_keeps(spark):
     assert pii.find_personal(odd_rows(spark)).count() == 7 and pii.redact(odd_rows(spark).limit(0)).count() == 0
 
 
+def test_viterbi_equals_all_paths():
+    """The best of all tag paths of every line, with strong and weak transitions, also where lines touch."""
+    rng = np.random.default_rng(11)
+    code_pool = np.array([0, 5, 11, 400, 9_000, 30_001])
+    for round_ in range(150):
+        tags = int(rng.integers(2, 5))
+        weights = lambda: rng.normal(0, 1, (crf.FEATURES, tags)) + (np.arange(tags) == 0) * rng.choice([0, 0.4, 1.0])  # noqa: E731, B023
+        model = crf.Crf([str(i) for i in range(tags)], weights(), weights(), weights(), rng.normal(0, rng.choice([0.5, 3]), (tags, tags)), rng.normal(0, 1, tags))
+        line = np.sort(rng.integers(0, 4, int(rng.integers(1, 14))))
+        code = rng.choice(code_pool, len(line))
+        got = model.decode(code, line)
+        e = [w[crf.features_of(code)].sum(1) for w in (model.before, model.here, model.after)]
+        for n in np.unique(line):
+            at = np.flatnonzero(line == n)
+            score = e[1][at].copy()
+            score[1:] += e[0][at[:-1]]
+            score[:-1] += e[2][at[1:]]
+            value = lambda p: score[range(len(p)), p].sum() + model.first[p[0]] + sum(model.step[a, b] for a, b in itertools.pairwise(p))  # noqa: E731, B023
+            best = max(value(p) for p in itertools.product(range(tags), repeat=len(at))) if len(at) <= 6 else None
+            assert best is None or np.isclose(value(tuple(got[at])), best), round_
+
+
+def test_crf_gradient_equals_differences():
+    rng = np.random.default_rng(3)
+    table = crf.Table(pii.labelled_table(5, 12), pii.TAGS)
+    count = len(pii.TAGS)
+    theta = {"before": rng.normal(0, 0.3, (crf.FEATURES, count)), "here": rng.normal(0, 0.3, (crf.FEATURES, count)), "after": rng.normal(0, 0.3, (crf.FEATURES, count)), "step": rng.normal(0, 0.3, (count, count)), "first": rng.normal(0, 0.3, count)}
+    _, grad = table.loss(theta)
+    for k, g in grad.items():
+        for at in map(tuple, rng.permutation(np.argwhere(np.abs(g) > 1e-4))[:4]):
+            values = []
+            for h in (1e-5, -1e-5):
+                theta[k][at] += h
+                values.append(table.loss(theta)[0])
+                theta[k][at] -= h
+            assert np.isclose((values[0] - values[1]) / 2e-5, g[at], rtol=1e-3, atol=1e-7), k
+
+
+def test_personal_model_precision_and_recall():
+    """On sentences that were not learnt from: spans by kind, whole and of the right kind."""
+    model, good, wrong, missed = pii.trained(), Counter(), Counter(), Counter()
+
+    def spans(tags):
+        return {(i, len(list(itertools.takewhile(lambda t: t == f"I-{x[2:]}", tags[i + 1 :]))), x[2:]) for i, x in enumerate(tags) if x.startswith("B-")}  # noqa: B023
+
+    for words, gold in pii.labelled_table(99, 500):
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        code = crf.shapes(data, *crf.tokens(data))
+        known, found = spans(gold), spans([model.tags[i] for i in model.decode(code, np.zeros(len(code), int))])
+        good.update(k for *_, k in known & found)
+        wrong.update(k for *_, k in found - known)
+        missed.update(k for *_, k in known - found)
+    for k in pii.KINDS:
+        assert good[k] >= 0.9 * (good[k] + wrong[k]) and good[k] >= 0.9 * (good[k] + missed[k]), k
+
+
+def test_personal_kinds_beyond_the_base(spark):
+    texts = {
+        "SSN 123-45-6789": [("model_national_id", "123-45-6789")],
+        "his number is 020 7946 0958 today": [("model_phone", "020 7946 0958")],
+        "please meet Mr. John Smith at 12 Baker Street, London": [("model_name", "John Smith"), ("model_address", "12 Baker Street")],
+        "order 555-123-4567 was sent": [],
+        "call 555-123-4567 now": [("model_phone", "555-123-4567")],
+        "phone: 5551234567": [("model_phone", "5551234567")],
+        "in 2024-01-02 the Street was closed": [],
+        "The Big Dog went. Then He ran": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.find_personal(docs).collect()} == dict(enumerate(texts.values()))
+
+
+def test_personal_long_line():
+    """A line of 300,000 words is decoded in stretches, not a step a word."""
+    text = ("plain words of a line " * 60_000 + "call 555-123-4567 now").encode()
+    data = np.frombuffer(text, np.uint8)
+    began = time.time()
+    assert [data[a:b].tobytes() for a, b, _ in pii.model_spans(pii.trained(), data, np.array([len(data) + 1]))] == [b"555-123-4567"]
+    assert time.time() - began < 20
+
+
 def test_pipeline_stages_take_clashing_columns(spark, small):
     """Columns named as the operators' own ones pass through every stage unchanged."""
     clashing = ["score", "lang_pred", "_bytes", "_row", "_id", "_text", "_key", "n_words", "n_hit", "items", "contaminated", "node", "n", "prefix", "component_id", "spans", "piece", "length"]

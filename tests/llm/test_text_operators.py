@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewatch.llm import queries as q
-from tidewatch.llm import tokens
+from tidewatch.llm import secrets_scan, tokens
 from tidewatch.llm.decontaminate import Index, contamination
 from tidewatch.llm.mpeg_audio import feature, probe_media, read_mpeg, store_texts, write_mpeg
 from tidewatch.llm.packing import pack_pieces, plan_packing
@@ -74,6 +74,26 @@ def test_secrets_added_kinds_and_odd_rows(spark):
     assert scan_secrets(fixture(spark).limit(0)).count() == 0
 
 
+ADDED = [(k, re.compile(p + rest, re.A), least) for k, p, rest, _, least in secrets_scan.RULES[3:]]
+
+
+def test_secrets_of_providers_match_brute_force():
+    """Each added rule alone, and random texts of marks and runs, against the whole patterns."""
+    rng = random.Random(6)
+    run = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    mixed, low = "abcXYZ019", "abcdef0189"
+    marks = ["ghp_", "github_pat_", "glpat-", "xoxb-", "AIza", "sk_live_", "rk_test_", "SG.", "npm_", "pypi-AgE", "hf_", "dop_v1_", "shpat_", "eyJ", ".eyJ", ".", "-----BEGIN RSA PRIVATE KEY-----"]
+    whole = {"SG.": "SG." + run(mixed, 22) + "." + run(mixed, 43), "eyJ": "eyJ" + run(mixed, 20) + ".eyJ" + run(mixed, 20) + "." + run(mixed, 20), "dop_v1_": "dop_v1_" + run(low, 64), "shpat_": "shpat_" + run(low, 32)}
+    texts = [f"x {whole.get(m, m + run(mixed, 80))} y" for m in marks if m not in (".", ".eyJ")]
+    assert all(any(k > 2 for _, k, _ in find_spans(t.encode())) for t in texts)
+    texts += ["".join(rng.choice([rng.choice(marks), run(mixed, rng.randint(1, 60)), run(low, 64), " ", "é", "-", "_"]) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    for t in texts:
+        data = t.encode()
+        got = [(a, secrets_scan.RULES[k][0], b) for a, k, b in find_spans(data) if k > 2]
+        back = data.decode("latin-1")  # one character a byte
+        assert sorted(got) == sorted((m.start(), k, m.end()) for k, p, least in ADDED for m in p.finditer(back) if len(m[0]) >= least), t
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import map_pieces, text_and_row, text_bytes
-from .crf import Crf, shapes, tokens, train
+from .crf import CUES, Crf, shapes, tokens, train
 from .words import join_texts
 
 BASE = ("email", "ip", "card", "phone")
@@ -69,41 +69,67 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-TAGS = ["O", *(f"{p}-{k}" for k in BASE for p in "BI")]
-#: How labelled values are written, by kind; # is a digit, x a letter, _ a word break.
+CUE_WORDS = {w for words in CUES.values() for w in words.split()}
+STREETS = set(CUES["street"].split())
+#: What the model adds: more of the base kinds, and kinds that no base pattern has.
+KINDS = (*BASE, "name", "address", "national_id")
+TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
+#: How labelled values are written, by kind; # is a digit, x a letter, X a capital one, _ a word break.
+#: Words in brackets stand before or after a value as cues and are not part of it.
 FORMS = {
-    "email": ["xxxx.xx@xxxxx.xxx", "xx##@xxxx#.xxxxxxx.xxx", "xxxxxx@xxxx.xx"],
+    "email": ["xxxx.xx@xxxxx.xxx", "xx##@xxxx#.xxxxxxx.xxx", "xxxxxx@xxxx.xx", "xxéx@xxxx.xxx"],
     "ip": ["##.##.#.###", "###.###.##.#", "#.#.#.#", "###.##.###.##"],
     "card": ["################", "####_####_####_####", "####-####-####-####", "####_######_#####"],
-    "phone": ["+#_(###)_###-####", "+##_###_###_####", "(###)_###-####", "###-###-####", "###.###.####", "+###########", "+##-###-#######"],
-}
+    "phone": [
+        "+#_(###)_###-####", "+##_###_###_####", "(###)_###-####", "###-###-####", "###.###.####", "+###########", "+##-###-#######", "[phone]_###-###-####", "[tel]_###_####_####",
+        "[call]_0##_####_####", "[mobile]_0####_######", "[telefon]_0###_#######", "[phone]_##########", "[fax]_(0##)_####_####", "0##_####_####", "0####_######",
+    ],
+    "name": ["[mr]_Xxxxx_Xxxxxx", "[mrs]_Xxxx", "[dr]_Xxxxx_X._Xxxxxxx", "[dr]_Xxxx_X._Xxx", "[mr]_Xxx_Xxx", "[name]_Xxx_X._Xxxx", "[prof]_Xxxxxxx", "[name]_Xxxxx_Xxxxxx", "[signed]_Xxxx_Xxxxx", "[ms]_Xxxx_Xxxxx-Xxxxx", "[herr]_Xxxxxx", "[frau]_Xxxx_Xxxxxx", "[regards]_Xxxxx_Xxxxxx", "[señora]_Xxxxx_Xxxxx"],
+    "address": ["##_Xxxx_Street", "###_Xxxxxx_Avenue", "####_Xxxx_Xxxxx_Road", "#_Xxxxx_Lane", "##_X._Xxxx_St.", "###_Xxxxxxx_Blvd", "##x_Xxxxxx_Drive", "##_rue_xx_Xxxxx", "##_Xxxxxx_Court", "###_Xxxx_Ave."],
+    "national_id": ["###-##-####", "[ssn]_###-##-####", "[social]_[security]_###-##-####", "[ssn]_#########", "[insurance]_XX######X", "XX_##_##_##_X", "[passport]_X########", "[nino]_XX_##_##_##_X", "[dni]_########X"],
+}
 #: Things of similar shape that are not personal data.
-PLAIN_FORMS = ["#", "##", "####", "#####", "######", "##########", "#.#", "##,###", "####-##-##", "##:##", "x#", "xx-##", "v#.#.#", "(##)", "(xxxx)", "x_@_x", "+#", "#-#", "##%", "xxx=####", "xxxx---", "xxxxx###", "xxx!!", "xxx$$$", "xxx%%%", "xxx&&&", "xxx***", "|", "########xx##x", "xxxx://xxx.xxx", "####_####", "###_###_###"]
-LABELLED_SENTENCES = 400
+PLAIN_FORMS = [
+    "#", "##", "####", "#####", "######", "##########", "#.#", "##,###", "####-##-##", "##:##", "x#", "xx-##", "v#.#.#", "(##)", "(xxxx)", "x_@_x", "+#", "#-#", "##%", "xxx=####", "xxxx---", "xxxxx###", "xxx!!", "xxx$$$", "xxx%%%", "xxx&&&", "xxx***", "|", "########xx##x", "xxxx://xxx.xxx",
+    "####_####", "###_###_###", "order_###-###-####", "invoice_###-##-####", "ref_##########", "order_#########", "serial_####-####-####", "isbn_###-#-##-######-#", "ticket_0##_####_####", "version_##.##.##", "part_XX######X", "Xxxxx_Xxxxxx", "Xxxx_Street", "## xxxx_street", "##_Xxxx_xxxx",
+    "mr_xxxx", "the_street_xx", "Xxxxx_xx", "call_xx_xxxx", "name_xx_xxxx", "st._Xx_xxxx", "XXXX_XXXXX", "XX!!_XXX!!", "##_xxx_Xxxxx", "Xxxx_##_Xxxx_xxx", "st_xxx", "phone_xxx", "Xxxxx_X._Xxxx", "dr_xxxx_xxx", "##_Xxxxxx", "Xxx,_Xxxx", "rue_xx_xxxx", "social_xxxx", "Xxxxx_Xxxx._Xxx_xxxx",
+]
+LABELLED_SENTENCES = 700
 
 
-def labelled_table() -> list[tuple[list[bytes], list[str]]]:
-    """A small labelled table made by rule from the forms above: words around at most two values a sentence."""
-    rng = random.Random(20240101)
+def labelled_table(seed: int = 20240101, count: int = LABELLED_SENTENCES) -> list[tuple[list[bytes], list[str]]]:
+    """A small labelled table made by rule from the forms above: words around at most three values a sentence."""
+    rng = random.Random(seed)
     letter = lambda: rng.choice("etaoinshrdluécm")
     word = lambda: "".join(letter() for _ in range(rng.randint(1, 10)))
-    fill = lambda form: "".join(rng.choice("0123456789") if c == "#" else letter() if c == "x" else c for c in form)
+
+    def fill(form: str) -> str:
+        return "".join(rng.choice("0123456789") if c == "#" else letter() if c == "x" else letter().replace("é", "e").upper() if c == "X" else c for c in form)
+
+    cased = lambda w: rng.choice([w, w, w.capitalize(), w.upper()])
     rows = []
-    for _ in range(LABELLED_SENTENCES):
+    for _ in range(count):
         words, tags = [], []
         for _ in range(rng.randint(1, 3)):
-            for _ in range(rng.randint(0, 5)):
+            for _ in range(rng.randint(0, 6)):
                 w = word()
-                words.append(w.capitalize() if rng.random() < 0.2 else w.upper() if rng.random() < 0.1 else w)
+                w = w.capitalize() if rng.random() < 0.25 else w.upper() if rng.random() < 0.1 else w
+                words.append(w + rng.choice(".,,!") if rng.random() < 0.15 else w)
                 tags.append("O")
             if rng.random() < 0.6:
-                kind = rng.choice(BASE)
-                parts = fill(rng.choice(FORMS[kind])).split("_")
-                tags += [f"B-{kind}", *[f"I-{kind}"] * (len(parts) - 1)]
+                kind, first = rng.choice(KINDS), True
+                for part in rng.choice(FORMS[kind]).split("_"):
+                    if part.startswith("["):
+                        words.append(cased(part[1:-1]) + rng.choice(["", "", ":", "."]))
+                        tags.append("O")
+                    else:
+                        words.append(part if part.lower().strip(".") in STREETS else fill(part))
+                        tags.append(f"{'B' if first else 'I'}-{kind}")
+                        first = False
             else:
-                parts = fill(rng.choice(PLAIN_FORMS)).split("_")
+                parts = rng.choice(PLAIN_FORMS).replace(" ", "_").split("_")
+                words += [cased(x) if x in CUE_WORDS else x if x.lower().strip(".") in STREETS else fill(x) for x in parts]
                 tags += ["O"] * len(parts)
-            words += parts
             if rng.random() < 0.25:
                 words[-1] += rng.choice(".,;:")
         rows.append(([w.encode() for w in words], tags))
@@ -115,8 +141,8 @@ def trained() -> Crf:
     return train(labelled_table(), TAGS)
 
 
-#: What a span of the model must hold to be added: least and most digits by kind (an address needs none).
-ADDED_DIGITS = {"email": (0, 999), "ip": (4, 12), "card": (13, 19), "phone": (9, 15)}
+#: What a span of the model must hold to be added: least and most digits by kind.
+ADDED_DIGITS = {"email": (0, 999), "ip": (4, 12), "card": (13, 19), "phone": (9, 15), "name": (0, 0), "address": (1, 6), "national_id": (6, 10)}
 EDGE = b".,;:!?\"'%$#&*|"
 
 
@@ -150,8 +176,12 @@ def plausible(text: str, kind: str) -> bool:
         return "@" in text[1:-1] and "." in text[text.index("@") :]
     if kind == "ip":
         parts = text.split(".")
-        return len(parts) == 4 and all(p.isdigit() and int(p) <= 255 for p in parts)
-    return luhn(d) if kind == "card" else not text.isdigit()
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p) <= 255 for p in parts)
+    if kind == "name":
+        return any(p[0].isupper() and len(p) > 1 for p in text.split())
+    if kind == "address":
+        return any(p[0].isupper() for p in text.split())
+    return kind != "card" or luhn(d)
 
 
 def finder(model: Crf, redacted: bool):
@@ -174,8 +204,8 @@ def finder(model: Crf, redacted: bool):
                 at = a
                 value = x[a:b].decode()
                 start, end = chars, chars + len(value)
-                if plausible(value, BASE[kind]) and not any(p < end and start < r for p, _, r in base):
-                    rows.append((start, len(BASE) + kind, end, f"model_{BASE[kind]}"))
+                if plausible(value, KINDS[kind]) and not any(p < end and start < r for p, _, r in base):
+                    rows.append((start, len(BASE) + kind, end, f"model_{KINDS[kind]}"))
             rows.sort()
             spans.append([{"kind": k, "start": a, "end": b, "value": text[a:b]} for a, _, b, k in rows])
             if redacted:
