@@ -122,6 +122,16 @@ def test_jaccard_join_matches_all_pairs(spark, monkeypatch, most):
     assert got == brute_classes(rows)
 
 
+def test_jaccard_copies_and_salted_rows(spark, monkeypatch):
+    """Thousands of copies are one node; the shuffled form gives the same rows as the broadcast one."""
+    text = " ".join(f"t{i}" for i in range(40))
+    docs = spark.range(4000).selectExpr("id + 10 as doc_id", f"case when id % 4 = 0 then 'alone ' || id || ' ' || (id * 7) || ' a b c' else '{text}' || if(id % 100 = 1, ' one more', '') end as text")
+    expected = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(docs).collect()}
+    assert {c for i, (_, c) in expected.items() if (i - 10) % 4} == {11} and all(expected[i][1] == i for i in expected if (i - 10) % 4 == 0)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(docs).collect()} == expected
+
+
 def test_jaccard_odd_rows(spark):
     rows = jaccard.link_documents(odd_rows(spark)).collect()
     assert len(rows) == 7 and {(r.doc_id, r.component_id) for r in rows} == {(i, i) for i in (1, 2, 3, 4, 5, None)}
@@ -133,7 +143,8 @@ def test_trie_links_equal_all_pairs():
     for _ in range(40):
         base = [np.unique(rng.integers(0, 60, 40)) for _ in range(3)]
         sets = [np.unique(np.concatenate([np.delete(b, rng.integers(0, len(b), rng.integers(0, 4))), rng.integers(100, 200, rng.integers(0, 3))])).astype(np.uint64) for b in base for _ in range(6)]
-        union = link_group(sets, list(range(len(sets))), 85, 100)
+        rank = rng.integers(0, 128, jaccard.SKETCH).astype(np.uint8)
+        union = link_group(jaccard.trie_order(sets, rank), list(range(len(sets))), 85, 100)
         up = list(range(len(sets)))
         for i in range(len(sets)):
             for j in range(i):

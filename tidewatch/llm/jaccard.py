@@ -6,11 +6,11 @@
    n - ceil(t n) + 1 n-grams of both: only these go into buckets. The sketch changes the work, never the result.
 3. A bucket's smallest node is its pivot. All buckets of a pivot are one group of nodes. A large group is dealt into
    bounded chunks that each hold the pivot too. In a group only the n-grams that stand in some bucket travel at first:
-   how many of them two sets share, and the lengths that remain, bound their overlap, and the group falls apart into
-   the sets that may be linked.
-   Only their texts are brought together, for a trie join. Where a large group has not become one class after that, its
-   blocks of different classes are joined pairwise in the same way. So every pair that shares a bucket has been ruled
-   out, compared, or is already in one class.
+   a trie join of these first parts in the global order, pruned by the lengths that remain, parts the group into the
+   sets that may be linked. Only their texts are brought together, for a trie join of the whole sets in the same order
+   from its frequent end. Where a large group has not become one class after that, its blocks of different classes and
+   of like set sizes are joined pairwise in the same way. So every pair that shares a bucket has been ruled out,
+   compared, or is already in one class.
 4. Classes come from label propagation with pointer jumping over links to the smallest node of each local class.
 
 Defined results: a null or blank text has no n-grams and is linked with nothing; a text of fewer than n words has one
@@ -21,6 +21,7 @@ class; an empty table gives an empty result; other columns of the input are igno
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_small_batches, map_pieces, materialise, text_bytes
-from .trie import Union, link_group
+from .trie import Union, join_group, link_group
 from .words import NOT_SPACE, gram_hashes, join_texts, mix, word_hashes
 
 WORDS = 4
@@ -44,6 +45,10 @@ GROUP_GRAMS = 400_000
 PIECE_BYTES = 2 << 20
 #: Ids that may be broadcast to pick texts out of the documents (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Parts that a node of very many copies is dealt into where the table of nodes is too large to broadcast.
+SALTS = 16
+#: Width of a band of set sizes, as a logarithm: a little over the ratio that linked sets may have.
+BAND = math.log(DENOMINATOR / (NUMERATOR - 1))
 
 
 def gram_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -115,9 +120,8 @@ def mark_places(length: int) -> np.ndarray:
     return -(-np.arange(1, MARKS + 1) * length // MARKS)
 
 
-def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def prepare(docs: DataFrame, classes, id_col: str, text_col: str) -> DataFrame:
     """(id, n, node, prefix, marks): set size, node, the rarest n-grams of every document, and evenly spaced ones of them."""
-    classes = docs.sparkSession.sparkContext.broadcast(sketch_classes(docs, id_col, text_col))
 
     def make():
         rank = classes.value
@@ -142,21 +146,23 @@ def prepare(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_pieces(text_bytes(docs, id_col, text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, n long, node long, prefix array<long>, marks array<long>", PIECE_BYTES)
 
 
-def possible(shared: list[list[int]], sizes: list[int], marks: list[list[int]]) -> np.ndarray:
-    """Which pairs may be linked, from the n-grams that the first parts of two sets have in common.
+def may_link(parts: list[list[int]], sizes: list[int], marks: list[list[int]]) -> Union:
+    """Union of the sets that may be linked, by a trie join of their first parts, of which only bucketed n-grams travel.
 
     Up to the end of the first part that ends sooner, the overlap is the count in common; beyond, it is at most what is
     left of the shorter rest. Where the other set stands at that point is known to a step of its marks.
     """
-    values, inverse = np.unique(np.concatenate(shared), return_inverse=True)
-    has = np.zeros((len(shared), len(values)), np.float32)
-    has[np.repeat(np.arange(len(shared)), [len(x) for x in shared]), inverse] = 1
     n = np.array(sizes)
     last = np.array([m[-1] for m in marks])
     reached = np.stack([np.append(0, mark_places(first_part(k)))[np.searchsorted(m, last, side="right")] for m, k in zip(marks, sizes, strict=True)])
     rest = n[:, None] - reached  # of i, beyond the end of j's first part
-    most = (has @ has.T).astype(np.int64) + np.minimum(rest, rest.T)
-    return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * np.add.outer(n, n)
+    beyond, furthest = np.minimum(rest, rest.T).tolist(), n.tolist()
+    both = NUMERATOR + DENOMINATOR
+    least_overlap = lambda i, size: -(-NUMERATOR * (sizes[i] + size) // both)
+    most_beyond = rest.max(1).tolist()
+    worth = lambda most, i, least: most + min(most_beyond[i], furthest[i]) >= least_overlap(i, least)
+    met = lambda overlap, i, j: overlap + beyond[i][j] >= least_overlap(i, sizes[j])
+    return join_group([np.sort(np.array(p, np.int64)) for p in parts], sizes, list(range(len(parts))), worth, met)
 
 
 def runs(batches, keys: int):
@@ -188,10 +194,7 @@ def candidate_groups(members: DataFrame, grams: DataFrame) -> DataFrame:
             if len(held) < 2:
                 continue
             nodes, labels, sizes, shared, marks = zip(*held, strict=True)
-            maybe = possible(shared, sizes, marks)
-            union = Union(range(len(nodes)))
-            for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(maybe, 1))), strict=True):
-                union.join(i, j)
+            union = may_link(shared, sizes, marks)
             parts: dict[int, list[int]] = {}
             for i in range(len(nodes)):
                 parts.setdefault(union.root(i), []).append(i)
@@ -204,7 +207,16 @@ def candidate_groups(members: DataFrame, grams: DataFrame) -> DataFrame:
     return materialise(in_small_batches(rows).mapInArrow(run, "group long, node long, label long").distinct(), "candidates")
 
 
-def join_groups(groups: DataFrame, texts: DataFrame) -> DataFrame:
+def trie_order(sets: list[np.ndarray], rank: np.ndarray) -> list[np.ndarray]:
+    """Sets as ascending places in the global order from its frequent end: near copies share long runs there."""
+    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.lexsort((values, rank[(values >> np.uint64(44)).astype(np.int64)]))[::-1]
+    place = np.empty(len(values), np.int64)
+    place[order] = np.arange(len(values))
+    return [np.sort(x) for x in np.split(place[inverse], np.cumsum([len(x) for x in sets])[:-1])]
+
+
+def join_groups(groups: DataFrame, texts: DataFrame, classes) -> DataFrame:
     """Links (node, root) inside every group: groups has group, node and label; texts has node and text."""
     rows = groups.join(texts, "node").select("group", "node", "label", "_bytes").repartition("group").sortWithinPartitions("group", "node")
 
@@ -213,7 +225,9 @@ def join_groups(groups: DataFrame, texts: DataFrame) -> DataFrame:
             nodes, labels, data = zip(*held, strict=True)
             sets = gram_sets([x or b"" for x in data])
             good = [i for i, x in enumerate(sets) if node_id(x) == nodes[i]]  # an id may be used for other texts as well
-            union = link_group([sets[i] for i in good], [labels[i] for i in good], NUMERATOR, DENOMINATOR)
+            if len(good) < 2:
+                continue
+            union = link_group(trie_order([sets[i] for i in good], classes.value), [labels[i] for i in good], NUMERATOR, DENOMINATOR)
             least: dict[int, int] = {}
             for j, i in enumerate(good):
                 r = union.root(j)
@@ -241,26 +255,25 @@ def classes_of(links: DataFrame) -> DataFrame:
         labels = new
 
 
-def pick_texts(docs: DataFrame, prepared: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) of one document for each node."""
-    known = prepared.where(F.col("prefix").isNotNull()).select(id_col, "node").join(nodes, "node", "left_semi")
-    ids = materialise(known.groupBy("node").agg(F.min(id_col).alias(id_col)), "ids")
+def pick_texts(docs: DataFrame, known: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of one document for each node; known has each node once with the smallest id of its documents."""
+    ids = materialise(known.join(nodes, "node", "left_semi").select("node", id_col), "ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return text_bytes(docs, id_col, text_col).join(side, id_col).select("node", "_bytes")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): set size and the smallest id reachable by links, for every row."""
-    prepared = materialise(prepare(docs, id_col, text_col), "prepared")
-    tokens = prepared.select(F.explode("prefix").alias("token"), "node")
-    # Counts shuffle least, and most n-grams are alone: only the others are looked at with their nodes.
-    several = tokens.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
-    shared = materialise(tokens.join(several, "token", "left_semi").distinct(), "shared")  # copies fall together
-    buckets = shared.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("token", "pivot")
-    bucketed = materialise(shared.join(buckets, "token"), "buckets")
-    first = prepared.where(F.col("marks").isNotNull()).groupBy("node").agg(F.min(id_col).alias(id_col))
-    known = prepared.select("node", id_col, "n", "marks").join(first, ["node", id_col], "left_semi").select("node", "n", "marks")
-    grams = bucketed.groupBy("node").agg(F.collect_list("token").alias("grams")).join(known, "node")  # a first part at most
+    classes = docs.sparkSession.sparkContext.broadcast(sketch_classes(docs, id_col, text_col))
+    prepared = materialise(prepare(docs, classes, id_col, text_col), "prepared")
+    # Copies are folded before anything is made of their n-grams; most of them already where they are read.
+    folded = prepared.where(F.col("prefix").isNotNull()).groupBy("node").agg(F.min(id_col).alias(id_col), F.count("*").alias("_copies"), F.min(F.struct("n", "prefix", "marks")).alias("_first"))
+    known = materialise(folded.select("node", id_col, "_copies", "_first.*"), "nodes")
+    tokens = known.select(F.explode("prefix").alias("token"), "node")
+    buckets = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("token", "pivot")
+    bucketed = materialise(tokens.join(buckets, "token"), "buckets")
+    sizes_of = known.select("node", "n", "marks")
+    grams = bucketed.groupBy("node").agg(F.collect_list("token").alias("grams")).join(sizes_of, "node")  # a first part at most
     stars = bucketed.where("node <> pivot").select("pivot", "node").distinct()
     stars = materialise(stars.join(known.select("node", "n"), "node").select("pivot", "node", "n"), "stars")
     chunks = F.greatest(F.ceil(F.count("*") / GROUP_NODES), F.ceil(F.sum("n") / GROUP_GRAMS)).cast("int")
@@ -270,22 +283,29 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def links_of(members: DataFrame) -> DataFrame:
         groups = candidate_groups(members, grams)
-        return join_groups(groups, pick_texts(docs, prepared, groups.select("node").distinct(), id_col, text_col))
+        return join_groups(groups, pick_texts(docs, known, groups.select("node").distinct(), id_col, text_col), classes)
 
     links = links_of(dealt.unionByName(pivots).withColumn("label", F.col("node")))
     labels = classes_of(links)
     large = sizes.where("_chunks > 1").select("pivot")
     if large.limit(1).count():
-        members = block_members(stars.join(large, "pivot", "left_semi"), labels)
+        members = block_members(stars.join(large, "pivot", "left_semi"), known.select("node", F.col("n").alias("_pivot_n")), labels)
         if members is not None:
             labels = classes_of(links.unionByName(links_of(members)))
 
-    rows = prepared.select(id_col, "n", "node").join(labels, "node", "left")
-    # Rows without n-grams have no node and stay alone.
-    rows = rows.select(id_col, "n", F.coalesce("label", "node").alias("label"))
-    smallest = rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(id_col).alias("_least"))
-    least = F.when(F.col(id_col).isNotNull(), F.coalesce("_least", id_col))
-    return rows.join(smallest, "label", "left").select(id_col, F.col("n").alias("n_shingles"), least.alias("component_id"))
+    # The smallest id of a class comes from its nodes; rows of a node that is alone in its class have it at hand.
+    joined = labels.join(known.select("node", id_col), "node")
+    smallest = joined.groupBy("label").agg(F.min(id_col).alias("_least"))
+    linked = joined.join(smallest, "label").select("node", "_least")
+    copied = known.where("_copies > 1").join(labels, "node", "left_anti").select("node", F.col(id_col).alias("_least"))
+    least = materialise(linked.unionByName(copied), "least")
+    rows = prepared.select(id_col, "n", "node")
+    if least.count() <= BROADCAST_IDS:
+        found = rows.join(F.broadcast(least), "node", "left")
+    else:  # a node of very many copies is dealt over tasks
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+        found = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS))).join(least.withColumn("_salt", salts), ["node", "_salt"], "left")
+    return found.select(id_col, F.col("n").alias("n_shingles"), F.when(F.col(id_col).isNotNull(), F.coalesce("_least", id_col)).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,32 +321,32 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates())
 
 
-def block_members(stars: DataFrame, labels: DataFrame) -> DataFrame | None:
+def block_members(stars: DataFrame, pivot_sizes: DataFrame, labels: DataFrame) -> DataFrame | None:
     """Members (pivot, part, node, label) that bring different classes of large groups together; None if each is one class.
 
-    A class is dealt into blocks of bounded size, small classes of a group share blocks; pairs of blocks are joined
-    except where both are of one class.
+    Sets go into bands by size: linked ones are in one band or in neighbours. The part of a class in a band is dealt into
+    blocks of bounded size, small ones of a group and band share blocks; pairs of blocks of one or neighbouring bands are
+    joined except where both are of one class.
     """
-    every = stars.select("pivot", "node", "n").unionByName(stars.select("pivot", F.col("pivot").alias("node"), F.lit(0).cast("long").alias("n")).distinct())
-    marked = every.join(labels, "node", "left").select("pivot", "node", "n", F.coalesce("label", "node").alias("label"))
+    own = stars.select(F.col("pivot").alias("node")).distinct().join(pivot_sizes, "node").select(F.col("node").alias("pivot"), "node", F.col("_pivot_n").alias("n"))
+    every = stars.select("pivot", "node", "n").unionByName(own)
+    marked = every.join(labels, "node", "left").select("pivot", "node", F.floor(F.log(F.col("n").cast("double")) / BAND).alias("band"), "n", F.coalesce("label", "node").alias("label"))
     several = marked.groupBy("pivot").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("pivot")
     open_to = materialise(marked.join(several, "pivot", "left_semi"), "open")
     if not open_to.limit(1).count():
         return None
     fits = F.greatest(F.ceil(F.count("*") / GROUP_NODES), F.ceil(F.sum("n") / GROUP_GRAMS))
-    sizes = open_to.groupBy("pivot", "label").agg(fits.alias("_blocks"), F.count("*").alias("_nodes"), F.sum("n").alias("_grams"))
+    sizes = open_to.groupBy("pivot", "band", "label").agg(fits.alias("_blocks"), F.count("*").alias("_nodes"), F.sum("n").alias("_grams"))
     small = (F.col("_blocks") == 1) & (F.col("_nodes") * 2 <= GROUP_NODES) & (F.col("_grams") * 2 <= GROUP_GRAMS)
-    pools = sizes.where(small).groupBy("pivot").agg(F.greatest(F.ceil(2 * F.sum("_nodes") / GROUP_NODES), F.ceil(2 * F.sum("_grams") / GROUP_GRAMS), F.lit(1)).alias("_pools"))
-    named = sizes.join(pools, "pivot", "left").withColumn("_small", small)
+    pools = sizes.where(small).groupBy("pivot", "band").agg(F.greatest(F.ceil(2 * F.sum("_nodes") / GROUP_NODES), F.ceil(2 * F.sum("_grams") / GROUP_GRAMS), F.lit(1)).alias("_pools"))
+    named = sizes.join(pools, ["pivot", "band"], "left").withColumn("_small", small)
     pool = F.concat(F.lit("p"), F.pmod(F.xxhash64("label"), F.col("_pools")).cast("string"))
-    blocks = materialise(
-        open_to.join(named.select("pivot", "label", "_blocks", "_small", pool.alias("_pool")), ["pivot", "label"])
-        .select("pivot", "node", "label", F.when(F.col("_small"), F.col("_pool")).otherwise(F.concat_ws(":", "label", F.pmod(F.xxhash64("node"), F.col("_blocks")))).alias("block"), F.when(~F.col("_small"), F.col("label")).alias("_only")),
-        "blocks",
-    )
-    names = blocks.select("pivot", "block", "_only").distinct()
-    other = names.select("pivot", F.col("block").alias("_other"), F.col("_only").alias("_other_only"))
-    pairs = names.join(other, "pivot").where((F.col("block") <= F.col("_other")) & ~F.coalesce(F.col("_only") == F.col("_other_only"), F.lit(False)))
+    name = F.concat_ws("/", F.col("band").cast("string"), F.when(F.col("_small"), F.col("_pool")).otherwise(F.concat_ws(":", "label", F.pmod(F.xxhash64("node"), F.col("_blocks")))))
+    dealt = open_to.join(named.select("pivot", "band", "label", "_blocks", "_small", pool.alias("_pool")), ["pivot", "band", "label"])
+    blocks = materialise(dealt.select("pivot", "band", "node", "label", name.alias("block"), F.when(~F.col("_small"), F.col("label")).alias("_only")), "blocks")
+    names = blocks.select("pivot", "band", "block", "_only").distinct()
+    other = names.select("pivot", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("block").alias("_other"), F.col("_only").alias("_other_only"))
+    pairs = names.join(other, ["pivot", "band"]).where((F.col("block") <= F.col("_other")) & ~F.coalesce(F.col("_only") == F.col("_other_only"), F.lit(False)))
     part = F.concat_ws("|", "block", "_other").alias("part")
     wanted = pairs.select("pivot", "block", part).unionByName(pairs.where("block <> _other").select("pivot", F.col("_other").alias("block"), part))
     return blocks.join(wanted, ["pivot", "block"]).select("pivot", "part", "node", "label")

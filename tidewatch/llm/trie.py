@@ -1,7 +1,9 @@
-"""A trie of ordered sets with shared partial overlaps, for Jaccard links inside one bounded group of sets."""
+"""A trie of globally ordered sets with shared partial overlaps, for joins inside one bounded group of sets."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -56,48 +58,50 @@ def insert(top: Node, elements: np.ndarray, size: int, which: int) -> None:
         node, at = child, at + same
 
 
-def link_group(sets: list[np.ndarray], labels: list, numerator: int, denominator: int) -> Union:
-    """Union of the sets of a group that are linked: denominator * |A and B| >= numerator * |A or B|.
+def join_group(sets: list[np.ndarray], sizes: list[int], labels: list, worth: Callable[[int, int, int], bool], met: Callable[[int, int, int], bool]) -> Union:
+    """Union of the sets of a group for which `met(overlap, i, j)` holds.
 
-    Elements are put in one order, those of most sets first, so that similar sets share long runs from the root;
-    elements of a single set are left out of the trie and only count in sizes. A set is looked for from the root with
-    its overlap so far; a subtree is left when the overlap and all that can follow, of either side, is too little for
-    the smallest set below. Sets that are already in one class need no comparison.
+    Each set is an ascending array of places in one global order, and goes into the trie in that order. A set is looked
+    for from the root with its overlap so far, which all sets below share; a subtree is left when `worth(most, i, least)`
+    does not hold: `most` is the overlap and all that can follow of either side, `least` the smallest size below. Sets
+    that are already in one class need no comparison.
     """
     union = Union(labels)
-    sizes = [len(x) for x in sets]
-    if not sets:
-        return union
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(values), np.int64)
-    rank[order] = np.arange(len(values))
-    shared = int((counts > 1).sum())
-    parts = np.split(rank[inverse], np.cumsum(sizes)[:-1])
-    ranked = [np.sort(p[p < shared]) for p in parts]
-    both = numerator + denominator
-    top, member = Node(np.zeros(0, np.int64)), np.zeros(shared, bool)
-    for i, own in enumerate(ranked):
-        classes = {union.root(j) for j in range(i)}
-        if classes and not (len(classes) == 1 and union.root(i) in classes):
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True) if sets else (np.zeros(0),) * 3
+    shared = counts > 1  # elements of a single set cannot overlap: they only count in sizes
+    number = np.cumsum(shared) - 1
+    member = np.zeros(int(shared.sum()), bool)
+    top = Node(np.zeros(0, np.int64))
+    parts = np.split(inverse, np.cumsum([len(x) for x in sets])[:-1]) if sets else []
+    for i, part in enumerate(parts):
+        own = number[part[shared[part]]]
+        roots = {union.root(j) for j in range(i)}
+        if roots and not (len(roots) == 1 and union.root(i) in roots):
             member[own] = True
             stack = [(top, 0)]
             while stack:
                 node, overlap = stack.pop()
+                rest = len(own)
                 if len(node.run):
                     overlap += int(np.count_nonzero(member[node.run]))
-                    rest = len(own) - int(np.searchsorted(own, node.run[-1], side="right"))
-                else:
-                    rest = len(own)
-                if both * (overlap + min(rest, node.after)) < numerator * (sizes[i] + node.least):
+                    rest -= int(np.searchsorted(own, node.run[-1], side="right"))
+                if not worth(overlap + min(rest, node.after), i, node.least):
                     continue
                 for j in node.ends:
-                    if union.root(i) != union.root(j) and denominator * overlap >= numerator * (sizes[i] + sizes[j] - overlap):
+                    if union.root(i) != union.root(j) and met(overlap, i, j):
                         union.join(i, j)
-                        classes = {union.root(k) for k in range(i)}
-                if len(classes) == 1 and union.root(i) in classes:
+                        roots = {union.root(k) for k in range(i)}
+                if len(roots) == 1 and union.root(i) in roots:
                     break
                 stack += [(child, overlap) for child in node.below.values()]
             member[own] = False
         insert(top, own, sizes[i], i)
     return union
+
+
+def link_group(sets: list[np.ndarray], labels: list, numerator: int, denominator: int) -> Union:
+    """Union of the sets that are linked: denominator * |A and B| >= numerator * |A or B|."""
+    sizes, both = [len(x) for x in sets], numerator + denominator
+    worth = lambda most, i, least: both * most >= numerator * (sizes[i] + least)
+    met = lambda overlap, i, j: both * overlap >= numerator * (sizes[i] + sizes[j])
+    return join_group(sets, sizes, labels, worth, met)
