@@ -199,6 +199,71 @@ def test_quality_held_out_accuracy(spark):
     assert sum(p == y for _, y, p in held) >= 0.95 * len(held)
 
 
+def plain_quality(model, text):
+    """The network as loops over chunks of 16 bytes, one step each."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    padded = list(text) + [quality.PAD] * (-len(text) % 8)
+    rows = [padded[i : i + 8] for i in range(0, len(padded), 8)]
+    rows += [[quality.PAD] * 8] * 2
+    chunks = [(rows[i], rows[i + 1]) for i in range(len(rows) - 1)]
+    value = lambda f, a, b: sum(float(p["embed"][c] @ p[side][8 * i : 8 * i + 8, f]) for side, half in (("left", a), ("right", b)) for i, c in enumerate(half))
+    top = [max(value(f, a, b) for a, b in chunks) for f in range(quality.FILTERS)]
+    on = [max(0.0, t + b) for t, b in zip(top, p["bias"], strict=True)]
+    hidden = [np.tanh(sum(on[f] * p["mix"][f, j] for f in range(len(on))) + p["mix_bias"][j]) for j in range(quality.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(a * b for a, b in zip(hidden, p["out"], strict=True)) + p["out_bias"][0])))
+
+
+def test_quality_equals_plain_loops(monkeypatch):
+    model = quality.fit([(b"good words here and there", 1), (b"%%% %%% ###", 0), ("été".encode(), 1)] * 5)
+    rng = random.Random(1)
+    texts = [b"", b"x", b"12345678", b"123456789", rng.randbytes(40), b"a" * 61, rng.randbytes(100)]
+    expected = [plain_quality(model, t) for t in texts]
+    for strip in (1 << 16, 1, 2, 5):
+        monkeypatch.setattr(quality, "STRIP", strip)
+        assert np.allclose(model.scores(texts), expected, atol=1e-4), strip
+
+
+def test_quality_gradient_equals_differences():
+    model = quality.fit([(b"good words here and there", 1), (b"%%% %%% ###", 0)] * 5)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    texts, y = [b"good or bad ### words", b"%%%", b"and some more of it all"], np.array([1.0, 0.0, 0.0])
+    rng = np.random.default_rng(2)
+    _, grad = model.loss(texts, y)
+    for k, g in grad.items():
+        for at in map(tuple, rng.permutation(np.argwhere(np.abs(g) > 1e-6))[:4]):
+            values = []
+            for h in (1e-6, -1e-6):
+                model.p[k][at] += h
+                values.append(model.loss(texts, y)[0])
+                model.p[k][at] -= h
+            assert np.isclose((values[0] - values[1]) / 2e-6, g[at], rtol=1e-3, atol=1e-8), (k, at)
+
+
+def test_language_equals_dense_kernel_ridge():
+    """With every text a landmark, the features span the kernel: scores equal kernel ridge regression on the whole kernel."""
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice(w) for _ in range(8)).encode(), lang) for lang, w in (("en", ["the", "and", "with", "that"]), ("de", ["der", "und", "mit", "dass"]), ("fr", ["les", "et", "avec", "que"])) for _ in range(12)]
+    model = langid.fit(rows)
+
+    def grams(t):
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in t)
+        return {low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)}
+
+    def kernel(a, b):
+        return len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
+
+    texts = [t for t, _ in rows]
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])
+    y = np.where(np.array([lang for _, lang in rows])[:, None] == np.array(model.languages), 1.0, -1.0)
+    centre = k - k.mean(0) - k.mean(1)[:, None] + k.mean()
+    alpha = np.linalg.solve(centre + langid.RIDGE * len(rows) * np.eye(len(rows)), y - y.mean(0))
+    new = [b"the und avec", b"with that", b"mit der und", b"que les"]
+    kn = np.array([[kernel(a, b) for b in texts] for a in new])
+    dense = (kn - kn.mean(1)[:, None] - k.mean(0) + k.mean()) @ alpha + y.mean(0)
+    got = model.scores(new)
+    assert np.allclose(got, dense, atol=0.02) and (got.argmax(1) == dense.argmax(1)).all()
+
+
 def test_quality_odd_rows(spark):
     docs = odd_rows(spark)
     model = quality.fit([(b"good words here", 1), (b"%%% %%%", 0)] * 3)

@@ -4,8 +4,9 @@ A text is read as blocks of 8 bytes; every two neighbouring blocks are a chunk,
 and cover the whole text. Each filter is a learned linear map of a chunk's byte embeddings; its largest value over all
 chunks is kept, and a small layer combines the filters into one probability.
 
-Fitting takes at most TRAIN_ROWS labelled texts of at most TRAIN_CHARS characters, chosen by a hash; scoring takes
-every whole text. Defined results: null and empty texts are scored as a text of padding; without labelled rows of both
+Fitting takes about TRAIN_ROWS labelled texts and TRAIN_BYTES of text at most, chosen by a hash; a text over
+TRAIN_TEXT_BYTES is not learnt from. It ends early once the loss of an epoch no longer falls. Scoring takes every whole
+text, in strips of bounded size. Defined results: null and empty texts are scored as a text of padding; without labelled rows of both
 kinds all scores are the share of label 1 (0.5 if none); repeated rows give repeated results; other columns are ignored.
 """
 
@@ -25,10 +26,14 @@ FILTERS = 48
 HIDDEN = 16
 PAD = 256
 TRAIN_ROWS = 4_000
-TRAIN_CHARS = 20_000
+TRAIN_BYTES = 24 << 20
+TRAIN_TEXT_BYTES = 1 << 20
 EPOCHS = 10
 BATCH_TEXTS = 32
 PIECE_BYTES = 1 << 20
+#: Blocks whose filters are looked at together in scoring, and the least fall of the loss for which fitting goes on.
+STRIP = 1 << 16
+LEAST_FALL = 0.02
 
 
 def blocks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,17 +67,69 @@ class QualityModel:
         bounds = bounds[:-1] if bounds[-1] >= len(r) else bounds
         return np.maximum.reduceat(r, bounds, axis=0)[::2], r, codes, first
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(texts), self.constant)
-        top = self.pooled(texts)[0]
+    def tops(self, texts: list[bytes]) -> np.ndarray:
+        """Every filter's largest value on each text, chunk by chunk in strips of blocks."""
+        codes, first = blocks(texts)
+        top = np.full((len(texts), FILTERS), -np.inf, np.float32)
+        for at in range(0, len(codes) - 1, STRIP):
+            r = self.responses(codes[at : at + STRIP + 1])
+            begin = np.searchsorted(first, at, side="right") - 1
+            end = np.searchsorted(first, at + len(r), side="left")  # texts that have a row in the strip
+            for i in range(begin, min(end, len(texts))):
+                low, high = max(first[i] - at, 0), min(first[i + 1] - 1 - at, len(r))  # the chunk across two texts is left out
+                if high > low:
+                    np.maximum(top[i], r[low:high].max(0), out=top[i])
+        return top
+
+    def combine(self, top: np.ndarray) -> np.ndarray:
         h = np.maximum(top + self.p["bias"], 0) @ self.p["mix"] + self.p["mix_bias"]
         z = np.tanh(h) @ self.p["out"] + self.p["out_bias"]
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
+        return self.combine(self.tops(texts))
+
+    def loss(self, texts: list[bytes], y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean log loss and its gradient, which reaches a filter through the one chunk where it is largest."""
+        p = self.p
+        top, r, codes, first = self.pooled(texts)
+        act = top + p["bias"]
+        on = np.maximum(act, 0)
+        h = np.tanh(on @ p["mix"] + p["mix_bias"])
+        z = h @ p["out"] + p["out_bias"]
+        dz = (1 / (1 + np.exp(-z)) - y) / len(texts)
+        dh = dz[:, None] * p["out"] * (1 - h * h)
+        dact = dh @ p["mix"].T * (act > 0)
+        g = {"out": h.T @ dz, "out_bias": dz.sum(keepdims=True), "mix": on.T @ dh, "mix_bias": dh.sum(0), "bias": dact.sum(0)}
+        where = np.stack([a + r[a : b - 1].argmax(0) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
+        g["embed"] = np.zeros_like(p["embed"])
+        for side, shift in (("left", 0), ("right", 1)):
+            c = codes[where + shift]  # texts, filters, block
+            x = p["embed"][c].reshape(*where.shape, BLOCK * WIDTH)
+            g[side] = np.einsum("df,dfi->if", dact, x)
+            dx = dact[..., None] * p[side].T
+            flat = dx.reshape(-1, WIDTH)
+            for w in range(WIDTH):
+                g["embed"][:, w] += np.bincount(c.ravel(), flat[:, w], 257)
+        g["embed"][PAD] = 0
+        return float(np.mean(np.logaddexp(0, z) - y * z)), g
+
+
+def batches(sizes: list[int], order: np.ndarray) -> list[np.ndarray]:
+    """Places in `order` cut into batches of at most BATCH_TEXTS texts and PIECE_BYTES of text, or one longer text."""
+    out, at, size = [], 0, 0
+    for i, x in enumerate(order.tolist()):
+        if i > at and (i - at >= BATCH_TEXTS or size + sizes[x] > PIECE_BYTES):
+            out.append(order[at:i])
+            at, size = i, 0
+        size += sizes[x]
+    return [*out, order[at:]]
+
 
 def fit(rows: list[tuple[bytes, int]], seed: int = 4) -> QualityModel:
-    """Minimise the log loss by Adam; gradients reach a filter through the one chunk where it is largest."""
+    """Minimise the log loss by Adam."""
     labels = np.array([y for _, y in rows], np.float32)
     if len(rows) < 2 or labels.min() == labels.max():
         return QualityModel(constant=float(labels.mean()) if len(rows) else 0.5)
@@ -85,39 +142,23 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 4) -> QualityModel:
     }
     p["embed"][PAD] = 0
     model, moment, n = QualityModel(p), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}, 0
-    steps = EPOCHS * -(-len(rows) // BATCH_TEXTS)
+    sizes = [len(x) for x, _ in rows]
+    steps, best = EPOCHS * -(-len(rows) // BATCH_TEXTS), np.inf
     for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), BATCH_TEXTS):
-            pick = order[at : at + BATCH_TEXTS]
-            y = labels[pick]
-            top, r, codes, first = model.pooled([rows[i][0] for i in pick])
-            act = top + p["bias"]
-            on = np.maximum(act, 0)
-            h = np.tanh(on @ p["mix"] + p["mix_bias"])
-            z = h @ p["out"] + p["out_bias"]
-            dz = (1 / (1 + np.exp(-z)) - y) / len(pick)
-            dh = dz[:, None] * p["out"] * (1 - h * h)
-            dact = dh @ p["mix"].T * (act > 0)
-            g = {"out": h.T @ dz, "out_bias": dz.sum(keepdims=True), "mix": on.T @ dh, "mix_bias": dh.sum(0), "bias": dact.sum(0)}
-            where = np.stack([a + r[a : b - 1].argmax(0) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
-            g["embed"] = np.zeros_like(p["embed"])
-            for side, shift in (("left", 0), ("right", 1)):
-                c = codes[where + shift]  # texts, filters, block
-                x = p["embed"][c].reshape(*where.shape, inputs)
-                g[side] = np.einsum("df,dfi->if", dact, x)
-                dx = dact[..., None] * p[side].T
-                flat = dx.reshape(-1, WIDTH)
-                for w in range(WIDTH):
-                    g["embed"][:, w] += np.bincount(c.ravel(), flat[:, w], 257)
-            g["embed"][PAD] = 0
+        total = 0.0
+        for pick in batches(sizes, rng.permutation(len(rows))):
+            loss, g = model.loss([rows[i][0] for i in pick], labels[pick])
+            total += loss * len(pick) / len(rows)
             n += 1
-            rate = 4e-3 * (1 - 0.9 * n / steps)
+            rate = 4e-3 * max(0.1, 1 - 0.9 * n / steps)
             for k, v in p.items():
                 a, b = moment[k]
                 a += 0.1 * (g[k] - a)
                 b += 0.001 * (g[k] * g[k] - b)
                 v -= (rate * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.999**n)) + 1e-8)).astype(np.float32)
+        if total > best * (1 - LEAST_FALL):
+            break
+        best = total
     return model
 
 
@@ -125,8 +166,9 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Fit on a bounded sample of the labelled rows that are given: the caller leaves out what is held out."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_y"))
     sample = bounded_sample(known, id_col, TRAIN_ROWS, seed=4)
-    texts = docs.where(F.char_length(text_col) <= TRAIN_CHARS).select(id_col, F.col(text_col).cast("binary").alias("_t"))
-    rows = texts.join(F.broadcast(sample), id_col).select(F.xxhash64(id_col, F.lit(4)).alias("h"), "_t", "_y").collect()
+    texts = docs.where(F.octet_length(text_col) <= TRAIN_TEXT_BYTES).select(id_col, F.col(text_col).cast("binary").alias("_t"))
+    chosen = bounded_sample(texts.join(F.broadcast(sample), id_col), id_col, TRAIN_ROWS, 44, "_t", TRAIN_BYTES)
+    rows = chosen.select(F.xxhash64(id_col, F.lit(4)).alias("h"), "_t", "_y").collect()
     return fit([(bytes(r["_t"]), r["_y"]) for r in sorted(rows, key=lambda r: (r["h"], bytes(r["_t"]), r["_y"]))])
 
 
