@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from tidewatch.plans import anomaly_plans, data_plans, function_plans, registry, report_plans, selection_plans, window_plans, worked_sql  # noqa: F401
+from tidewatch.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tidewatch.operators import series
-from tidewatch.plans import data_plans, registry, selection_plans, window_plans  # noqa: F401
+from tidewatch.plans import registry
 
 
 def events(folder, rows):

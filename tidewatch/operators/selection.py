@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import Z_TWO_SIDED, normal_cdf, normal_quantile, two_sided_p
+from .walks import walk
 
 
 def two_proportions(table: DataFrame, confidence: float = 0.95, least: int = 1000) -> DataFrame:
@@ -33,9 +34,14 @@ def sample_size(base: Column, effect: Column, alpha: Column, power: Column) -> C
     return F.ceil((normal_quantile(1 - alpha / 2) + normal_quantile(power)) ** 2 * 2 * mean * (1 - mean) / (effect * effect))
 
 
+def hash_below(unit: Column, n: int, salt: str = "") -> Column:
+    """A number from 0 to n - 1 by the MD5 of the unit as text; other engines can repeat it."""
+    return F.conv(F.substring(F.md5(F.concat(unit.cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("long") % n
+
+
 def assigned(unit: Column, shares: Sequence[tuple[str, int]]) -> Column:
     """A variant by hash of the unit; shares are whole percents."""
-    at, out, total = F.pmod(F.xxhash64(unit), F.lit(100)), None, 0
+    at, out, total = hash_below(unit, 100), None, 0
     for name, share in shares:
         total += share
         out = F.when(at < total, name) if out is None else out.when(at < total, name)
@@ -97,13 +103,55 @@ def linucb(rows: DataFrame, arm: str, features: Sequence[str], reward_col: str,
 
 
 def linucb_choice(contexts: DataFrame, key: str, features: Sequence[str], model: DataFrame, arm: str, alpha: float) -> DataFrame:
-    """Each context's arm with the highest upper bound; the model has one row an arm and is broadcast."""
+    """Each context's arm with the highest upper bound.
+
+    The arms travel as one array to every row, where the best is chosen: contexts are neither multiplied nor shuffled.
+    """
     d = len(features)
     x = [F.col(f) for f in features]
-    mean = reduce(lambda a, b: a + b, [F.col("theta")[i] * x[i] for i in range(d)])
-    spread = reduce(lambda a, b: a + b, [F.col("inverse")[i * d + j] * x[i] * x[j] for i in range(d) for j in range(d)])
-    scored = contexts.crossJoin(F.broadcast(model)).withColumn("_score", mean + alpha * F.sqrt(F.greatest(spread, F.lit(0.0))))
-    return scored.groupBy(key).agg(F.max_by(arm, F.struct("_score", arm)).alias("choice"), F.max("_score").alias("score"))
+    arms = model.agg(F.collect_list(F.struct(F.col(arm).alias("arm"), "theta", "inverse")).alias("_arms"))  # one row
+
+    def scored(a: Column) -> Column:
+        mean = reduce(lambda p, q: p + q, [a["theta"][i] * x[i] for i in range(d)])
+        spread = reduce(lambda p, q: p + q, [a["inverse"][i * d + j] * x[i] * x[j] for i in range(d) for j in range(d)])
+        score = mean + alpha * F.sqrt(F.greatest(spread, F.lit(0.0)))
+        return F.struct(F.round(score, 9).alias("order"), a["arm"].alias("choice"), score.alias("score"))
+
+    best = F.array_max(F.transform("_arms", scored))
+    return contexts.crossJoin(F.broadcast(arms)).select(key, best.alias("_b")).select(key, "_b.choice", "_b.score")
+
+
+def epsilon_greedy(rows: DataFrame, key: str, arms: str, best: str, percent: int) -> DataFrame:
+    """(key, explores, choice): a share of rows by hash takes any arm by another hash, the others the best one."""
+    explores = hash_below(F.col(key), 100, "e") < percent
+    arm = F.element_at(arms, (F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("a"))), 1, 8), 16, 10).cast("long") % F.size(arms) + 1).cast("int"))
+    return rows.select(key, explores.alias("explores"), F.when(explores, arm).otherwise(F.col(best)).alias("choice"))
+
+
+def contextual_thompson(rows: DataFrame, keys: Sequence[str], order: str, values: str, rate: float = 0.1) -> DataFrame:
+    """(keys, n, theta, variance, mean_reward) of each policy and arm after all its rows in order.
+
+    `values` holds the features and then the reward. Each row moves theta by the rate times the error of its prediction,
+    and lets the variance fade to a floor; arms are walked with their state alone.
+    """
+
+    def start():
+        theta, variance, total, n = None, 1.0, 0.0, 0
+
+        def step(x):
+            nonlocal theta, variance, total, n
+            features, reward = x[:-1], x[-1]
+            theta = theta or [0.0] * len(features)
+            error = reward - sum(t * f for t, f in zip(theta, features, strict=True))
+            theta = [t + rate * error * f for t, f in zip(theta, features, strict=True)]
+            variance, total, n = max(0.01, variance * 0.99), total + reward, n + 1
+            return {"n": n, "theta": theta, "variance": variance, "mean_reward": total / n}
+
+        return step
+
+    joined = rows.withColumn("_arm", F.concat_ws("\x1f", *keys))
+    stepped = walk(joined, "_arm", [order, *keys], values, start, ["_arm", *keys], "state struct<n: bigint, theta: array<double>, variance: double, mean_reward: double>")
+    return stepped.groupBy(*keys).agg(F.max_by("state", F.col("state.n")).alias("s")).select(*keys, "s.*")
 
 
 def ucb1(table: DataFrame, arm: str, mean: str, n: str, c: float = 2.0) -> DataFrame:
@@ -152,9 +200,9 @@ def composite_score(quality: Column, cost: Column, latency: Column, weights: tup
 
 
 def hypervolume(frontier: DataFrame, cost: str, quality: str, reference: float) -> DataFrame:
-    """Area under a frontier, best quality first: room below the reference cost that earlier rows have not passed."""
-    w = Window.orderBy(F.desc(quality), cost).rowsBetween(Window.unboundedPreceding, 0)
-    return frontier.withColumn("_top", F.max(cost).over(w)).agg(F.sum(F.greatest(F.lit(0.0), reference - F.col("_top")) * F.col(quality)).alias("volume"))
+    """Area under a frontier, best quality first: room below the reference cost that the rows before have not passed."""
+    w = Window.orderBy(F.desc(quality), cost).rowsBetween(Window.unboundedPreceding, -1)
+    return frontier.withColumn("_top", F.coalesce(F.max(cost).over(w), F.lit(0.0))).agg(F.sum(F.greatest(F.lit(0.0), reference - F.col("_top")) * F.col(quality)).alias("volume"))
 
 
 def grid(spark, axes: dict[str, tuple[float, float, int]]) -> DataFrame:

@@ -58,15 +58,16 @@ FILLS = {
 }
 
 
-def fill_gaps(df: DataFrame, series: str, epoch: str, value: str, step: int, how: str) -> DataFrame:
+def fill_gaps(df: DataFrame, series: str, epoch: str, value: str, step: int, how: str, constant: float = 0.0) -> DataFrame:
     """(series, epoch, value, filled): every gap of a series of multiples of `step` is filled; skip leaves gaps open."""
+    fill = (lambda p, n, f: F.lit(constant)) if how == "constant" else FILLS[how]
     w = Window.partitionBy(series).orderBy(epoch)
     known = df.select(series, epoch, value, F.lead(epoch).over(w).alias("_next"), F.lead(value).over(w).alias("_next_value"))
     last = F.when(F.col("_next").isNotNull(), F.col("_next") - 1).otherwise(F.col(epoch))
     grid = known.select(series, F.explode(F.sequence(F.col(epoch), last, F.lit(step).cast("long"))).alias("_at"), epoch, value, "_next", "_next_value")
     share = (F.col("_at") - F.col(epoch)) / (F.col("_next") - F.col(epoch))
     filled = F.col("_at") != F.col(epoch)
-    out = grid.select(series, F.col("_at").alias(epoch), F.when(filled, FILLS[how](F.col(value), F.col("_next_value"), share)).otherwise(F.col(value)).alias(value), filled.alias("filled"))
+    out = grid.select(series, F.col("_at").alias(epoch), F.when(filled, fill(F.col(value), F.col("_next_value"), share)).otherwise(F.col(value)).alias(value), filled.alias("filled"))
     return out.where(F.col(value).isNotNull()) if how == "skip" else out
 
 

@@ -1 +1,3 @@
-"""Registered queries: operators applied to the given tables, each with its SQL equivalent where SQL can say it."""
+"""Registered queries; importing the package registers them all."""
+
+from . import anomaly_plans, data_plans, decision_sql, feature_sql, function_plans, report_plans, selection_plans, window_plans, worked_sql  # noqa: F401

@@ -100,9 +100,9 @@ def dead_letters(spark, sf_dir):
     return dead.select("request_id", "reason", "retry_count", rows.retry_delay(c("request_id") % 15).alias("delay"))
 
 
-@query("s08_messages", "select cast(event_id as varchar) as key, 'events' as topic, cast(event_id % 4 as int) as partition from events", views=False)
+@query("s08_messages", "select cast(event_id as varchar) as key, 'events' as topic, cast(event_id % 4 as int) as partition, to_json({'event_id': event_id, 'user_id': user_id, 'event_type': event_type, 'props': props})::varchar as value from events", views=False)
 def messages(spark, sf_dir):
-    return encode_messages(read(spark, sf_dir, "events"), "event_id", "events", 4, "round_robin", "event_id").drop("value")
+    return encode_messages(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"), "event_id", "events", 4, "round_robin", "event_id")
 
 
 @query("s09_modified_and_expiring", "select request_id, epoch_s + 86400 as expires_at from requests where epoch_s >= 1705000000 and epoch_s + 86400 < 1706000000")
@@ -177,9 +177,13 @@ def exponential(spark, sf_dir):
     return both.select("model_id", "z.t", F.round("z.ema", 6).alias("ema"))
 
 
-@query("t03_exponential_average_rows")
+@query(
+    "t03_exponential_average_rows",
+    """with recursive r as materialized (select model_id, request_id, latency_ms as x, row_number() over (partition by model_id order by request_id) as k from requests),
+    w as (select model_id, request_id, k, x as ema from r where k = 1 union all select r.model_id, r.request_id, r.k, 0.2::double * r.x + 0.8::double * w.ema from w join r on r.model_id = w.model_id and r.k = w.k + 1) select model_id, request_id, round(ema, 6) as ema from w""",
+)
 def exponential_rows(spark, sf_dir):
-    return series.exponential_average_by_row(requests(spark, sf_dir), "model_id", "request_id", "latency_ms", 0.2)
+    return rounded(series.exponential_average_by_row(requests(spark, sf_dir), "model_id", "request_id", "latency_ms", 0.2))
 
 
 FILL_SQL = HOURLY + """, l as (select model_id, t, v, lead(t) over w as nt, lead(v) over w as nv from h window w as (partition by model_id order by t)),
@@ -224,7 +228,14 @@ def bars(spark, sf_dir):
     return out.withColumn("total", F.round("total", 4))
 
 
-@query("t08_outlier_drop")
+@query(
+    "t08_outlier_drop",
+    """with recursive r as materialized (select model_id, request_id, latency_ms as x, row_number() over (partition by model_id order by request_id) as k from requests),
+    w as (select model_id, request_id, k, x, false as odd, [x] as kept from r where k = 1 union all
+      select model_id, request_id, k, x, odd, case when odd then kept else list_append(kept, x)[-100:] end from (
+        select r.model_id, r.request_id, r.k, r.x, w.kept, len(w.kept) >= 3 and list_aggregate(w.kept, 'stddev_pop') > 0 and abs(r.x - list_avg(w.kept)) / list_aggregate(w.kept, 'stddev_pop') > 3 as odd from w join r on r.model_id = w.model_id and r.k = w.k + 1))
+    select request_id, model_id, x as latency_ms from w where not odd""",
+)
 def outliers(spark, sf_dir):
     return series.drop_outliers(requests(spark, sf_dir).select("request_id", "model_id", "latency_ms"), "model_id", "request_id", "latency_ms")
 
@@ -280,10 +291,10 @@ def union_sources(spark, sf_dir):
     return left.unionByName(read(spark, sf_dir, "conversations").select(c("conv_id").alias("id"), c("role").alias("kind")), allowMissingColumns=True)
 
 
-@query("f01_request_features", "select request_id, ln(prompt_tokens + 1)::double is not null as known, round(completion_tokens / prompt_tokens::double, 6) as ratio, hour(event_time) as hour, round(cost_usd / (prompt_tokens + completion_tokens) * 1000, 6) as cost_per_1k, case when latency_ms between 0 and 5000 then round(latency_ms, 6) end as latency_valid from requests")
+@query("f01_request_features", "select request_id, round(ln(prompt_tokens + 1), 6) as length_ln, round(completion_tokens / prompt_tokens::double, 6) as ratio, hour(event_time) as hour, round(cost_usd / (prompt_tokens + completion_tokens) * 1000, 6) as cost_per_1k, case when latency_ms between 0 and 5000 then round(latency_ms, 6) end as latency_valid from requests")
 def request_features(spark, sf_dir):
     total = c("prompt_tokens") + c("completion_tokens")
-    return rounded(requests(spark, sf_dir).select("request_id", F.ln(c("prompt_tokens") + 1).isNotNull().alias("known"), (c("completion_tokens") / c("prompt_tokens")).alias("ratio"), F.hour("event_time").alias("hour"), (c("cost_usd") / total * 1000).alias("cost_per_1k"), F.when(c("latency_ms").between(0, 5000), c("latency_ms")).alias("latency_valid")))
+    return rounded(requests(spark, sf_dir).select("request_id", F.ln(c("prompt_tokens") + 1).alias("length_ln"), (c("completion_tokens") / c("prompt_tokens")).alias("ratio"), F.hour("event_time").alias("hour"), (c("cost_usd") / total * 1000).alias("cost_per_1k"), F.when(c("latency_ms").between(0, 5000), c("latency_ms")).alias("latency_valid")))
 
 
 @query("f02_point_in_time", "with d as (select model_id, epoch_s - epoch_s % 86400 + 86400 as known_at, avg(latency_ms) as latency, count(*) as n from requests group by all) select f.request_id, round(d.latency, 6) as latency, d.n from feedback f join requests r on f.request_id = r.request_id asof left join d on r.model_id = d.model_id and r.epoch_s >= d.known_at")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +28,27 @@ def query(name: str, sql: str | None = None, views: bool = True):
 def with_views(sql: str, views: str | None = None) -> str:
     """The telemetry views in front of a statement that starts with `select`, or with `with` and CTEs of its own."""
     text = sql.strip()
+    if text.lower().startswith("with recursive "):
+        return f"with recursive {views or tables.sql_views()}, {text[15:]}"
     rest = f", {text[5:]}" if text.lower().startswith("with ") else f" {text}"
     return f"with {views or tables.sql_views()}{rest}"
 
 
+TABLE = re.compile(r"\b(from|join)\s+(requests|feedback|events|documents|conversations|part|supplier|nation|orders|lineitem|customer|labels)\b", re.IGNORECASE)
+
+
+def spark_text(sql: str) -> str:
+    """The text for Spark with placeholders for tables, so that no temporary view of the session is touched."""
+    return TABLE.sub(r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
+
+
 def both(name: str, sql: str, *more: str) -> None:
     """Register SQL text that Spark and plain SQL read alike, over requests, feedback and other given tables."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views = {"requests": tables.requests(spark, sf_dir), "feedback": tables.feedback(spark, sf_dir)} | {t: tables.read(spark, sf_dir, t) for t in more}
-        for view, df in views.items():
-            df.createOrReplaceTempView(view)
-        return spark.sql(sql)
+        views = {"requests": tables.requests, "feedback": tables.feedback}
+        used = {m.lower() for _, m in TABLE.findall(sql)}
+        return spark.sql(spark_text(sql), **{t: views[t](spark, sf_dir) if t in views else tables.read(spark, sf_dir, t) for t in used})
 
     QUERIES[name] = run
     ORACLES[name] = with_views(sql)

@@ -37,13 +37,19 @@ def two_proportions(spark, sf_dir):
     return rounded(E.two_proportions(arms, least=20).drop("power"))
 
 
-@query("e03_sample_size")
+def sql_quantile(p: str) -> str:
+    """The rational approximation of the normal quantile as SQL, for p of at least one half."""
+    t = f"sqrt(-2 * ln(1 - {p}::double))"
+    return f"({t} - (2.515517::double + 0.802853::double * {t} + 0.010328::double * {t} * {t}) / (1 + 1.432788::double * {t} + 0.189269::double * {t} * {t} + 0.001308::double * {t} * {t} * {t}))"
+
+
+@query("e03_sample_size", f"with r as (select endpoint, avg((latency_ms < 1000)::int) as base from requests group by endpoint) select endpoint, round(base, 6) as base, ceil(({sql_quantile('0.975')} + {sql_quantile('0.8')}) ** 2 * 2 * (base + 0.01) * (1 - base - 0.01) / 0.0004::double)::bigint as per_arm from r where base > 0 and base < 0.95")
 def sample_size(spark, sf_dir):
     rates = requests(spark, sf_dir).groupBy("endpoint").agg(F.avg((c("latency_ms") < 1000).cast("double")).alias("base"))
-    return rates.where("base > 0 and base < 0.95").select("endpoint", "base", E.sample_size(c("base"), F.lit(0.02), F.lit(0.05), F.lit(0.8)).alias("per_arm"))
+    return rates.where("base > 0 and base < 0.95").select("endpoint", F.round("base", 6).alias("base"), E.sample_size(c("base"), F.lit(0.02), F.lit(0.05), F.lit(0.8)).cast("long").alias("per_arm"))
 
 
-@query("e04_assignment")
+@query("e04_assignment", "with h as (select request_id, ('0x' || substr(md5(user_id::varchar), 1, 8))::bigint % 100 as h from requests) select request_id, case when h < 50 then 'a' when h < 80 then 'b' else 'c' end as variant from h")
 def assignment(spark, sf_dir):
     return requests(spark, sf_dir).select("request_id", E.assigned(c("user_id"), [("a", 50), ("b", 30), ("c", 20)]).alias("variant"))
 
@@ -75,10 +81,18 @@ def contexts(spark, sf_dir):
     return requests(spark, sf_dir).select("request_id", "model_id", F.lit(1.0).alias("one"), (c("prompt_tokens") / 1000).alias("size"), (F.hour("event_time") / 24).alias("late"), c("success").cast("double").alias("r"))
 
 
-@query("e08_linucb_choice")
+LINUCB_SQL = """with x as (select request_id, model_id, 1.0::double as x0, prompt_tokens / 1000.0::double as x1, hour(event_time) / 24.0::double as x2, success::int::double as r from requests),
+    s as (select model_id, 1 + sum(x0 * x0) as a, sum(x0 * x1) as b, sum(x0 * x2) as c, 1 + sum(x1 * x1) as d, sum(x1 * x2) as e, 1 + sum(x2 * x2) as f, sum(x0 * r) as u, sum(x1 * r) as v, sum(x2 * r) as w from x group by model_id),
+    g as (select *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) as det from s),
+    i as (select model_id, u, v, w, (d * f - e * e) / det as i00, (c * e - b * f) / det as i01, (b * e - c * d) / det as i02, (a * f - c * c) / det as i11, (b * c - a * e) / det as i12, (a * d - b * b) / det as i22 from g),
+    t as (select *, i00 * u + i01 * v + i02 * w as t0, i01 * u + i11 * v + i12 * w as t1, i02 * u + i12 * v + i22 * w as t2 from i),
+    p as (select x.request_id, t.model_id, t0 * x0 + t1 * x1 + t2 * x2 + sqrt(greatest(0, i00 * x0 * x0 + i11 * x1 * x1 + i22 * x2 * x2 + 2 * (i01 * x0 * x1 + i02 * x0 * x2 + i12 * x1 * x2))) as score from x, t)"""
+
+
+@query("e08_linucb_choice", LINUCB_SQL + " select request_id, arg_max(model_id, (round(score, 9), model_id)) as choice, round(max(score), 6) as score from p group by request_id")
 def linucb(spark, sf_dir):
     rows = contexts(spark, sf_dir)
-    return E.linucb_choice(rows.drop("model_id", "r"), "request_id", FEATURES, E.linucb(rows, "model_id", FEATURES, "r", 1.0), "model_id", 1.0)
+    return rounded(E.linucb_choice(rows.drop("model_id", "r"), "request_id", FEATURES, E.linucb(rows, "model_id", FEATURES, "r", 1.0), "model_id", 1.0))
 
 
 @query("e09_ucb1", "with a as (select model_id, count(*) as n, avg(success::int) as m from requests group by model_id) select model_id, n, round(m + sqrt(2 * ln(sum(n) over ()) / n), 6) as ucb from a")
@@ -107,9 +121,9 @@ def composite(spark, sf_dir):
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # 25 rows
 
 
-@query("e12_hypervolume")
+@query("e12_hypervolume", f"with {CANDIDATES}, f as (select * from p a where not exists (select 1 from p b where b.quality >= a.quality and b.cost <= a.cost and b.latency <= a.latency and (b.quality > a.quality or b.cost < a.cost or b.latency < a.latency))), t as (select *, coalesce(max(cost) over (order by quality desc, cost rows between unbounded preceding and 1 preceding), 0) as top from f) select round(sum(greatest(0, 1 - top) * quality), 6) as volume from t", views=False)
 def volume(spark, sf_dir):
-    return E.hypervolume(E.skyline(candidates(spark, sf_dir), "id", ["quality"], ["cost", "latency"]), "cost", "quality", 1.0)
+    return rounded(E.hypervolume(E.skyline(candidates(spark, sf_dir), "id", ["quality"], ["cost", "latency"]), "cost", "quality", 1.0))
 
 
 @query("e13_parameter_grid_best", "with g as (select t::double / 4 as temperature, 0.5 + p::double * 0.25 as top_p from range(5) a(t), range(3) b(p)), q as (select avg(latency_ms) as m from requests) select temperature, top_p, round(m / 1000 * (1 - abs(temperature - 0.5)) * top_p, 6) as score from g, q")
@@ -174,7 +188,7 @@ def pattern(spark, sf_dir):
     return h.crossJoin(F.broadcast(mean)).select("hour", "n", (c("n") > 1.5 * c("_m")).alias("peak"), ((c("n") > 0) & (c("n") < 0.5 * c("_m"))).alias("low"))
 
 
-@query("z06_bursts", "with m as (select epoch_s // 3600 as t, count(*) as n from requests group by all), f as (select *, avg(n) over (partition by t // 720 order by t rows between 10 preceding and 1 preceding) as a from m) select t, n, round(a, 6) as moving from f where n > 2 * a")
+@query("z06_bursts", "with m as (select epoch_s // 3600 as t, count(*) as n from requests group by all), f as (select *, avg(n) over (order by t rows between 10 preceding and 1 preceding) as a from m) select t, n, round(a, 6) as moving from f where n > 2 * a")
 def bursts(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -229,12 +243,25 @@ def merge(spark, sf_dir):
     return X.merge_decisions(p, "cycle", 2)
 
 
-@query("x06_token_bucket")
+@query(
+    "x06_token_bucket",
+    """with recursive r as (select *, row_number() over (partition by user_id order by epoch_s, request_id) as k from requests),
+    w as (select user_id, request_id, epoch_s, k, 2.0::double as level from r where k = 1 union all
+      select r.user_id, r.request_id, r.epoch_s, r.k, least(2.0::double, w.level - case when w.level >= 1 then 1 else 0 end + (r.epoch_s - w.epoch_s) * (1.0::double / 43200)) from w join r on r.user_id = w.user_id and r.k = w.k + 1)
+    select user_id, request_id, level >= 1 as passed from w""",
+)
 def bucket(spark, sf_dir):
     return X.token_bucket(requests(spark, sf_dir), "user_id", "epoch_s", "request_id", 1 / 43200, 2.0)
 
 
-@query("x07_budget_walk")
+@query(
+    "x07_budget_walk",
+    """with recursive r as (select model_id, epoch_s // 86400 as day, request_id, cost_usd as x, row_number() over (partition by model_id, epoch_s // 86400 order by request_id) as k from requests),
+    w as (select model_id, day, cast(0 as bigint) as k, null::bigint as request_id, 0.0::double as spent, '' as action from r where k = 1 union all
+      select model_id, day, k, request_id, spent + case action when 'accept' then x when 'downgrade' then x / 2 else 0 end, action from (
+        select r.*, w.spent, case when x > 0.009::double or w.spent + x / 2 > 0.05::double then 'reject' when w.spent + x > 0.05::double then 'downgrade' else 'accept' end as action from w join r on r.model_id = w.model_id and r.day = w.day and r.k = w.k + 1))
+    select model_id, day, request_id, action from w where k > 0""",
+)
 def budget(spark, sf_dir):
     rows = requests(spark, sf_dir).withColumn("day", F.floor(c("epoch_s") / 86400))
     return X.budget_walk(rows, ["model_id", "day"], "request_id", "cost_usd", 0.05, 0.009)

@@ -47,7 +47,13 @@ def session_aggregate(spark, sf_dir):
     return rounded(W.window_aggregate(requests(spark, sf_dir), ["user_id"], W.session("event_time", "12 hours"), SUMMARY))
 
 
-@query("w05_capped_sessions")
+@query(
+    "w05_capped_sessions",
+    """with recursive r as (select *, row_number() over (partition by user_id order by epoch_s, request_id) as k from requests),
+    w as (select user_id, request_id, epoch_s, k, cast(0 as bigint) as session_no, epoch_s as opened from r where k = 1 union all
+      select r.user_id, r.request_id, r.epoch_s, r.k, w.session_no + case when r.epoch_s - w.epoch_s > 43200 or r.epoch_s - w.opened >= 172800 then 1 else 0 end, case when r.epoch_s - w.epoch_s > 43200 or r.epoch_s - w.opened >= 172800 then r.epoch_s else w.opened end from w join r on r.user_id = w.user_id and r.k = w.k + 1)
+    select user_id, request_id, epoch_s, session_no from w""",
+)
 def capped_sessions(spark, sf_dir):
     return W.capped_sessions(requests(spark, sf_dir), "user_id", "epoch_s", "request_id", 12 * 3600, 48 * 3600)
 
@@ -159,7 +165,7 @@ def trend(spark, sf_dir):
     return A.trend(daily, ["model_id"], "c", "day").select("model_id", F.round("slope", 6).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"), "n")
 
 
-@query("a06_ordered_lists", "select user_id, list(request_id order by epoch_s, request_id) as ids, string_agg(model_id, ',' order by epoch_s, request_id) as models, arg_min(endpoint, (epoch_s, request_id)) as first_endpoint, arg_max(endpoint, (epoch_s, request_id)) as last_endpoint, count(distinct model_id) as n_models from requests where success group by user_id having count(*) < 2000")
+@query("a06_ordered_lists", "select user_id, list(request_id order by epoch_s, request_id) as ids, string_agg(model_id, ',' order by epoch_s, request_id) as models, arg_min(endpoint, (epoch_s, request_id)) as first_endpoint, arg_max(endpoint, (epoch_s, request_id)) as last_endpoint, count(distinct model_id) as n_models from requests where success group by user_id")
 def ordered_lists(spark, sf_dir):
     at = F.struct("epoch_s", "request_id")
     ordered = F.array_sort(F.collect_list(F.struct("epoch_s", "request_id", "model_id")))
