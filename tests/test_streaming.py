@@ -63,3 +63,86 @@ def test_keyed_state_equals_loops(spark, small, tmp_path):
     assert fired == {r.model_id: r["count"] // 10 for r in n if r["count"] >= 10}
     ema = spark.sql("select key, count(*) as n, max(ema) as top, max(value) as most from ra group by key").collect()
     assert {r.key: r.n for r in ema} == {r.model_id: r["count"] for r in n} and all(r.top <= r.most for r in ema)
+
+
+def timed(spark, path, batches):
+    """One file a batch of (key, seconds, value)."""
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "k string, s long, v double").select("k", F.timestamp_seconds("s").alias("ts"), "v")
+        df.coalesce(1).write.parquet(f"{path}/b{i:02d}")
+    return df.schema
+
+
+def run_to_rows(spark, df, name, path, mode="append"):
+    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{path}/{name}").trigger(availableNow=True).start().awaitTermination(180)
+    return [tuple(r) for r in spark.sql(f"select * from {name}").collect()]
+
+
+LATE = [[("a", 10, 1.0), ("a", 70, 2.0)], [("a", 200, 3.0)], [("a", 210, 0.5)], [("a", 20, 100.0), ("a", 190, 4.0)], [("a", 400, 5.0)], [("a", 900, 6.0)]]
+
+
+def test_append_mode_fires_closed_windows_and_drops_late_rows(spark, tmp_path):
+    """With a delay of 60 s the row of second 20 comes when the watermark of the batch before is past its window; the one of 190 is in time."""
+    schema = timed(spark, f"{tmp_path}/in", LATE)
+    stream = stream_files(spark, "parquet", f"{tmp_path}/in/*", schema, 1)
+    out = S.windowed(stream, "ts", "60 seconds", ["k"], W.tumbling("ts", "60 seconds"), [("count", "v", "n"), ("sum", "v", "total")])
+    rows = run_to_rows(spark, out, "late", tmp_path)
+    assert sorted((int(r[1].timestamp()), r[3], r[4]) for r in rows) == [(0, 1, 1.0), (60, 1, 2.0), (180, 3, 7.5), (360, 1, 5.0)]
+
+
+def test_stateful_restart_keeps_counts(spark, tmp_path):
+    """A second run over more files goes on with the state of the first one."""
+    schema = timed(spark, f"{tmp_path}/in", LATE[:2])
+    seen = []
+
+    def run():
+        stream = stream_files(spark, "parquet", f"{tmp_path}/in/*", schema, 1)
+        sink = lambda df, _: seen.append({r.k: (r.n, r.total) for r in df.collect()})
+        S.early_results(stream, "ts", "1 day", ["k"], W.tumbling("ts", "1 day"), [("count", "v", "n"), ("sum", "v", "total")], sink, f"{tmp_path}/check").awaitTermination(180)
+
+    run()
+    timed_more = spark.createDataFrame([("a", 500, 10.0)], "k string, s long, v double").select("k", F.timestamp_seconds("s").alias("ts"), "v")
+    timed_more.coalesce(1).write.parquet(f"{tmp_path}/in/b99")
+    run()
+    assert [x["a"] for x in seen if "a" in x] == [(2, 3.0), (3, 6.0), (4, 16.0)]
+
+
+def test_triggers_by_count_and_watermark(spark, tmp_path):
+    schema = timed(spark, f"{tmp_path}/in", LATE)
+    stream = stream_files(spark, "parquet", f"{tmp_path}/in/*", schema, 1)
+    by_any = run_to_rows(spark, S.triggered(stream, "k", "ts", "v", 60_000, count=2, after_ms=30_000, delay="0 seconds"), "any_trigger", tmp_path)
+    found = {(r[1] // 1000, r[3], r[5]) for r in by_any}
+    assert {(0, 1, "timer"), (60, 1, "timer"), (180, 2, "count"), (180, 2, "timer"), (360, 1, "timer")} <= found
+    by_all = run_to_rows(spark, S.triggered(stream, "k", "ts", "v", 60_000, count=2, after_ms=30_000, mode="all", delay="0 seconds"), "all_trigger", tmp_path)
+    assert all(r[3] % 2 == 0 for r in by_all)
+
+
+def test_processing_timers_fire_past_windows_at_once(spark, tmp_path):
+    """Windows of 1970 have long passed by the clock: every element fires."""
+    schema = timed(spark, f"{tmp_path}/in", LATE)
+    stream = stream_files(spark, "parquet", f"{tmp_path}/in/*", schema, 1)
+    rows = run_to_rows(spark, S.triggered(stream, "k", "ts", "v", 60_000, after_ms=0), "clock_trigger", tmp_path)
+    assert len(rows) == sum(map(len, LATE)) and {r[5] for r in rows} == {"element"}
+
+
+def test_repeated_batch_replaces_itself(spark, tmp_path):
+    from tidewatch.sources.tables import append_once
+
+    write = append_once(f"{tmp_path}/out")
+    df = spark.range(10)
+    write(df, 3)
+    write(df, 3)
+    write(df, 4)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 20
+
+
+def test_streams_into_tables_and_file_kinds(spark, small, tmp_path):
+    from tidewatch.sources.tables import read_any
+
+    rows = files(spark, small, f"{tmp_path}/in", 1)
+    S.to_table(stream_files(spark, "parquet", f"{tmp_path}/in", rows.schema), "kept_requests", f"{tmp_path}/c").awaitTermination(120)
+    assert spark.table("kept_requests").count() == rows.count()
+    spark.sql("drop table kept_requests")
+    for kind in ("json", "csv", "orc"):
+        rows.write.format(kind).save(f"{tmp_path}/{kind}")
+        assert read_any(spark, kind, f"{tmp_path}/{kind}", rows.schema).count() == rows.count()

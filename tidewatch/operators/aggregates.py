@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def agg_spec(specs: Sequence[tuple]) -> list[Column]:
     """Aggregates from (kind, column, name[, parameter]); percentiles interpolate linearly, as parameter 0 to 100."""
@@ -28,17 +30,19 @@ def agg_spec(specs: Sequence[tuple]) -> list[Column]:
     return out
 
 
-def by_rank(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """One row per key with the sorted values at 0-based ranks, each a column of n, the group's size.
+def by_rank(df: DataFrame, keys: Sequence[str], value: str, ranks: dict) -> DataFrame:
+    """One row per key with the sorted values at 0-based ranks, each a column of n, the group's size."""
+    return ordered.values_at(df, keys, value, ranks)
+
 
-    A group of any size is ranked by Spark's sort; only the chosen ranks reach the aggregate.
-    """
-    known = df.where(F.col(value).isNotNull())
-    n = F.count("*").over(Window.partitionBy(*keys))
-    placed = known.withColumn("_n", n).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1)
-    wanted = {name: rank(F.col("_n")) for name, rank in ranks.items()}
-    chosen = placed.where(F.col("_rank").isin(*wanted.values()) if len(wanted) > 1 else F.col("_rank") == next(iter(wanted.values())))
-    return chosen.groupBy(*keys).agg(*[F.max(F.when(F.col("_rank") == rank, F.col(value))).alias(name) for name, rank in wanted.items()], F.max("_n").alias("n"))
+def agg_whole(df: DataFrame, keys: Sequence[str], specs: Sequence[tuple]) -> DataFrame:
+    """As agg_spec over whole keys of any size: percentiles come from ranks, not from one task's values of a key."""
+    plain = df.groupBy(*keys).agg(*agg_spec([s for s in specs if s[0] != "percentile"]))
+    columns = {s[1] for s in specs if s[0] == "percentile"}
+    for column in sorted(columns):
+        wanted = {s[2]: s[3] / 100 for s in specs if s[0] == "percentile" and s[1] == column}
+        plain = plain.join(ordered.percentiles(df, keys, column, wanted), list(keys), "left")
+    return plain
 
 
 def nearest_rank(p: float):

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_epoch: str, right_epoch: str, within: int, how: str = "inner") -> DataFrame:
     """Pairs of one key whose times are at most `within` seconds apart.
@@ -29,9 +31,9 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_epoch: str, righ
     """
     rights = right.select(key, F.col(right_epoch).alias("_at"), F.lit(0).alias("_side"), F.struct(*columns).alias("_r"), *[F.lit(None).cast(t).alias(f"_l_{c}") for c, t in left.dtypes])
     lefts = left.select(key, F.col(left_epoch).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(rights.schema["_r"].dataType).alias("_r"), *[F.col(c).alias(f"_l_{c}") for c in left.columns])
-    order = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rights.unionByName(lefts).withColumn("_r", F.last("_r", ignorenulls=True).over(order)).where("_side = 1")
-    return seen.select(*[F.col(f"_l_{c}").alias(c) for c in left.columns], *[F.col(f"_r.{c}").alias(c) for c in columns])
+    both = ordered.in_blocks(rights.unionByName(lefts), "_at")
+    seen = ordered.running(both, key, ["_at", "_side"], [("_latest", "last", F.col("_r"))]).where("_side = 1")
+    return seen.select(*[F.col(f"_l_{c}").alias(c) for c in left.columns], *[F.col(f"_latest.{c}").alias(c) for c in columns])
 
 
 def versioned_join(facts: DataFrame, versions: DataFrame, key: str, epoch: str, valid_from: str) -> DataFrame:

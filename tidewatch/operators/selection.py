@@ -161,38 +161,54 @@ def ucb1(table: DataFrame, arm: str, mean: str, n: str, c: float = 2.0) -> DataF
     return table.crossJoin(F.broadcast(total)).withColumn("ucb", F.when(F.col(n) == 0, float("inf")).otherwise(F.col(mean) + bonus)).drop("_all")
 
 
+#: Partitions whose skylines are merged into one, and rows that are held against the kept ones at a time.
+MERGED = 8
+SKYLINE_ROWS = 256
+
+
 def skyline(df: DataFrame, key: str, more: Sequence[str], less: Sequence[str]) -> DataFrame:
     """Rows that no other row beats: at least as good in everything and better in something.
 
-    Every partition first keeps its own skyline, then what is left is compared: the second step sees few rows.
+    Every partition keeps its own skyline, then skylines are merged a few at a time, level by level. Rows come in the
+    order of a score that a row which beats another one never has lower, so each is only held against rows that were kept.
     """
     columns = [key, *more, *less]
     sign = np.array([1.0] * len(more) + [-1.0] * len(less))
 
+    def beaten(v: np.ndarray, by: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(v), bool)
+        for at in range(0, len(by), SKYLINE_ROWS):
+            b = by[at : at + SKYLINE_ROWS]
+            out |= ((b[:, None] >= v).all(2) & (b[:, None] > v).any(2)).any(0)
+        return out
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf[[*more, *less]].to_numpy(float) * sign
+        order = np.lexsort(v.T[::-1])[::-1]
+        kept = np.zeros((0, v.shape[1]))
+        good: list[np.ndarray] = []
+        for at in range(0, len(order), SKYLINE_ROWS):
+            some = order[at : at + SKYLINE_ROWS]
+            some = some[~beaten(v[some], kept)]
+            some = some[~beaten(v[some], v[some])]
+            good.append(some)
+            kept = np.concatenate([kept, v[some]])
+        return pdf.iloc[np.sort(np.concatenate(good))] if good else pdf
+
     def local(batches):
         best = None
         for pdf in batches:
-            pool = pdf if best is None else pd.concat([best, pdf])
-            pool = pool.reset_index(drop=True)
-            v = pool[[*more, *less]].to_numpy(float) * sign
-            order = np.lexsort(v.T[::-1])[::-1]
-            kept: list[int] = []
-            for i in order:
-                if kept:
-                    other = v[kept]
-                    if ((other >= v[i]).all(1) & (other > v[i]).any(1)).any():
-                        continue
-                kept.append(i)
-            best = pool.iloc[sorted(kept)]
+            best = keep(pdf if best is None else pd.concat([best, pdf], ignore_index=True))
         if best is not None:
             yield best
 
-    slim = df.select(*columns)
-    few = slim.mapInPandas(local, slim.schema)
-    a, b = few.alias("a"), few.alias("b")
-    no_worse = reduce(lambda x, y: x & y, [F.col(f"b.{m}") >= F.col(f"a.{m}") for m in more] + [F.col(f"b.{m}") <= F.col(f"a.{m}") for m in less])
-    better = reduce(lambda x, y: x | y, [F.col(f"b.{m}") > F.col(f"a.{m}") for m in more] + [F.col(f"b.{m}") < F.col(f"a.{m}") for m in less])
-    return a.join(b, no_worse & better, "left_anti")
+    rows = df.select(*columns)
+    parts = rows.rdd.getNumPartitions()
+    best = rows.mapInPandas(local, rows.schema)
+    while parts > 1:
+        parts = -(-parts // MERGED)
+        best = best.repartition(parts).mapInPandas(local, rows.schema)
+    return best
 
 
 def composite_score(quality: Column, cost: Column, latency: Column, weights: tuple[float, float, float]) -> Column:
@@ -214,6 +230,12 @@ def grid(spark, axes: dict[str, tuple[float, float, int]]) -> DataFrame:
     return out
 
 
+def random_search(spark, axes: dict[str, tuple[float, float]], n: int, seed: int) -> DataFrame:
+    """n points, each value by a hash of the point, the axis and the seed."""
+    value = lambda i, low, high: low + F.pmod(F.xxhash64(F.col("id"), F.lit(seed + i)), F.lit(1 << 20)) / float(1 << 20) * (high - low)
+    return spark.range(n).select(F.col("id").alias("point"), *[value(i, *span).alias(name) for i, (name, span) in enumerate(axes.items())])
+
+
 def latin_hypercube(spark, axes: dict[str, tuple[float, float]], n: int, seed: int) -> DataFrame:
     """n points with one in each of n strata of every axis; the strata of an axis are shuffled by hash."""
     out = spark.range(n).select(F.col("id").alias("point"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
 from .aggregates import agg_spec
 from .walks import walk
 
@@ -36,10 +37,8 @@ def window_aggregate(df: DataFrame, keys: Sequence[str], window: Column, specs:
 
 def count_windows(df: DataFrame, key: str, order: Sequence[str], size: int) -> DataFrame:
     """Window number of each row: every `size` rows of a key in order; `complete` says whether the window has fired."""
-    by_key = Window.partitionBy(key)
-    at = F.row_number().over(by_key.orderBy(*order)) - 1
-    number = F.floor(at / size)
-    return df.withColumn("window_no", number).withColumn("complete", (F.col("window_no") + 1) * size <= F.count("*").over(by_key))
+    rows = ordered.numbered(df, key, order).withColumn("window_no", F.floor((F.col("_rn") - 1) / size))
+    return rows.withColumn("complete", (F.col("window_no") + 1) * size <= F.col("_total")).drop("_rn", "_total")
 
 
 def cumulate(df: DataFrame, keys: Sequence[str], epoch: str, step: int, most: int, value: str) -> DataFrame:
@@ -90,18 +89,17 @@ def bounds_algebra(a_start: Column, a_end: Column, b_start: Column, b_end: Colum
 
 def watermark_replay(df: DataFrame, source: str, epoch: str, order: str, delay: int) -> DataFrame:
     """Each event in arrival order with the watermark that it met: the latest time before it less the delay."""
-    before = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    marked = df.withColumn("watermark", F.max(epoch).over(before) - delay)
+    rows = ordered.running(ordered.in_blocks(df, order), source, [order], [("_top", "max", F.col(epoch), True)])
+    marked = rows.withColumn("watermark", F.col("_top") - delay).drop("_top", "_block")
     late = F.coalesce(F.col(epoch) < F.col("watermark"), F.lit(False))
     return marked.withColumn("is_late", late).withColumn("lateness", F.when(late, F.col("watermark") - F.col(epoch)).otherwise(0))
 
 
 def punctuated_watermark(df: DataFrame, source: str, epoch: str, order: str, every: int) -> DataFrame:
     """A watermark that only moves at every n-th event of its source."""
-    arrival = Window.partitionBy(source).orderBy(order)
-    counted = df.withColumn("_k", F.row_number().over(arrival)).withColumn("_top", F.max(epoch).over(arrival.rowsBetween(Window.unboundedPreceding, 0)))
-    mark = F.max(F.when(F.col("_k") % every == 0, F.col("_top"))).over(arrival.rowsBetween(Window.unboundedPreceding, 0))
-    return counted.withColumn("watermark", mark).drop("_k", "_top")
+    counted = ordered.running(ordered.in_blocks(df, order), source, [order], [("_k", "count", F.lit(1)), ("_top", "max", F.col(epoch))])
+    marked = ordered.running(counted, source, [order], [("watermark", "max", F.when(F.col("_k") % every == 0, F.col("_top")))])
+    return marked.drop("_k", "_top", "_block")
 
 
 def late_policy(replayed: DataFrame, allowed: int) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import sql_normal_cdf
 from ..operators import decisions as X
+from ..operators import ordered as O
 from ..operators import selection as E
 from ..sources.tables import feedback, read, requests
 from .registry import query
@@ -144,7 +145,8 @@ def configs(spark, sf_dir):
 def summaries(spark, sf_dir):
     rows = requests(spark, sf_dir)
     span = F.max("epoch_s") - F.min("epoch_s")
-    return rows.groupBy("model_id").agg(F.percentile("latency_ms", 0.95).alias("p95"), (F.count("*") / F.when(span > 0, span)).alias("rps"), F.avg(c("success").cast("double")).alias("success"))
+    rates = rows.groupBy("model_id").agg((F.count("*") / F.when(span > 0, span)).alias("rps"), F.avg(c("success").cast("double")).alias("success"))
+    return rates.join(O.percentiles(rows, ["model_id"], "latency_ms", {"p95": 0.95}), "model_id")
 
 
 @query(
@@ -290,5 +292,6 @@ def canary(spark, sf_dir):
 
 @query("x09_health_checks", "with m as (select model_id, count(*) as n, avg(success::int) as s, quantile_cont(latency_ms, 0.95) as p95, quantile_cont(latency_ms, 0.99) as p99 from requests group by model_id) select model_id, 'success' as name, s >= 0.8 as passed from m union all select model_id, 'p95', p95 <= 3000 from m union all select model_id, 'p99', p99 <= 4000 from m union all select model_id, 'samples', n >= 100 from m")
 def health(spark, sf_dir):
-    m = requests(spark, sf_dir).groupBy("model_id").agg(F.count("*").alias("n"), F.avg(c("success").cast("double")).alias("s"), F.percentile("latency_ms", 0.95).alias("p95"), F.percentile("latency_ms", 0.99).alias("p99"))
+    rows = requests(spark, sf_dir)
+    m = rows.groupBy("model_id").agg(F.count("*").alias("n"), F.avg(c("success").cast("double")).alias("s")).join(O.percentiles(rows, ["model_id"], "latency_ms", {"p95": 0.95, "p99": 0.99}), "model_id")
     return m.select("model_id", F.expr("stack(4, 'success', s >= 0.8, 'p95', p95 <= 3000, 'p99', p99 <= 4000, 'samples', n >= 100) as (name, passed)"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import ordered as O
 from ..operators import windows as W
 from ..sources.tables import requests
 from .registry import query
@@ -60,7 +61,7 @@ def capped_sessions(spark, sf_dir):
 
 @query("w06_global_window", f"select model_id, {SUMMARY_SQL} from requests group by model_id")
 def global_window(spark, sf_dir):
-    return rounded(requests(spark, sf_dir).groupBy("model_id").agg(*A.agg_spec(SUMMARY)))
+    return rounded(A.agg_whole(requests(spark, sf_dir), ["model_id"], SUMMARY))
 
 
 @query(
@@ -177,7 +178,11 @@ def ordered_lists(spark, sf_dir):
 
 @query("a07_percentile_kinds", "select model_id, round(quantile_cont(latency_ms, 0.9), 6) as cont, quantile_disc(latency_ms, 0.9) as disc, round(var_samp(latency_ms), 4) as v, round(var_pop(latency_ms), 4) as vp from requests group by model_id")
 def percentile_kinds(spark, sf_dir):
-    return requests(spark, sf_dir).groupBy("model_id").agg(F.round(F.expr("percentile_cont(0.9) within group (order by latency_ms)"), 6).alias("cont"), F.expr("percentile_disc(0.9) within group (order by latency_ms)").alias("disc"), F.round(F.var_samp("latency_ms"), 4).alias("v"), F.round(F.var_pop("latency_ms"), 4).alias("vp"))
+    rows = requests(spark, sf_dir)
+    cont = O.percentiles(rows, ["model_id"], "latency_ms", {"cont": 0.9})
+    disc = O.values_at(rows, ["model_id"], "latency_ms", {"disc": lambda n: F.ceil(F.lit(0.9) * n) - 1}).drop("n")
+    spread = rows.groupBy("model_id").agg(F.round(F.var_samp("latency_ms"), 4).alias("v"), F.round(F.var_pop("latency_ms"), 4).alias("vp"))
+    return spread.join(cont.withColumn("cont", F.round("cont", 6)), "model_id").join(disc, "model_id")
 
 
 @query("a08_period_rollup", "select 'day' as period, strftime(event_time, '%Y-%m-%d') as label, model_id, round(sum(cost_usd), 6) as cost from requests group by all union all select 'month', strftime(event_time, '%Y-%m'), model_id, round(sum(cost_usd), 6) from requests group by all")

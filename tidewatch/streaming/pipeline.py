@@ -47,6 +47,22 @@ def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return df
 
 
+def early_results(df: DataFrame, ts: str, delay: str, keys: Sequence[str], window: Column, specs: Sequence[tuple], sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+    """Results of open windows at an interval before the watermark has passed them: update mode, each batch to `sink`."""
+    out = windowed(df, ts, delay, keys, window, specs).writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def to_table(df: DataFrame, table: str, checkpoint: str):
+    """INSERT INTO a table from a stream, over all that is there."""
+    return df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).toTable(table)
+
+
+def to_kafka(df: DataFrame, servers: str, checkpoint: str, **options):
+    """Rows of (key, value, topic, partition) to Kafka; a restart may repeat a batch, so readers must bear repeats."""
+    return df.writeStream.format("kafka").options(**{"kafka.bootstrap.servers": servers}, **options).option("checkpointLocation", checkpoint).start()
+
+
 def to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Run over all that is there and stop; the checkpoint makes a restart go on where it ended."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
@@ -88,6 +104,72 @@ class CountWindows(StatefulProcessor):
         pass
 
 
+class Triggers(StatefulProcessor):
+    """A key's windows of event time that fire as their triggers say, with count, sum and the reason.
+
+    `count` fires at every so many events of a window, `after` once the clock (the processing time, or with `on_watermark`
+    the watermark) is so many milliseconds past the window's end. With `every` of them asked for (mode all), a window
+    fires only where all hold at once; with any, where one does. A window is purged once its time has fired.
+    """
+
+    def __init__(self, ts: str, value: str, size_ms: int, count: int | None, after_ms: int | None, mode: str = "any") -> None:
+        self.ts, self.value, self.size_ms, self.count, self.after_ms, self.mode = ts, value, size_ms, count, after_ms, mode
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.windows = handle.getMapState("windows", "opened long", "n long, total double")
+
+    def clock(self, timer_values) -> int:
+        return timer_values.getCurrentProcessingTimeInMs()
+
+    def row(self, key, opened: int, n: int, total: float, reason: str) -> tuple:
+        return (key[0], opened, opened + self.size_ms, n, total, reason)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
+        fired, now = [], self.clock(timer_values)
+        for pdf in rows:
+            for at, x in zip(pdf[self.ts].astype("datetime64[ms]").astype("int64"), pdf[self.value], strict=True):
+                opened = int(at) // self.size_ms * self.size_ms
+                n, total = self.windows.getValue((opened,)) if self.windows.containsKey((opened,)) else (0, 0.0)
+                n, total = n + 1, total + float(x)
+                by_count = self.count is not None and n % self.count == 0
+                by_time = self.after_ms is not None and now >= opened + self.size_ms + self.after_ms
+                asked = [v for v, given in ((by_count, self.count), (by_time, self.after_ms)) if given is not None]
+                if (all(asked) if self.mode == "all" else any(asked)) and asked:
+                    fired.append(self.row(key, opened, n, total, "count" if by_count else "element"))
+                self.windows.updateValue((opened,), (n, total))
+                if self.after_ms is not None and not by_time:
+                    self.handle.registerTimer(opened + self.size_ms + self.after_ms)
+        yield pd.DataFrame(fired, columns=["key", "opened", "closed", "n", "total", "reason"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        opened = expiredTimerInfo.getExpiryTimeInMs() - self.after_ms - self.size_ms
+        fired = []
+        if self.windows.containsKey((opened,)):
+            n, total = self.windows.getValue((opened,))
+            if self.mode == "any" or self.count is None or n % self.count == 0:
+                fired.append(self.row(key, opened, n, total, "timer"))
+            self.windows.removeKey((opened,))
+        yield pd.DataFrame(fired, columns=["key", "opened", "closed", "n", "total", "reason"])
+
+    def close(self) -> None:
+        pass
+
+
+class WatermarkTriggers(Triggers):
+    """The same with timers on the watermark: results after the watermark passes the end by a delay."""
+
+    def clock(self, timer_values) -> int:
+        return timer_values.getCurrentWatermarkInMs()
+
+
+def triggered(df: DataFrame, key: str, ts: str, value: str, size_ms: int, count: int | None = None, after_ms: int | None = None, mode: str = "any", delay: str | None = None, key_type: str = "string") -> DataFrame:
+    """Windows with count and time triggers, any or all of them; with a watermark delay, time is the watermark's."""
+    rows = event_time(df, ts).withWatermark(ts, delay) if delay else event_time(df, ts)
+    processor = (WatermarkTriggers if delay else Triggers)(ts, value, size_ms, count, after_ms, mode)
+    return rows.groupBy(key).transformWithStateInPandas(processor, f"key {key_type}, opened long, closed long, n long, total double, reason string", "append", "eventTime" if delay else "processingTime")
+
+
 class RunningAverage(StatefulProcessor):
     """The exponential average of a key, one row per event."""
 
