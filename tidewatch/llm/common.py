@@ -82,6 +82,27 @@ def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES, bytes_col: int = 1) -
         yield batch.slice(start)
 
 
+_HELD: dict = {}
+_USED: set = set()
+
+
+def held(key, make: Callable[[], object]):
+    """An object that a worker process keeps over the tasks of one operator; another operator's task lets it go."""
+    _USED.add(key)
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def started(make: Callable[[], Callable]) -> Callable:
+    """The function of a task; what the worker still holds for other operators is let go."""
+    _USED.clear()
+    f = make()
+    for key in [k for k in _HELD if k not in _USED]:
+        del _HELD[key]
+    return f
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str | StructType) -> DataFrame:
     """Apply a per-row function to every row in Arrow batches.
 
@@ -91,7 +112,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
+        f = started(make)
         for batch in batches:
             for piece in slices(batch):
                 rows = [f(*row) for row in zip(*(c.to_pylist() for c in piece.columns), strict=True)]
@@ -107,7 +128,7 @@ def map_pieces(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
+        f = started(make)
         for batch in batches:
             for piece in slices(batch, most):
                 out = f(piece)

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_pieces, map_rows, text_bytes
+from .common import held, map_pieces, map_rows, text_bytes
 
 #: The characters that Unicode calls white space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -45,7 +45,7 @@ TABLE_ENTRIES = 1 << 17
 COUNTED_ENTRIES = 1 << 18
 REPORTED_ENTRIES = 1 << 16
 CACHE_ENTRIES = 1 << 17
-WORD_ENTRIES = 1 << 18
+WORD_ENTRIES = 1 << 17
 LONGEST_ENTRY = 64
 #: Words that are encoded as one text, and text that a task encodes together, bytes; a longer text is taken alone.
 JOINED_WORDS = 200
@@ -130,17 +130,14 @@ class Lookup(dict):
         return found
 
 
-_WORKER: dict = {}
-
-
 def worker_lookup(kind: str, path: str, frequent, value) -> Lookup:
     """One encoder and cache per worker process and table, shared by the tasks that it runs."""
-    key = (kind, path, frequent.id if hasattr(frequent, "id") else id(frequent))
-    if key not in _WORKER:
-        _WORKER.clear()
+
+    def make() -> Lookup:
         encoder = Encoder(path)
-        _WORKER[key] = Lookup(frequent.value, lambda w: value(encoder, w))
-    return _WORKER[key]
+        return Lookup(frequent.value, lambda w: value(encoder, w))
+
+    return held((kind, path, frequent.id if hasattr(frequent, "id") else id(frequent)), make)
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -253,10 +250,7 @@ def encode_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col
     width, last = 4 * capacity, packed([end_id])
 
     def make():
-        if ("ids", path) not in _WORKER:
-            _WORKER.clear()
-            _WORKER["ids", path] = WordIds(path)
-        ids = _WORKER["ids", path]
+        ids = held(("ids", path), lambda: WordIds(path))
 
         def piece(batch):
             rows = []
