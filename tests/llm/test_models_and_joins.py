@@ -25,17 +25,44 @@ def odd_rows(spark):
 
 
 def brute_licenses(text):
+    """Licences of units, and of runs of words outside them: every start and end is tried for every template."""
     if text is None:
         return set()
-    units = {text, *re.split(r"\n[ \t\r]*\n", text), *text.split("\n")}
-    found = set()
-    for u in units:
-        words = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), u))
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    templates = {name: licenses.bigrams(t) for name, t in licenses.TEMPLATES.items()}
+
+    def unit(u):
+        words = re.findall("[a-z0-9]+", low(u))
         grams = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
-        best = max(((2 * len(grams & set(g)) / (len(grams) + len(g)), name) for name, t in licenses.TEMPLATES.items() if (g := licenses.bigrams(t))), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
-        if best[0] >= 0.8:
-            found.add(best[1])
-    return found
+        best = max(((2 * len(grams & set(g)) / (len(grams) + len(g)), name) for name, g in templates.items()), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+        return best[1] if best[0] >= 0.8 else None
+
+    paragraphs = re.split(r"\n[ \t\r]*\n", text)
+    found = {name for u in {text, *paragraphs, *text.split("\n")} if (name := unit(u))}
+    if unit(text):
+        return found
+    rest = "\n".join("\x01" if unit(p) else "\n".join("\x01" if unit(x) else low(x.replace("\x01", " ")) for x in p.split("\n")) for p in paragraphs)
+    words = re.findall("[a-z0-9\x01]+", rest)
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    runs = []
+    for name, own in templates.items():
+        n, span = len(own), licenses.size_bounds(len(own))[1] + len(re.findall("[a-z0-9]+", licenses.TEMPLATES[name].lower())) - 1 - len(own)
+        mine = set(own)
+        for i in (i for i, g in enumerate(grams) if g in mine):
+            best, held, shared = None, set(), 0
+            for j in range(i, min(i + span, len(grams))):
+                shared += grams[j] in mine and grams[j] not in held
+                held.add(grams[j])
+                dice = 2 * shared / (len(held) + n)
+                if grams[j] in mine and dice >= 0.8 and (best is None or (dice, shared, -j) > best):
+                    best = (dice, shared, -j)
+            if best:
+                runs.append((-best[1], -best[0], name, i, -best[2]))
+    chosen = []
+    for r in sorted(runs):
+        if not any(r[3] <= c[4] and c[3] <= r[4] for c in chosen):
+            chosen.append(r)
+    return found | {r[2] for r in chosen}
 
 
 def test_licenses_match_brute_force(spark, small):

@@ -184,13 +184,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = steps.select(F.col(id_col), F.concat(F.coalesce(in_units, none), F.coalesce(runs, none)).alias("_found"))
     best = F.reduce("_found", F.element_at(F.col("_found"), 1), lambda a, x: F.when((x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["license"] < a["license"])), x).otherwise(a))
     some = F.size("_found") > 0
-    return found.select(
-        id_col,
+    digest = F.struct(
         F.size("_found").cast("long").alias("n_units"),
         F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["license"])))).alias("licenses"),
         F.when(some, best["license"]).alias("best_license"),
         F.when(some, F.round(best["dice"], 6)).alias("best_dice"),
     )
+    # a generator of one row: a filter on the result would else be written out through all steps, and its plan explode
+    return found.select(id_col, F.inline(F.array(digest)))
 
 
 def oracle_sql(table: str = "documents") -> str:
