@@ -256,15 +256,30 @@ def ends(a: Automaton, data: bytes) -> list[tuple[int, int]]:
     return found
 
 
-def longest(a: Automaton, data: bytes, start: int, stop: int, step: int) -> int | None:
-    """Where the longest match of an anchored automaton ends that begins at `start` and runs to `stop` at most."""
+def next_end(a: Automaton, data: bytes, start: int) -> int:
+    """The first byte after `start` after which some rule accepts, from a scan that begins there; past the end if none does."""
+    table, state, limit, strip = a.table, a.start, a.first_accepting, 256
+    while start < len(data):
+        for at, c in enumerate(data[start : start + strip].translate(a.classes), start + 1):
+            state = table[state + c]
+            if state >= limit:
+                return at
+        start, strip = start + strip, min(4 * strip, 1 << 16)
+    return len(data) + 1
+
+
+def longest(a: Automaton, data: bytes, start: int, stop: int, step: int) -> tuple[int | None, int]:
+    """Where the longest match of an anchored automaton ends that begins at `start` and runs to `stop` at most.
+
+    Also how far it looked: the byte that no match can pass, or `stop`.
+    """
     table, state, limit, best, classes = a.table, a.start, a.first_accepting, None, a.classes
     at = start
     while at != stop:
         state = table[state + classes[data[at if step > 0 else at - 1]]]
+        if state == a.dead:
+            break
         at += step
         if state >= limit:
             best = at
-        elif state == a.dead:
-            break
-    return best
+    return best, at

@@ -11,7 +11,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame
 
-from .automaton import Automaton, compile_rules, ends, longest
+from .automaton import Automaton, compile_rules, ends, longest, next_end
 from .common import map_rows, text_bytes
 
 #: Kind, pattern of the scan, what follows it in a whole match, whether letters match in either case, least
@@ -43,28 +43,37 @@ MIN_VALUE = 6
 
 
 @cache
-def automata() -> tuple[Automaton, list[Automaton], list[Automaton]]:
-    """The combined automaton, and per rule an anchored one of whole matches forwards and one of the scan backwards."""
+def automata() -> tuple[Automaton, list[Automaton], list[Automaton], list[Automaton]]:
+    """The combined automaton, and per rule an anchored one of whole matches forwards, one of the scan backwards, and the scan alone."""
     rules = [(pattern, fold) for _, pattern, _, fold, _ in RULES]
     whole = [compile_rules([(pattern + rest, fold)], anchored=True) for _, pattern, rest, fold, _ in RULES]
-    return compile_rules(rules), whole, [compile_rules([r], anchored=True, reverse=True) for r in rules]
+    return compile_rules(rules), whole, [compile_rules([r], anchored=True, reverse=True) for r in rules], [compile_rules([r]) for r in rules]
 
 
 def find_spans(data: bytes, compiled=None) -> list[tuple[int, int, int]]:
-    """(start, rule index, end) in bytes, leftmost and non-overlapping per rule, by start and then rule."""
-    scan, forwards, backwards = compiled or automata()
-    free, spans = [0] * len(RULES), []
+    """(start, rule index, end) in bytes, leftmost and non-overlapping per rule, by start and then rule.
+
+    Every rule looks at each byte a bounded number of times. A mark of a provider without what must follow it is not
+    followed again within the stretch that was looked at: there the rest would end at the same byte. Where the scan
+    accepts a match that begins inside an earlier one, the rule alone is scanned on from the end of that one.
+    """
+    scan, forwards, backwards, alone = compiled or automata()
+    free, quiet, spans = [0] * len(RULES), [0] * len(RULES), []
     for end, mask in ends(scan, data):
         while mask:
             rule = (mask & -mask).bit_length() - 1
             mask &= mask - 1
-            if end <= free[rule]:
+            if end <= free[rule] or end < quiet[rule]:
                 continue
-            start = longest(backwards[rule], data, end, free[rule], -1)
+            start, _ = longest(backwards[rule], data, end, free[rule], -1)
             if start is None:
-                continue
-            stop = longest(forwards[rule], data, start, len(data), 1)
+                quiet[rule] = next_end(alone[rule], data, free[rule])
+                if end < quiet[rule]:
+                    continue
+                start, _ = longest(backwards[rule], data, end, free[rule], -1)
+            stop, seen = longest(forwards[rule], data, start, len(data), 1)
             if stop is None:  # the mark of a provider without what must follow it
+                free[rule] = seen
                 continue
             free[rule] = stop
             if stop - start < RULES[rule][4]:
