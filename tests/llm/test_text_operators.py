@@ -158,7 +158,7 @@ def test_window_of_many_items(spark):
     began = time.time()
     rows = {r.doc_id: r for r in contamination(docs, bench).collect()}
     assert (rows[1].n_words, rows[1].n_hit, len(rows[1]["items"]), rows[2].n_hit) == (15, 13, 10_000, 0) and time.time() - began < 60
-    assert len(Index([(str(i), passage.encode()) for i in range(10_000)]).words[13]) == 1
+    assert len(Index([(str(i), passage.encode()) for i in range(10_000)]).at[13]) == 1
 
 
 def test_media_round_trip(spark, small):

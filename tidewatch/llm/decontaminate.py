@@ -8,7 +8,8 @@ An item of fewer than 13 words is one window: there all k-grams of its own lengt
 A benchmark of up to BROADCAST_BYTES of text is broadcast as sorted arrays, and windows are compared byte by byte in one
 pass over the documents. A larger one stays distributed: a pass over it sets the bits of its fingerprints and windows in
 two tables of fixed size, one pass over the documents keeps the windows around fingerprints that pass both, and those
-are joined with the benchmark's windows by two 64-bit hashes. Memory does not depend on the benchmark's size.
+are joined with the benchmark's windows by their words. Memory does not depend on the benchmark's size. Either way a
+window occurs only where all its words are equal, so both give the same rows.
 
 Defined results: null texts and texts without words have no hits and are not contaminated; items with a null id make
 words hit but are not listed; repeated items count once each by id; repeated documents give repeated rows; an empty
@@ -26,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import in_small_batches, map_pieces, materialise, text_and_row, text_bytes, with_row
-from .words import ALPHANUMERIC, gram_hashes, gram_hashes_at, join_texts, mix, word_hashes
+from .words import ALPHANUMERIC, gram_hashes, gram_hashes_at, join_texts, word_hashes
 
 WINDOW = 13
 GRAM = 7
-#: Benchmark text that is broadcast, bytes; its arrays take about ten times as much.
+#: Benchmark text that is broadcast, bytes; its arrays take about twelve times as much (tested).
 BROADCAST_BYTES = 8 << 20
 #: Text that a task looks at together, bytes; a longer text is taken alone.
 PIECE_BYTES = 2 << 20
@@ -77,6 +78,15 @@ class Texts:
     def spelled(self, at: int, n: int) -> list[bytes]:
         return [self.data[a:b].tobytes().lower() for a, b in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist(), strict=True)]  # bytes.lower changes A-Z only
 
+    def kinds(self, n: int, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """In each run of windows that begins at `first`: 0 for those with the words of the first, 1 for the next words..."""
+        out = np.zeros(len(at), np.int32)
+        for a, b in zip(first.tolist(), np.append(first[1:], len(at)).tolist(), strict=True):
+            if b - a > 1:
+                seen: dict[tuple, int] = {}
+                out[a:b] = [seen.setdefault(tuple(self.spelled(i, n)), len(seen)) for i in at[a:b].tolist()]
+        return out
+
     def windows(self) -> dict[int, np.ndarray]:
         """Where the windows of items begin, by their length."""
         size = np.diff(self.cut)
@@ -117,18 +127,23 @@ class Index:
     def __init__(self, items: list[tuple[str | None, bytes]]) -> None:
         self.names = [name for name, _ in items]
         t = Texts.of([text for _, text in items])
-        self.prints, self.hashes, self.words, self.items = {}, {}, {}, {}
+        self.prints, self.hashes, self.at, self.items = {}, {}, {}, {}
         for n, at in t.windows().items():
             self.prints[n] = np.unique(t.prints(n, at))
             hashes = gram_hashes_at(t.words, at, n)
             order = np.argsort(hashes, kind="stable")
             at, hashes = at[order], hashes[order]
-            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            self.hashes[n] = hashes[first]
-            self.words[n] = [t.spelled(i, n) for i in at[first].tolist()]
+            kind = t.kinds(n, at, np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])))
+            if kind.any():  # different windows of one hash
+                order = np.lexsort((kind, hashes))
+                at, hashes, kind = at[order], hashes[order], kind[order]
+            first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (kind[1:] != kind[:-1])))
+            self.hashes[n], self.at[n] = hashes[first], at[first].astype(np.int32)
             which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hashes))))
-            pairs = np.unique(np.stack([which, t.text[at]], axis=1), axis=0)
-            self.items[n] = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1)), pairs[:, 1]
+            pairs = np.unique(which * len(items) + t.text[at])
+            edges = np.searchsorted(pairs, np.arange(len(first) + 1) * len(items))
+            self.items[n] = edges.astype(np.int32), (pairs % len(items)).astype(np.int32)
+        self.texts = Texts(t.data, t.start.astype(np.int32), t.end.astype(np.int32), None, None, None)  # what spelled needs
 
     def hits(self, t: Texts) -> list[tuple[int, int, np.ndarray]]:
         """(first word, word after the last, items) of each benchmark window inside one of the texts."""
@@ -138,9 +153,12 @@ class Index:
             hashes = gram_hashes_at(t.words, near, n)
             hit = among(self.hashes[n])(hashes)
             edge, items = self.items[n]
-            for i, w in zip(near[hit].tolist(), np.searchsorted(self.hashes[n], hashes[hit]).tolist(), strict=True):
-                if self.words[n][w] == t.spelled(i, n):
-                    out.append((i, i + n, items[edge[w] : edge[w + 1]]))
+            for i, h, w in zip(near[hit].tolist(), hashes[hit], np.searchsorted(self.hashes[n], hashes[hit]).tolist(), strict=True):
+                own = t.spelled(i, n)
+                while w < len(self.at[n]) and self.hashes[n][w] == h:
+                    if self.texts.spelled(int(self.at[n][w]), n) == own:
+                        out.append((i, i + n, items[edge[w] : edge[w + 1]]))
+                    w += 1
         return sorted(out, key=lambda x: x[:2])
 
 
@@ -185,11 +203,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found if keep_row else found.withColumnRenamed("_id", id_col)
 
 
-def second_hashes(words: np.ndarray) -> np.ndarray:
-    """Other hashes of the same words, for the second of a window's two hashes."""
-    return mix(words ^ np.uint64(0xA24BAED4963EE407))
-
-
 def bit_tables(items: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     """Bits of the fingerprints and windows of all items, by kind and window length; only set rows travel."""
 
@@ -226,10 +239,6 @@ def in_table(table: np.ndarray):
     return lambda x: (table[(x >> np.uint64(3)) % np.uint64(len(table))] >> (x & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
-def window_rows(t: Texts, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return gram_hashes_at(t.words, at, n).view(np.int64), gram_hashes_at(second_hashes(t.words), at, n).view(np.int64)
-
-
 def joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, keep_row: bool) -> DataFrame:
     """The same for a benchmark of any size: documents' windows that pass its bit tables are joined with its windows."""
     spark = docs.sparkSession
@@ -238,19 +247,13 @@ def joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, keep_r
     def item_windows():
         def piece(batch):
             t = Texts.of([x or b"" for x in batch.column(1).to_pylist()])
-            out: dict = {"n": [], "h": [], "g": [], "item": []}
-            for n, at in t.windows().items():
-                h, g = window_rows(t, n, at)
-                out["n"].append(np.full(len(at), n, np.int32))
-                out["h"].append(h)
-                out["g"].append(g)
-                out["item"].append(t.text[at])
-            joined = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
-            return joined | {"item": batch.column(0).take(pa.array(joined["item"].astype(np.int64)))}
+            rows = [(n, b" ".join(t.spelled(i, n)), int(t.text[i])) for n, at in t.windows().items() for i in at.tolist()]
+            sizes, words, whose = zip(*rows, strict=True) if rows else ([], [], [])
+            return {"n": sizes, "words": words, "item": batch.column(0).take(pa.array(whose, pa.int64()))}
 
         return piece
 
-    windows = materialise(map_pieces(text_bytes(items, "_item", "_text"), item_windows, "n int, h long, g long, item string", PIECE_BYTES).distinct(), "windows")
+    windows = materialise(map_pieces(text_bytes(items, "_item", "_text"), item_windows, "n int, words binary, item string", PIECE_BYTES).distinct(), "windows")
     sizes = [r.n for r in windows.select("n").distinct().collect()]  # WINDOW at most
     chosen = text_and_row(docs, id_col, text_col)
     rows = materialise(chosen.select("_id", "_bytes", "_row", F.monotonically_increasing_id().alias("_key")), "documents")  # written, so keys stay when a task runs again
@@ -263,24 +266,23 @@ def joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, keep_r
             out: list[list] = [[] for _ in range(len(t.cut) - 1)]
             for n in sizes:
                 near = t.near(n, tests["print", WINDOW if n == WINDOW else 0])
-                h, g = window_rows(t, n, near)
-                hit = tests["window", WINDOW if n == WINDOW else 0](h.view(np.uint64))
-                for d, i, a, b in zip(t.text[near[hit]].tolist(), near[hit].tolist(), h[hit].tolist(), g[hit].tolist(), strict=True):
-                    out[d].append({"n": n, "at": i - int(t.cut[d]), "h": a, "g": b})
+                near = near[tests["window", WINDOW if n == WINDOW else 0](gram_hashes_at(t.words, near, n))]
+                for d, i in zip(t.text[near].tolist(), near.tolist(), strict=True):
+                    out[d].append({"n": n, "at": i - int(t.cut[d]), "words": b" ".join(t.spelled(i, n))})
             return {"_key": batch.column(0), "n_words": np.diff(t.cut), "found": out}
 
         return piece
 
-    looked = map_pieces(rows.select("_key", "_bytes"), doc_windows, "_key long, n_words long, found array<struct<n:int,at:int,h:long,g:long>>", PIECE_BYTES)
+    looked = map_pieces(rows.select("_key", "_bytes"), doc_windows, "_key long, n_words long, found array<struct<n:int,at:int,words:binary>>", PIECE_BYTES)
     looked = materialise(looked, "looked")
     spread = looked.select("_key", F.explode("found").alias("w")).select("_key", "w.*").withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
-    known = windows.select("n", "h", "g").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    hits = materialise(spread.join(known, ["n", "h", "g", "_salt"], "left_semi"), "hits")
+    known = windows.select("words").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    hits = materialise(spread.join(known, ["words", "_salt"], "left_semi"), "hits")
     ranges = hits.groupBy("_key").agg(F.collect_set(F.struct(F.col("at").cast("long").alias("a"), (F.col("at") + F.col("n")).cast("long").alias("b"))).alias("_ranges"))
     # the items of a window are one list, and each document asks for a window once
-    asked = hits.select("_key", "n", "h", "g").distinct()
-    lists = asked.select("n", "h", "g").distinct().join(windows.where("item is not null"), ["n", "h", "g"]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    named = asked.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS))).join(lists, ["n", "h", "g", "_salt"]).groupBy("_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    asked = hits.select("_key", "words").distinct()
+    lists = asked.select("words").distinct().join(windows.where("item is not null"), ["words"]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    named = asked.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS))).join(lists, ["words", "_salt"]).groupBy("_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     counted = looked.select("_key", "n_words").join(ranges, "_key", "left").join(named, "_key", "left")
     counted = counted.select("_key", "n_words", F.coalesce(covered("_ranges"), F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     kept = ["_id", "_row"] if keep_row else ["_id"]

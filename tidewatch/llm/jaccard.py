@@ -66,6 +66,12 @@ def gram_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def spelled_grams(text: bytes) -> set:
+    """The set of a text as words, without hashes; bytes are lower-cased in A-Z only, and split at the same white space."""
+    w = text.lower().split()
+    return {tuple(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)} if len(w) >= WORDS else {tuple(w)} if w else set()
+
+
 def node_id(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -217,7 +223,10 @@ def trie_order(sets: list[np.ndarray], rank: np.ndarray) -> list[np.ndarray]:
 
 
 def join_groups(groups: DataFrame, texts: DataFrame, classes) -> DataFrame:
-    """Links (node, root) inside every group: groups has group, node and label; texts has node and text."""
+    """Links (node, root) inside every group: groups has group, node and label; texts has node and text.
+
+    The trie works on hashes; two sets that it would link are compared as words once more.
+    """
     rows = groups.join(texts, "node").select("group", "node", "label", "_bytes").repartition("group").sortWithinPartitions("group", "node")
 
     def run(batches):
@@ -227,7 +236,16 @@ def join_groups(groups: DataFrame, texts: DataFrame, classes) -> DataFrame:
             good = [i for i, x in enumerate(sets) if node_id(x) == nodes[i]]  # an id may be used for other texts as well
             if len(good) < 2:
                 continue
-            union = link_group(trie_order([sets[i] for i in good], classes.value), [labels[i] for i in good], NUMERATOR, DENOMINATOR)
+            spelled: dict[int, set] = {}
+
+            def words(j: int, good=good, data=data, spelled=spelled) -> set:
+                return spelled[j] if j in spelled else spelled.setdefault(j, spelled_grams(data[good[j]]))
+
+            def certain(i: int, j: int, words=words) -> bool:
+                a, b = words(i), words(j)
+                return DENOMINATOR * (both := len(a & b)) >= NUMERATOR * (len(a) + len(b) - both)
+
+            union = link_group(trie_order([sets[i] for i in good], classes.value), [labels[i] for i in good], NUMERATOR, DENOMINATOR, certain)
             least: dict[int, int] = {}
             for j, i in enumerate(good):
                 r = union.root(j)
@@ -309,16 +327,22 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the smallest id of their class; rows with a null id stay, of equal rows one stays."""
-    found = materialise(link_documents(docs, id_col, text_col), "classes")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    """The rows of docs that are the smallest id of their class; rows with a null id stay, of equal rows one stays.
+
+    Rows travel as one struct, so columns may have any name and type; rows are equal if their JSON is.
+    """
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rows = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"), F.struct("*").alias("_row"))
+    found = materialise(link_documents(rows.select("_id", "_text"), "_id", "_text"), "classes")
+    gone = found.where("_id <> component_id").select("_id").distinct()
     few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
-    repeated = materialise(found.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id_col).alias("_id")), "repeated")
-    if not repeated.limit(1).count():  # the usual case: ids are unique, and no text needs to be shuffled
-        return kept
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates())
+    kept = rows.select("_id", "_row").join(F.broadcast(gone) if few else gone, "_id", "left_anti")
+    repeated = materialise(found.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id"), "repeated")
+    if repeated.limit(1).count():  # unusual: else ids are unique, and no text needs to be shuffled
+        same = kept["_id"].eqNullSafe(repeated["_id"])
+        several = kept.join(repeated, same, "left_semi").groupBy("_id", F.sha2(F.to_json("_row"), 256).alias("_hash")).agg(F.any_value("_row").alias("_row"))
+        kept = kept.join(repeated, same, "left_anti").select("_row").unionByName(several.select("_row"))
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def block_members(stars: DataFrame, pivot_sizes: DataFrame, labels: DataFrame) -> DataFrame | None:

@@ -99,9 +99,9 @@ def join_group(sets: list[np.ndarray], sizes: list[int], labels: list, worth: Ca
     return union
 
 
-def link_group(sets: list[np.ndarray], labels: list, numerator: int, denominator: int) -> Union:
-    """Union of the sets that are linked: denominator * |A and B| >= numerator * |A or B|."""
+def link_group(sets: list[np.ndarray], labels: list, numerator: int, denominator: int, certain: Callable[[int, int], bool] = lambda i, j: True) -> Union:
+    """Union of the sets that are linked: denominator * |A and B| >= numerator * |A or B|, if `certain` says so too."""
     sizes, both = [len(x) for x in sets], numerator + denominator
     worth = lambda most, i, least: both * most >= numerator * (sizes[i] + least)
-    met = lambda overlap, i, j: both * overlap >= numerator * (sizes[i] + sizes[j])
+    met = lambda overlap, i, j: both * overlap >= numerator * (sizes[i] + sizes[j]) and certain(i, j)
     return join_group(sets, sizes, labels, worth, met)

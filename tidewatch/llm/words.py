@@ -1,13 +1,21 @@
-"""Words of whole texts as 64-bit hashes, found and hashed by numpy over the bytes, without a loop over words."""
+"""Words of whole texts as 64-bit hashes, found and hashed by numpy over the bytes, without a loop over short words.
+
+A word of up to SHORT bytes is hashed by a polynomial modulo 2**64. On longer words such a polynomial can fail whatever
+its base is (a Thue-Morse word of 1,024 letters and its complement are always equal), so these are hashed by BLAKE2b.
+Equal hashes stand for equal words only by chance: who needs certainty compares the words.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-#: Bytes that are hashed at a time; a longer word is hashed alone.
+#: Bytes that are hashed at a time, and the longest word that goes through the polynomial.
 STRIP = 1 << 19
+SHORT = 32
 
 
 def _byte_values() -> np.ndarray:
@@ -27,11 +35,11 @@ NOT_SPACE = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
+    if not _POWERS:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(max(n, STRIP), base, np.uint64)
+            p = np.full(STRIP + SHORT + 1, base, np.uint64)
             p[0] = 1
             _POWERS[name] = np.multiply.accumulate(p)
     return _POWERS["up"], _POWERS["down"]
@@ -50,16 +58,21 @@ def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.n
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     out = np.zeros(len(start), np.uint64)
+    up, down = _powers()
+    short = np.flatnonzero(end - start <= SHORT)
+    for i in np.flatnonzero(end - start > SHORT).tolist():
+        word = data[start[i] : end[i]].tobytes().lower()  # bytes.lower changes A-Z only
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
     first = 0
-    while first < len(start):
-        low = start[first]
-        after = max(first + 1, int(np.searchsorted(end, low + STRIP, side="right")))
-        high = end[after - 1]
-        up, down = _powers(int(high - low) + 1)
+    while first < len(short):
+        low = start[short[first]]
+        after = max(first + 1, int(np.searchsorted(end[short], low + STRIP, side="right")))
+        here = short[first:after]
+        high = end[here[-1]]
         total = np.zeros(high - low + 1, np.uint64)
         np.cumsum(VALUES[data[low:high]] * up[: high - low], out=total[1:])
-        a, b = start[first:after] - low, end[first:after] - low
-        out[first:after] = mix((total[b] - total[a]) * down[a])
+        a, b = start[here] - low, end[here] - low
+        out[here] = mix((total[b] - total[a]) * down[a])
         first = after
     return start, end, out
 
