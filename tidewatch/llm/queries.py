@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, quality
+from . import filter_audit, langid, lexical, licenses, quality, toxicity
 from .common import read_table
 from .decontaminate import contamination
 from .jaccard import link_documents
@@ -95,6 +95,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(find_personal(read_table(spark, sf_dir, "documents")), PII_BASE)
 
 
+TOXICITY_THRESHOLD = 0.7
+
+
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    kept_out = held_out("doc_id", 3, 1)
+    scored = toxicity.score_toxicity(docs, toxicity.train_on(docs, labels.where(~kept_out)))
+    score = F.round("score", 6)
+    return scored.select("doc_id", kept_out.alias("held_out"), score.alias("score"), (score >= TOXICITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return filter_audit.audit(docs, filter_audit.failing_ids(docs), read_table(spark, sf_dir, "labels"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_secret_scan": op2_secret_scan,
@@ -106,5 +126,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
+    "op11_toxicity": op11_toxicity,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle_sql(), "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_lexical_search": lexical.ORACLE_SQL}
