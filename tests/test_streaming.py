@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators import windows as W
@@ -121,7 +123,13 @@ def test_processing_timers_fire_past_windows_at_once(spark, tmp_path):
     """Windows of 1970 have long passed by the clock: every element fires."""
     schema = timed(spark, f"{tmp_path}/in", LATE)
     stream = stream_files(spark, "parquet", f"{tmp_path}/in/*", schema, 1)
-    rows = run_to_rows(spark, S.triggered(stream, "k", "ts", "v", 60_000, after_ms=0), "clock_trigger", tmp_path)
+    q = S.triggered(stream, "k", "ts", "v", 60_000, after_ms=0).writeStream.format("memory").queryName("clock_trigger").option("checkpointLocation", f"{tmp_path}/c").start()
+    for _ in range(240):  # a query with such timers goes on until it is stopped
+        time.sleep(0.5)
+        if spark.table("clock_trigger").count() >= sum(map(len, LATE)):
+            break
+    q.stop()
+    rows = [tuple(r) for r in spark.table("clock_trigger").collect()]
     assert len(rows) == sum(map(len, LATE)) and {r[5] for r in rows} == {"element"}
 
 
