@@ -10,7 +10,7 @@ from tidewatch.functions import stats
 from tidewatch.operators import aggregates as A
 from tidewatch.operators import anomaly as N
 from tidewatch.operators import decisions as X
-from tidewatch.operators import dedup, rows, series
+from tidewatch.operators import decisions, dedup, joins, rows, series
 from tidewatch.operators import selection as E
 from tidewatch.operators import windows as W
 
@@ -81,8 +81,63 @@ def test_single_values_and_empty_groups(spark):
 
 
 def test_latin_hypercube_has_one_point_a_stratum(spark):
-    points = E.latin_hypercube(spark, {"x": (0.0, 1.0), "y": (10.0, 20.0)}, 8, 1).collect()
-    assert sorted(int(p.x * 8) for p in points) == sorted(int((p.y - 10) * 0.8) for p in points) == list(range(8))
+    """For a power of two, a prime, a product and 1; no exchange; other seeds give other points."""
+    for n in (1, 2, 8, 97, 360):
+        points = E.latin_hypercube(spark.range(n).withColumnRenamed("id", "point"), "point", {"x": (0.0, 1.0), "y": (10.0, 20.0)}, n, 1)
+        rows = points.collect()
+        assert sorted(int(p.x * n) for p in rows) == sorted(int((p.y - 10) * n / 10) for p in rows) == list(range(n))
+        assert "Exchange" not in points._jdf.queryExecution().executedPlan().toString()
+    other = E.latin_hypercube(spark.range(360).withColumnRenamed("id", "point"), "point", {"x": (0.0, 1.0), "y": (10.0, 20.0)}, 360, 2).collect()
+    assert sum(int(a.x * 360) == int(b.x * 360) for a, b in zip(rows, other, strict=True)) < 40
+    pairs = {(int(p.x * 4), int((p.y - 10) * 0.4)) for p in rows}
+    assert len(pairs) == 16  # the axes are not tied to each other
+
+
+def test_random_search_and_draws(spark):
+    """Uniform numbers fill their span; beta draws have the mean and deviation of their posterior."""
+    n = 20_000
+    ids = spark.range(n).withColumnRenamed("id", "point")
+    x = E.random_search(ids, "point", {"x": (-1.0, 3.0)}, 5).agg(F.min("x"), F.max("x"), F.avg("x"), F.stddev("x")).first()
+    assert -1 < x[0] < -0.99 and 2.99 < x[1] < 3 and abs(x[2] - 1) < 0.03 and abs(x[3] - 4 / 12**0.5) < 0.03
+    for a, b in ((1.0, 1.0), (3.0, 9.0), (400.0, 100.0)):
+        d = ids.select(E.beta_draw(F.lit(a), F.lit(b), 3, F.col("point")).alias("d")).agg(F.avg("d"), F.stddev("d")).first()
+        mean, sd = a / (a + b), (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+        assert abs(d[0] - mean) < 0.02 and abs(d[1] - sd) < 0.1 * sd
+
+
+def test_thompson_choice_prefers_the_better_arm(spark):
+    """The share of choices follows the chance that an arm is best; a single arm is always chosen; no rows, no choices."""
+    arms = spark.createDataFrame([("a", 90, 100), ("b", 50, 100), ("c", 0, 0)], "arm string, wins long, n long")
+    rows = spark.range(4000).withColumnRenamed("id", "k")
+    shares = {r.choice: r["count"] / 4000 for r in E.thompson_choice(rows, arms, "arm", "k", 1).groupBy("choice").count().collect()}
+    assert shares["a"] > 0.8 and 0.05 < shares["c"] < 0.2 and shares.get("b", 0) < 0.01
+    assert E.thompson_choice(rows, arms.where("arm = 'b'"), "arm", "k", 1).where("choice = 'b'").count() == 4000
+    assert E.thompson_choice(rows.limit(0), arms, "arm", "k", 1).count() == 0
+
+
+def test_contextual_choice_follows_the_context(spark):
+    fitted = spark.createDataFrame([("p", "low", [1.0, -1.0], 0.0001), ("p", "high", [0.0, 1.0], 0.0001), ("q", "only", [0.0, 0.0], 1.0)], "policy string, arm string, theta array<double>, variance double")
+    rows = spark.createDataFrame([(1, "p", [1.0, 0.1]), (2, "p", [1.0, 0.9]), (3, "q", [1.0, 0.5]), (4, "none", [1.0, 0.5])], "k long, policy string, x array<double>")
+    assert {r.k: r.choice for r in E.contextual_choice(rows, fitted, "policy", "k", "x", 3).collect()} == {1: "low", 2: "high", 3: "only"}
+
+
+def test_span_paths_of_trees(spark):
+    """Branches, two traces, an orphan and a cycle; 300 levels."""
+    rows = [("t", 1, None, "a", 5), ("t", 2, 1, "b", 3), ("t", 3, 1, "b", 4), ("t", 4, 3, "c", 1), ("t", 9, 8, "x", 1), ("t", 11, 12, "y", 1), ("t", 12, 11, "y", 1), ("u", 1, None, "a", 2)]
+    spans = spark.createDataFrame(rows, "trace string, id long, up long, name string, v long")
+    found = {(r.trace, r.span): (r.depth, r.total, r.parent_name) for r in joins.span_paths(spans, "trace", "id", "up", "name", "v").collect()}
+    assert found == {("t", 1): (1, 5.0, None), ("t", 2): (2, 8.0, "a"), ("t", 3): (2, 9.0, "a"), ("t", 4): (3, 10.0, "b"), ("u", 1): (1, 2.0, None)}
+    edges = {(r.parent_name, r.name): (r.calls, r.mean_value, r.depth, r.mean_total) for r in joins.service_edges(joins.span_paths(spans, "trace", "id", "up", "name", "v")).collect()}
+    assert edges["a", "b"] == (2, 3.5, 2, 8.5) and edges[None, "a"][0] == 2
+
+
+def test_phrase_table_of_any_size(spark):
+    """10,000 phrases without a collect: counts equal a plain search; overlaps, case, punctuation, too long and empty phrases."""
+    texts = ["The cat, the cat the CAT", None, "", "a a a a", "x1 y2", "é É-é"]
+    phrases = [f"word{i} word{i + 1}" for i in range(10_000)] + ["the cat", "a a", "cat", "é é", "", None, "x1 Y2", "one two three four five six seven eight nine", "the-cat"]
+    found = {r.phrase: (r.occurrences, r.texts) for r in decisions.phrase_counts(spark.createDataFrame([(t, 1) for t in texts], "t string, phrase int"), "t", spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect()}
+    assert {k: v for k, v in found.items() if v[0]} == {"the cat": (3, 1), "a a": (3, 1), "cat": (3, 1), "é é": (2, 1), "x1 Y2": (1, 1), "the-cat": (3, 1)}
+    assert len(found) == 10_006 and "" not in found
 
 
 def test_keys_and_missing_parts(spark):

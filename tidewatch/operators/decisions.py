@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .walks import walk
 
 SEVERITY = {"info": 0, "warning": 1, "error": 2, "critical": 3}
@@ -66,6 +67,30 @@ def phrase_savings(docs: DataFrame, text: str, phrases: DataFrame) -> DataFrame:
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
+#: Words that a phrase of a phrase table has at most.
+PHRASE_WORDS = 8
+
+
+def phrase_counts(docs: DataFrame, text: str, phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """(phrase, occurrences, texts) for a table of phrases of any size: whole words, each place counted, case ignored.
+
+    A phrase is a run of 1 to PHRASE_WORDS words (letters and digits). Texts are counted by their runs of those lengths
+    that some phrase has; runs are added up by text and then over texts before they meet the table in a join.
+    """
+    words = lambda column: F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    wanted = phrases.where(F.col(phrase).isNotNull()).select(phrase, words(F.col(phrase)).alias("_w")).select(phrase, F.array_join("_w", " ").alias("_run"), F.size("_w").alias("_n"))
+    wanted = wanted.where(F.col("_n").between(1, PHRASE_WORDS)).distinct()
+    lengths = wanted.agg(F.sort_array(F.collect_set("_n")).alias("_lengths"))  # PHRASE_WORDS at most
+    split = docs.select(words(F.col(text)).alias("_w")).crossJoin(F.broadcast(lengths))
+    places = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1))), lambda i: i + n - 1 <= F.size("_w")), lambda i: F.array_join(F.slice("_w", i, n), " "))
+    runs = split.select(F.flatten(F.transform("_lengths", places)).alias("_runs")).withColumn("_key", F.monotonically_increasing_id())
+    one = runs.select("_key", F.explode("_runs").alias("_run"))
+    each = one.join(wanted.select("_run").distinct(), "_run", "left_semi").groupBy("_key", "_run").agg(F.count("*").alias("_c"))
+    total = each.groupBy("_run").agg(F.sum("_c").alias("_o"), F.count("*").alias("_t"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return wanted.join(total, "_run", "left").select(phrase, zero("_o").alias("occurrences"), zero("_t").alias("texts"))
+
+
 def merge_decisions(proposals: DataFrame, cycle: str, most: int = 3) -> DataFrame:
     """Per cycle the first `most` enabled proposals by priority, then without those in conflict with a better one.
 
@@ -112,3 +137,28 @@ def budget_walk(df: DataFrame, keys: Sequence[str], order: str, cost: str, limit
         return pdf.assign(action=actions)[[*keys, order, "action"]]
 
     return df.select(*keys, order, cost).groupBy(*keys).applyInPandas(walk, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{order} {kinds[order]}", "action string"]))
+
+
+def traffic_volatility(daily: DataFrame, key: str, day: str, rate: str, alpha: float) -> DataFrame:
+    """(key, day, mean_rate, volatility, peak_rate): averages that start at 0, and the highest rate so far.
+
+    Volatility is the exponential average of the rate's deviation from its own, relative to that but to no less than 1.
+    """
+    mean = scans.exponential_average(daily.select(key, day, rate), key, [day], rate, alpha, "mean_rate", first=alpha, keep_block=True)
+    off = F.abs(F.col(rate) - F.col("mean_rate")) / F.greatest(F.col("mean_rate"), F.lit(1.0))
+    both = scans.exponential_average(mean.withColumn("_off", off), key, [day], "_off", alpha, "volatility", first=alpha)
+    by_day = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)  # a row a key and day
+    return both.select(key, day, "mean_rate", "volatility", F.max(rate).over(by_day).alias("peak_rate"))
+
+
+def cost_insights(daily: DataFrame, key: str, day: str, cost: str, alpha: float = 0.2, warning: float = 0.5, critical: float = 1.0, above: float = 1.1, window: int = 5, least: int = 10, z: float = 3.0) -> DataFrame:
+    """Daily costs with spike (growth over the day before), ema, above_mean (ema over the mean so far) and odd (z-score)."""
+    x = F.col(cost)
+    rows = scans.exponential_average(daily.select(key, day, cost), key, [day], cost, alpha)
+    by_day = Window.partitionBy(key).orderBy(day)  # a row a key and day
+    before, so_far = by_day.rowsBetween(-window, -1), by_day.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_last": F.lag(cost).over(by_day), "_m": F.avg(cost).over(before), "_d": F.stddev_pop(cost).over(before), "_n": F.count("*").over(so_far), "_mean": F.avg(cost).over(so_far)})
+    growth = F.when(F.col("_last") > 0, (x - F.col("_last")) / F.col("_last"))
+    spike = F.when(growth > critical, "critical").when(growth > warning, "warning")
+    odd = (F.col("_n") > least) & (F.col("_d") > 1e-12) & ((x - F.col("_m")) / F.col("_d") > z)
+    return rows.select(key, day, cost, spike.alias("spike"), "ema", (F.col("ema") > above * F.col("_mean")).alias("above_mean"), odd.alias("odd"))

@@ -57,3 +57,29 @@ def match_runs(df: DataFrame, key: str, order: Sequence[str], symbol: str) -> Da
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
+
+
+#: Levels and rows of a recursion over spans.
+MOST_LEVELS = 10_000
+
+
+def span_paths(spans: DataFrame, trace: str, span: str, parent: str, name: str, value: str) -> DataFrame:
+    """Spans with their depth (1 for a root) and the sum of `value` from the root down to them.
+
+    Children are found from their parents by recursive SQL, a level of all traces at a time; a span whose parent is not
+    there, or that is its own ancestor, is left out.
+    """
+    spark = spans.sparkSession
+    rows = spans.select(F.col(trace).alias("trace"), F.col(span).alias("span"), F.col(parent).alias("parent"), F.col(name).alias("name"), F.col(value).alias("value"))
+    return spark.sql(
+        f"""with recursive paths(trace, span, parent, name, value, parent_name, depth, total) max recursion level {MOST_LEVELS} as (
+          select trace, span, parent, name, value, cast(null as string), 1, cast(value as double) from {{rows}} where parent is null
+          union all select r.trace, r.span, r.parent, r.name, r.value, p.name, p.depth + 1, p.total + r.value from paths p join {{rows}} r on r.trace = p.trace and r.parent = p.span)
+        select * from paths limit all""",
+        rows=rows,
+    )
+
+
+def service_edges(paths: DataFrame) -> DataFrame:
+    """(parent_name, name, calls, mean_value, depth, mean_total) of the edges between names; roots have no parent name."""
+    return paths.groupBy("parent_name", "name").agg(F.count("*").alias("calls"), F.avg("value").alias("mean_value"), F.max("depth").alias("depth"), F.avg("total").alias("mean_total"))

@@ -1,38 +1,79 @@
 """Frames, running values and ranks over the rows of a key, split over many tasks.
 
-A key may hold a third of all rows, so no window here is over a key alone. Rows go into blocks of equal width along their
-first order column, at most MOST_BLOCKS of them. What a block takes over from the blocks of its key before it is worked out
-on one row per key and block. Bounded frames are cut every FRAME_ROWS rows of a key, and each cut repeats the rows before
+A key may hold a third of all rows, so no window here is over a key alone. Rows go into blocks along their order, cut at
+quantiles of all rows, so that no block holds many more rows than another, whatever the values are; where many rows share
+one value of the first order column, they are cut along the second. The cuts come from mergeable sketches as part of the
+plan: nothing runs while a plan is built. What a block takes over from the blocks of its key before it is worked out on
+one row per key and block. Bounded frames are cut every FRAME_ROWS rows of a key, and each cut repeats the rows before
 it that its first frames reach back to.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-#: Rows that a block should hold on average, and the most blocks that an order is cut into.
+#: Rows that a block should hold on average, the most blocks that an order is cut into, and the accuracy of the sketch.
 BLOCK_ROWS = 8_192
-MOST_BLOCKS = 4_096
+MOST_BLOCKS = 1_024
+ACCURACY = 4 * MOST_BLOCKS
+#: Parts along the second order column of the rows that share one value of the first.
+TIE_BLOCKS = 256
+#: Cuts that are looked through together: first every so many, then those between two of them.
+STRIDE = 32
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp")
 #: Rows of a key between two cuts of bounded frames.
 FRAME_ROWS = 8_192
 
 
-def in_blocks(df: DataFrame, by: str) -> DataFrame:
-    """Add _block, which never falls as `by` grows; nulls come first, as in an ascending order, and NaN last."""
-    x = F.col(by).cast("double")
+def _number(df: DataFrame, column: str) -> Column:
+    kind = dict(df.dtypes)[column]
+    x = F.col(column)
+    if kind == "timestamp_ntz":
+        x = x.cast("timestamp")
+    return (F.unix_date(x) if kind == "date" else x).cast("double")
+
+
+def _below(cuts: Column, wide: Column, x: Column) -> Column:
+    """How many of the ascending cuts are under x: first among every STRIDE-th (wide), then among those between two."""
+    jump = F.size(F.filter(wide, lambda c: c < x))
+    return jump * STRIDE + F.size(F.filter(F.slice(cuts, jump * STRIDE + 1, STRIDE), lambda c: c < x))
+
+
+def _wide(cuts: Column) -> Column:
+    return F.filter(cuts, lambda c, i: i % STRIDE == STRIDE - 1)
+
+
+def _quantiles(x: Column, parts: int) -> Column:
+    shares = ",".join(f"{i / parts:.6g}" for i in range(1, parts))
+    return F.percentile_approx(x, F.expr(f"cast(split('{shares}', ',') as array<double>)"), ACCURACY)  # one constant, not a node a share
+
+
+def in_blocks(df: DataFrame, by: str, then: str | None = None) -> DataFrame:
+    """Add _block, which never falls as `by` (and `then`, among equal ones) grows; nulls come first, and NaN last."""
+    x = _number(df, by)
     known = F.when(~F.isnan(x), x)
-    low, high, n = df.agg(F.min(known), F.max(known), F.count("*")).first()
-    count = max(1, min(MOST_BLOCKS, math.ceil(n / BLOCK_ROWS)))
-    if low is None or high <= low:
-        at = F.lit(0)
-    else:
-        at = F.least(F.lit(count - 1), F.floor((x - low) / ((high - low) / count)))
-    return df.withColumn("_block", F.when(x.isNull(), -1).when(F.isnan(x), count).otherwise(at).cast("long"))
+    few = f"cast(least({MOST_BLOCKS}, greatest(1, ceil(_n / {BLOCK_ROWS}))) as int)"
+    cuts = F.expr(f"case when {few} > 1 then transform(sequence(1, {few} - 1), i -> _p[cast(floor(i * {MOST_BLOCKS} / {few}) as int) - 1]) else cast(array() as array<double>) end")
+    sketch = df.agg(_quantiles(known, MOST_BLOCKS).alias("_p"), F.count(known).alias("_n")).select(cuts.alias("_cuts")).select("_cuts", _wide(F.col("_cuts")).alias("_wide"))  # one row
+    second = then if then and dict(df.dtypes)[then].split("(")[0].removesuffix("_ntz") in NUMBERS else None
+    block = _below(F.col("_cuts"), F.col("_wide"), x).cast("long") * TIE_BLOCKS
+    if second:
+        shared = F.array_distinct(F.filter(F.col("_cuts"), lambda c, i: F.get(F.col("_cuts"), i + 1) == c))
+        sketch = sketch.withColumn("_shared", shared)
+        y = _number(df, second)
+        tied = df.crossJoin(F.broadcast(sketch)).where(F.array_contains("_shared", x)).groupBy(x.alias("_x")).agg(_quantiles(F.when(~F.isnan(y), y), TIE_BLOCKS).alias("_y"))
+        ties = tied.agg(F.map_from_entries(F.collect_list(F.struct("_x", F.struct("_y", _wide(F.col("_y")).alias("_w"))))).alias("_ties"))  # one row: a value has two cuts at least
+        sketch = sketch.drop("_shared").crossJoin(ties)
+        tie = F.element_at("_ties", x)
+        parts = _below(tie["_y"], tie["_w"], y)
+        block += F.when(tie.isNull() | y.isNull(), 0).when(F.isnan(y), TIE_BLOCKS - 1).otherwise(parts)
+    last = (MOST_BLOCKS + 1) * TIE_BLOCKS
+    at = F.when(x.isNull(), -1).when(F.isnan(x), last).otherwise(block).cast("long")
+    return df.crossJoin(F.broadcast(sketch)).withColumn("_block", at).drop("_cuts", "_wide", "_ties")
 
 
 def _taken_over(rows: DataFrame, key: str, small: DataFrame) -> DataFrame:
@@ -87,7 +128,7 @@ def running(rows: DataFrame, key: str, order: Sequence[str], specs: Sequence[tup
 
 def numbered(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Add _rn, the place of a row among those of its key from 1, and _total, how many the key has."""
-    rows = in_blocks(df, order[0])
+    rows = in_blocks(df, *order[:2])
     small = rows.groupBy(key, "_block").agg(F.count("*").alias("_n"))
     by_key = Window.partitionBy(key)
     before = F.coalesce(F.sum("_n").over(by_key.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

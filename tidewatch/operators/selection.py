@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import Z_TWO_SIDED, normal_cdf, normal_quantile, two_sided_p
-from .walks import walk
+from . import scans
 
 
 def two_proportions(table: DataFrame, confidence: float = 0.95, least: int = 1000) -> DataFrame:
@@ -67,16 +68,62 @@ def beta_arms(outcomes: DataFrame, arm: str, success: str, width: float = 0.05)
     return arms.crossJoin(F.broadcast(best)).select(arm, "n", "wins", mean.alias("mean"), (mean - 1.96 * sd).alias("low"), (mean + 1.96 * sd).alias("high"), regret.alias("regret"), ((F.col("n") >= 100) & (regret / F.col("n") < width)).alias("converged"))
 
 
+def uniform(*parts: Column | int) -> Column:
+    """A number in (0, 1) from integers, by steps of a multiplicative generator modulo 2**31 - 1 that SQL can repeat."""
+    x = F.lit(1).cast("long")
+    for p in parts:
+        x = F.pmod((x * 48_271 + (F.lit(p) if isinstance(p, int) else p).cast("long") + 11) * 69_621, F.lit((1 << 31) - 1))
+    for multiplier in (16_807, 39_373, 62_089_911):
+        x = F.pmod(x * multiplier + 7, F.lit((1 << 31) - 1))
+    return (x + 1) / F.lit(float(1 << 31))
+
+
+def normal_draw(*parts: Column | int) -> Column:
+    """A standard normal number from two uniform ones (Box and Muller)."""
+    return F.sqrt(-2 * F.ln(uniform(*parts, 1))) * F.cos(2 * math.pi * uniform(*parts, 2))
+
+
+def gamma_draw(shape: Column, *parts: Column | int) -> Column:
+    """A gamma number of shape 1 and more, as the cube of a normal one (Wilson and Hilferty), no less than a tiny bit."""
+    root = 1 - 1 / (9 * shape) + normal_draw(*parts) / (3 * F.sqrt(shape))
+    return shape * F.pow(F.greatest(root, F.lit(1e-6)), F.lit(3.0))
+
+
+def beta_draw(a: Column, b: Column, *parts: Column | int) -> Column:
+    """A beta number as the share of one gamma number in two."""
+    x, y = gamma_draw(a, *parts, 3), gamma_draw(b, *parts, 4)
+    return x / (x + y)
+
+
 def thompson_draw(arms: DataFrame, arm: str, seed: int) -> DataFrame:
-    """Add one draw of each arm's posterior; a function of the seed and the arm's name."""
+    """Add one draw of each arm's posterior; a function of the seed and the arm's place in the order of names."""
+    placed = arms.withColumn("_place", F.row_number().over(Window.orderBy(arm)))  # a row an arm
+    return placed.withColumn("draw", beta_draw(F.col("wins") + 1.0, F.col("n") - F.col("wins") + 1.0, seed, F.col("_place"))).drop("_place")
+
+
+def thompson_choice(rows: DataFrame, arms: DataFrame, arm: str, key: str, seed: int) -> DataFrame:
+    """(key, choice, draw): for each row the arm whose posterior draw is the largest, the first by name if equal.
+
+    Arms are a catalogue: a row each, gathered into one; Spark sends it along with a plan of its own choice.
+    """
+    listed = arms.agg(F.array_sort(F.collect_list(F.struct(F.col(arm).alias("arm"), "wins", "n"))).alias("_arms"))
+    draw = lambda x, i: F.struct(beta_draw(x["wins"] + 1.0, x["n"] - x["wins"] + 1.0, seed, F.col(key), i + 1).alias("draw"), (-i).alias("place"), x["arm"].alias("arm"))
+    best = F.array_max(F.transform("_arms", draw))
+    return rows.crossJoin(listed).select(key, best.alias("_best")).select(key, F.col("_best.arm").alias("choice"), F.col("_best.draw").alias("draw"))
 
-    @F.pandas_udf("double")
-    def draw(name: pd.Series, wins: pd.Series, n: pd.Series) -> pd.Series:
-        import zlib
 
-        return pd.Series([np.random.default_rng([seed, zlib.crc32(str(x).encode())]).beta(w + 1, k - w + 1) for x, w, k in zip(name, wins, n, strict=True)])
+def contextual_choice(rows: DataFrame, fitted: DataFrame, policy: str, key: str, features: str, seed: int) -> DataFrame:
+    """(key, choice, draw): for each row the arm of its policy with the largest theta x plus noise of its variance.
 
-    return arms.withColumn("draw", draw(arm, "wins", "n"))
+    The noise is the posterior of a linear model with one variance for all features: sqrt(variance |x|^2) times a normal draw.
+    """
+    listed = fitted.groupBy(policy).agg(F.array_sort(F.collect_list(F.struct("arm", "theta", "variance"))).alias("_arms"))
+    x = F.col(features)
+    size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v))
+    mean = lambda a: F.aggregate(F.zip_with(a["theta"], x, lambda t, v: t * v), F.lit(0.0), lambda t, v: t + v)
+    draw = lambda a, i: F.struct((mean(a) + F.sqrt(a["variance"]) * size * normal_draw(seed, F.col(key), i + 1)).alias("draw"), (-i).alias("place"), a["arm"].alias("arm"))
+    best = F.array_max(F.transform("_arms", draw))
+    return rows.join(listed, policy).select(key, best.alias("_best")).select(key, F.col("_best.arm").alias("choice"), F.col("_best.draw").alias("draw"))
 
 
 def linucb(rows: DataFrame, arm: str, features: Sequence[str], reward_col: str, alpha: float) -> DataFrame:
@@ -132,26 +179,12 @@ def contextual_thompson(rows: DataFrame, keys: Sequence[str], order: str, values
     """(keys, n, theta, variance, mean_reward) of each policy and arm after all its rows in order.
 
     `values` holds the features and then the reward. Each row moves theta by the rate times the error of its prediction,
-    and lets the variance fade to a floor; arms are walked with their state alone.
+    and lets the variance fade to a floor. Rows of an arm are composed in blocks, so that no task holds an arm.
     """
-
-    def start():
-        theta, variance, total, n = None, 1.0, 0.0, 0
-
-        def step(x):
-            nonlocal theta, variance, total, n
-            features, reward = x[:-1], x[-1]
-            theta = theta or [0.0] * len(features)
-            error = reward - sum(t * f for t, f in zip(theta, features, strict=True))
-            theta = [t + rate * error * f for t, f in zip(theta, features, strict=True)]
-            variance, total, n = max(0.01, variance * 0.99), total + reward, n + 1
-            return {"n": n, "theta": theta, "variance": variance, "mean_reward": total / n}
-
-        return step
-
-    joined = rows.withColumn("_arm", F.concat_ws("\x1f", *keys))
-    stepped = walk(joined, "_arm", [order, *keys], values, start, ["_arm", *keys], "state struct<n: bigint, theta: array<double>, variance: double, mean_reward: double>")
-    return stepped.groupBy(*keys).agg(F.max_by("state", F.col("state.n")).alias("s")).select(*keys, "s.*")
+    joined = rows.withColumn("_arm", F.struct(*keys).cast("string"))
+    names = joined.groupBy("_arm").agg(*[F.first(k).alias(k) for k in keys])
+    found = scans.gradient_fold(joined, "_arm", [order], values, rate, "_arm string, n long, theta array<double>, total double").join(names, "_arm")
+    return found.select(*keys, "n", "theta", F.greatest(F.lit(0.01), F.pow(F.lit(0.99), "n")).alias("variance"), (F.col("total") / F.col("n")).alias("mean_reward"))
 
 
 def ucb1(table: DataFrame, arm: str, mean: str, n: str, c: float = 2.0) -> DataFrame:
@@ -230,17 +263,28 @@ def grid(spark, axes: dict[str, tuple[float, float, int]]) -> DataFrame:
     return out
 
 
-def random_search(spark, axes: dict[str, tuple[float, float]], n: int, seed: int) -> DataFrame:
-    """n points, each value by a hash of the point, the axis and the seed."""
-    value = lambda i, low, high: low + F.pmod(F.xxhash64(F.col("id"), F.lit(seed + i)), F.lit(1 << 20)) / float(1 << 20) * (high - low)
-    return spark.range(n).select(F.col("id").alias("point"), *[value(i, *span).alias(name) for i, (name, span) in enumerate(axes.items())])
+def random_search(points: DataFrame, point: str, axes: dict[str, tuple[float, float]], seed: int) -> DataFrame:
+    """A value on each axis for every point (an integer), each by a hash of the point, the axis and the seed."""
+    return points.select(point, *[(F.lit(low) + uniform(seed + i, F.col(point)) * (high - low)).alias(name) for i, (name, (low, high)) in enumerate(axes.items())])
 
 
-def latin_hypercube(spark, axes: dict[str, tuple[float, float]], n: int, seed: int) -> DataFrame:
-    """n points with one in each of n strata of every axis; the strata of an axis are shuffled by hash."""
-    out = spark.range(n).select(F.col("id").alias("point"))
-    for i, (name, (low, high)) in enumerate(axes.items()):
-        place = Window.orderBy(F.xxhash64(F.col("id"), F.lit(seed + i)))
-        strata = spark.range(n).select(F.row_number().over(place).alias("_k"), F.col("id").alias("point"), (F.pmod(F.xxhash64(F.col("id"), F.lit(seed + 1000 + i)), F.lit(1 << 20)) / float(1 << 20)).alias("_u"))
-        out = out.join(strata.select("point", (low + (F.col("_k") - 1 + F.col("_u")) / n * (high - low)).alias(name)), "point")
-    return out
+def permuted(i: Column, n: int, seed: int) -> Column:
+    """A keyed permutation of 0 to n - 1, worked out in the row.
+
+    Rounds on the two digits of i in a mixed radix (a divisor of n near its root): each adds to one digit a hash of the
+    other, which can be undone, between two multiplications by a number that has no divisor in common with n.
+    """
+    step = next(k for k in range(int(n * 0.618) or 1, 2 * n + 2) if math.gcd(k, n) == 1)
+    radix = next(k for k in range(math.isqrt(n), 0, -1) if n % k == 0)
+    x = F.pmod(i.cast("long") * step + seed, F.lit(n))
+    low, high = F.pmod(x, F.lit(radix)), F.floor(x / radix).cast("long")
+    for r in range(2):
+        high = F.pmod(high + F.floor(uniform(seed, 10 + r, low) * (n // radix)).cast("long"), F.lit(n // radix))
+        low = F.pmod(low + F.floor(uniform(seed, 20 + r, high) * radix).cast("long"), F.lit(radix))
+    return F.pmod((high * radix + low) * step + 1, F.lit(n))
+
+
+def latin_hypercube(points: DataFrame, point: str, axes: dict[str, tuple[float, float]], n: int, seed: int) -> DataFrame:
+    """One point in each of n strata of every axis, for points 0 to n - 1: the stratum and the place in it come from the row."""
+    at = lambda i: (permuted(F.col(point), n, seed + 101 * i) + uniform(seed + 7 * i, 99, F.col(point))) / n
+    return points.select(point, *[(F.lit(low) + at(i) * (high - low)).alias(name) for i, (name, (low, high)) in enumerate(axes.items(), 1)])

@@ -9,7 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .walks import walk, walk_filter
+from . import scans
+from .walks import walk_filter
 
 
 def rolling(keys: Sequence[str], order: Sequence[str], n: int, *, before: bool = False):
@@ -29,26 +30,8 @@ def exponential_average(values: Column, alpha: float) -> Column:
 
 
 def exponential_average_by_row(df: DataFrame, key: str, order: str, value: str, alpha: float) -> DataFrame:
-    """The same for long series: each key's rows in order; a missing value repeats the average and lets its weight fade."""
-
-    def start():
-        mean, weight = None, 1.0
-
-        def step(x):
-            nonlocal mean, weight
-            missing = x is None or x != x
-            if mean is None:
-                mean = None if missing else float(x)
-                return mean
-            weight *= 1 - alpha
-            if not missing:
-                mean = mean if mean == x else (weight * mean + alpha * x) / (weight + alpha)
-                weight = 1.0
-            return mean
-
-        return step
-
-    return walk(df, key, [order], value, start, [key, order], "ema double")
+    """The same for long series, as a scan: a missing value repeats the average and lets its weight fade."""
+    return scans.exponential_average(df.select(*dict.fromkeys([key, order, value])), key, [order], value, alpha).select(key, order, "ema")
 
 
 #: How a value between two known ones is made; p and n are the known values, f the share of the way.

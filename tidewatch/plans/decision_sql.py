@@ -1,12 +1,16 @@
 """Selection, analyzers and decisions as SQL over small summaries; a summary has a row per model, endpoint, day or the like.
 
-Doubles are written with an exponent, so that no decimal arithmetic slips in. An exponential average over a short series is
-written in closed form: a value's weight relative to the first one grows by 1 / (1 - alpha) a step.
+Doubles are written with an exponent, so that no decimal arithmetic slips in. Exponential averages are scans
+(operators/scans.py), held against recursive SQL.
 """
 
 from __future__ import annotations
 
-from .registry import both
+from pyspark.sql import functions as F
+
+from ..operators import decisions
+from ..sources.tables import requests
+from .registry import both, query
 
 
 def flag(condition: str) -> str:
@@ -19,11 +23,6 @@ DAY = "cast(floor(epoch_s / 86400) as bigint)"
 ARRIVAL = "epoch_s + (request_id % 7) * 3600"
 
 
-def closed_average(value: str, place: str, alpha: str, window: str, first: str = "1e0") -> str:
-    """The exponential average after row number `place` (from 0) of an ordered window; `first` is the first value's weight."""
-    return f"pow(1e0 - {alpha}, {place}) * sum({value} * case when {place} = 0 then {first} else {alpha} * pow(1e0 - {alpha}, -{place}) end) over ({window} rows between unbounded preceding and current row)"
-
-
 MODELS = f"with m as (select model_id, count(*) as n, avg(cost_usd) as cost, avg(latency_ms) as latency, avg({OK}) as ok from requests group by model_id)"
 
 # Frontier, score, safety checks against the present model, confidence
@@ -38,12 +37,21 @@ both(
 )
 
 # Volatility as an exponential average of relative deviations of the rate
-both(
+_MEAN, _DEVIATION = "0.1::double * r.rps + 0.9::double * w.mean", "abs(r.rps - ({m})) / greatest({m}, 1.0::double)"
+
+
+@query(
     "x14_traffic_volatility",
-    f"""with d as (select model_id, {DAY} as day, count(*) / 24e0 as rps from requests group by model_id, {DAY}), k as (select *, row_number() over (partition by model_id order by day) - 1 as k from d),
-    a as (select *, {closed_average("rps", "k", "1e-1", "partition by model_id order by day", "1e-1")} as mean from k), v as (select *, abs(rps - mean) / greatest(mean, 1e0) as deviation from a)
-    select model_id, day, round(mean, 6) as mean_rate, round({closed_average("deviation", "k", "1e-1", "partition by model_id order by day", "1e-1")}, 6) as volatility, round(max(rps) over (partition by model_id order by day rows between unbounded preceding and current row), 6) as peak_rate from v""",
+    f"""with recursive d as (select model_id, {DAY} as day, count(*) / 24e0 as rps from requests group by model_id, {DAY}), r as materialized (select *, row_number() over (partition by model_id order by day) as k, max(rps) over (partition by model_id order by day) as peak from d),
+    w as (select model_id, day, k, peak, 0.1::double * rps as mean, 0.1::double * ({_DEVIATION.format(m="0.1::double * rps").replace("r.rps", "rps")}) as volatility from r where k = 1
+      union all select r.model_id, r.day, r.k, r.peak, {_MEAN}, 0.1::double * ({_DEVIATION.format(m=_MEAN)}) + 0.9::double * w.volatility from w join r on r.model_id = w.model_id and r.k = w.k + 1)
+    select model_id, day, round(mean, 6) as mean_rate, round(volatility, 6) as volatility, round(peak, 6) as peak_rate from w""",
 )
+def traffic_volatility(spark, sf_dir):
+    daily = requests(spark, sf_dir).groupBy("model_id", F.expr(DAY).alias("day")).agg((F.count("*") / 24).alias("rps"))
+    found = decisions.traffic_volatility(daily, "model_id", "day", "rps", 0.1)
+    return found.select("model_id", "day", *[F.round(c, 6).alias(c) for c in ("mean_rate", "volatility", "peak_rate")])
+
 
 # The decision over clusters, with lifetime by frequency, threshold and confidence
 both(
@@ -175,12 +183,19 @@ both(
 DAILY_COST = f"with d as (select model_id, {DAY} as day, sum(case when success then cost_usd else 0e0 end) as cost, count(*) as n from requests group by model_id, {DAY}), k as (select *, row_number() over (partition by model_id order by day) - 1 as k, lag(cost) over (partition by model_id order by day) as before from d)"
 
 # Failed requests are free; spikes, average above the mean, and the z-score of the last days
-both(
+@query(
     "z12_cost_insights",
-    DAILY_COST
-    + f""", e as (select *, {closed_average("cost", "k", "2e-1", "partition by model_id order by day")} as ema, avg(cost) over (partition by model_id order by day rows between unbounded preceding and current row) as mean, avg(cost) over (partition by model_id order by day rows between 5 preceding and 1 preceding) as m5, stddev_pop(cost) over (partition by model_id order by day rows between 5 preceding and 1 preceding) as s5 from k)
-    select model_id, day, round(cost, 6) as cost, case when before > 0 and (cost - before) / before > 1e0 then 'critical' when before > 0 and (cost - before) / before > 5e-1 then 'warning' end as spike, round(ema, 6) as ema, ema > 11e-1 * mean as above_mean, k >= 10 and s5 > 1e-12 and (cost - m5) / s5 > 3e0 as odd from e""",
+    DAILY_COST.replace("with d as", "with recursive d as").replace("k as (select", "r as materialized (select").replace(" - 1 as k", " as k")
+    + """, w as (select model_id, day, k, cost as ema from r where k = 1 union all select r.model_id, r.day, r.k, 0.2::double * r.cost + 0.8::double * w.ema from w join r on r.model_id = w.model_id and r.k = w.k + 1),
+    e as (select r.*, w.ema, avg(cost) over (partition by r.model_id order by r.day rows between unbounded preceding and current row) as mean, avg(cost) over (partition by r.model_id order by r.day rows between 5 preceding and 1 preceding) as m5, stddev_pop(cost) over (partition by r.model_id order by r.day rows between 5 preceding and 1 preceding) as s5 from r join w on r.model_id = w.model_id and r.day = w.day)
+    select model_id, day, round(cost, 6) as cost, case when before > 0 and (cost - before) / before > 1e0 then 'critical' when before > 0 and (cost - before) / before > 5e-1 then 'warning' end as spike, round(ema, 6) as ema, ema > 11e-1 * mean as above_mean, k > 10 and s5 > 1e-12 and (cost - m5) / s5 > 3e0 as odd from e""",
 )
+def cost_insights(spark, sf_dir):
+    daily = requests(spark, sf_dir).groupBy("model_id", F.expr(DAY).alias("day")).agg(F.sum(F.when(F.col("success"), F.col("cost_usd")).otherwise(0.0)).alias("cost"))
+    found = decisions.cost_insights(daily, "model_id", "day", "cost")
+    return found.select("model_id", "day", F.round("cost", 6).alias("cost"), "spike", F.round("ema", 6).alias("ema"), "above_mean", "odd")
+
+
 both("z13_budget_levels", f"with d as (select {DAY} as day, sum(case when success then cost_usd else 0e0 end) as cost from requests group by {DAY}), m as (select day, cost, sum(cost) over (partition by cast(floor(day / 30) as bigint) order by day rows between unbounded preceding and current row) as month_cost from d) select day, round(cost, 6) as cost, round(month_cost, 6) as month_cost, case when cost >= 9e-1 * 25e-2 then 'critical' when cost >= 8e-1 * 25e-2 then 'warning' end as daily, case when month_cost >= 9e-1 * 6e0 then 'critical' when month_cost >= 8e-1 * 6e0 then 'warning' end as monthly from m")
 
 # Z3: what to do about cost, by priority

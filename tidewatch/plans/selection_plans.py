@@ -70,11 +70,6 @@ def beta_arms(spark, sf_dir):
     return rounded(E.beta_arms(requests(spark, sf_dir), "model_id", "success"))
 
 
-@query("e07_thompson_draw")
-def thompson(spark, sf_dir):
-    return E.thompson_draw(E.beta_arms(requests(spark, sf_dir), "model_id", "success"), "model_id", 7).select("model_id", "draw")
-
-
 FEATURES = ["one", "size", "late"]
 
 
