@@ -266,6 +266,7 @@ def test_frequent_pre_tokens_count_all_documents(spark, monkeypatch):
     docs = spark.range(400).selectExpr("id as doc_id", "concat('common word', id % 7, ' only', id) as text").repartition(4)
     found = tokens.frequent_pre_tokens(docs, tokens.pre_tokens)
     assert found[0] == "common" and set(found[1:]) == {f" word{i}" for i in range(7)}
+    assert tokens.frequent_pre_tokens(docs.limit(0), tokens.pre_tokens) == []
     monkeypatch.setattr(tokens, "COUNTED_ENTRIES", 20)
     assert tokens.frequent_pre_tokens(docs, tokens.pre_tokens)[0] == "common"
 

@@ -7,8 +7,8 @@ words are encoded by the bare model. Only where the restatement may differ (othe
 that Python's tables do not know, separators that Python takes for white space, a special token's string) the library
 encodes that one pre-token, never the whole text.
 
-Frequent pre-tokens are counted over all documents, by counters of bounded size in the tasks. They change speed only,
-never a result.
+Frequent pre-tokens are counted over all documents, by counters of bounded size that are merged as wholes. They change
+speed only, never a result.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows give repeated results; an empty table
 gives an empty result; other columns of the input are ignored.
@@ -43,7 +43,8 @@ WORD_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Bounds of the broadcast table, of a task's counter, of what a task reports, and of a worker's caches.
 TABLE_ENTRIES = 1 << 17
 COUNTED_ENTRIES = 1 << 18
-REPORTED_ENTRIES = 1 << 16
+REPORTED_ENTRIES = 1 << 14
+MERGED_REPORTS = 16
 CACHE_ENTRIES = 1 << 17
 WORD_ENTRIES = 1 << 17
 LONGEST_ENTRY = 64
@@ -152,27 +153,48 @@ def words(text: str) -> list[str]:
 def frequent_pre_tokens(docs: DataFrame, cut, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """The commonest pre-tokens of all documents, TABLE_ENTRIES at most.
 
-    A task's counter that is full keeps its larger half, and a task reports its largest counts.
+    A task's counter that is full keeps its larger half, and a task reports its largest counts as one row. These rows are
+    merged in two steps by counters of the same size: no pre-token is shuffled by itself.
     """
 
-    def run(batches):
+    def row(seen: Counter, most: int):
         import pyarrow as pa
 
+        kept = sorted(((-n, w) for w, n in seen.most_common(most) if n > 1))
+        columns = [pa.array([[w for _, w in kept]], pa.list_(pa.string())), pa.array([[-n for n, _ in kept]], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["words", "counts"])
+
+    def bounded(seen: Counter) -> Counter:
+        return Counter(dict(seen.most_common(COUNTED_ENTRIES // 2))) if len(seen) > COUNTED_ENTRIES else seen
+
+    def counted(batches):
         seen: Counter = Counter()
         for batch in batches:
             for data in batch.column(1).to_pylist():
                 seen.update(cut((data or b"").decode()))
-                if len(seen) > COUNTED_ENTRIES:
-                    seen = Counter(dict(seen.most_common(COUNTED_ENTRIES // 2)))
-        kept = [(w, n) for w, n in seen.most_common(REPORTED_ENTRIES) if n > 1 and len(w) <= LONGEST_ENTRY]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+                seen = bounded(seen)
+        yield row(Counter({w: n for w, n in seen.items() if len(w) <= LONGEST_ENTRY}), REPORTED_ENTRIES)
+
+    def merged(most: int):
+        def run(batches):
+            seen: Counter = Counter()
+            for batch in batches:
+                for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    seen.update(dict(zip(words, counts, strict=True)))
+                    seen = bounded(seen)
+            yield row(seen, most)
+
+        return run
 
-    counts = text_bytes(docs, id_col, text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(TABLE_ENTRIES).select("word").collect()]
+    schema = "words array<string>, counts array<long>"
+    reports = text_bytes(docs, id_col, text_col).mapInArrow(counted, schema)
+    some = reports.repartition(MERGED_REPORTS).mapInArrow(merged(TABLE_ENTRIES), schema)
+    found = some.repartition(1).mapInArrow(merged(TABLE_ENTRIES), schema).first()  # TABLE_ENTRIES words at most
+    return list(found.words) if found else []
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens) of every whole text under a byte-level vocabulary; no text's pre-tokens are shuffled."""
+    """(id, n_bytes, n_tokens) of every whole text under a byte-level vocabulary; no pre-token is shuffled."""
     encoder = Encoder(path)
     frequent = docs.sparkSession.sparkContext.broadcast({w: len(encoder.bytes_of(w)) for w in frequent_pre_tokens(docs, pre_tokens, id_col, text_col)})
 
