@@ -140,6 +140,22 @@ def test_phrase_table_of_any_size(spark):
     assert len(found) == 10_006 and "" not in found
 
 
+def test_not_in_follows_sql(spark):
+    """Null keys, a subquery with a null, an empty one."""
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    given = lambda *v: spark.createDataFrame([(x,) for x in v], "k int")
+    found = lambda right: sorted(r.k or 0 for r in joins.not_in(left, right, "k", "k").collect())
+    assert found(given(2, 2, 5)) == [1] and found(given(2, None)) == [] and found(given()) == [0, 1, 2]
+    assert "BroadcastNestedLoopJoin BuildRight, LeftAnti" not in joins.not_in(left, given(2), "k", "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_intervals_that_follow(spark):
+    left = spark.createDataFrame([(1, "u", 100), (2, "u", 1000), (3, "v", 5), (4, None, 1)], "i int, u string, t long")
+    right = spark.createDataFrame([(9, "u", 100), (8, "u", 101), (7, "u", 1000), (6, "u", 999)], "j int, u string, s long")
+    found = sorted((r.i, r.j or 0) for r in joins.interval_join(left, right, "u", "t", "s", 900, "left", only_after=True).collect())
+    assert found == [(1, 6), (1, 7), (1, 8), (2, 0), (3, 0), (4, 0)]
+
+
 def test_keys_and_missing_parts(spark):
     df = spark.createDataFrame([("m", "s", "u"), (None, None, "u"), (None, None, None)], "m string, s string, u string")
     assert [r.k for r in df.select(rows.event_key(F.col("m"), F.col("s"), F.col("u"), F.lit("9")).alias("k")).collect()] == ["composite:model:m,session:s", "user:u", "event:9"]

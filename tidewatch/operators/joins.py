@@ -10,18 +10,30 @@ from pyspark.sql import functions as F
 from . import ordered
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: str, left_epoch: str, right_epoch: str, within: int, how: str = "inner") -> DataFrame:
-    """Pairs of one key whose times are at most `within` seconds apart.
+def interval_join(left: DataFrame, right: DataFrame, key: str, left_epoch: str, right_epoch: str, within: int, how: str = "inner", only_after: bool = False) -> DataFrame:
+    """Pairs of one key whose times are at most `within` seconds apart; only_after keeps rights that follow the left row.
 
     Both sides are cut into time buckets of that length and the right side is put into three: an equi join on
     (key, bucket), so a key with many rows spreads over its buckets.
     """
     bucket = lambda c: F.floor(F.col(c) / within)
-    near = right.withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: bucket(right_epoch) + d)))
-    close = F.abs(left[left_epoch] - near[right_epoch]) <= within
+    near = right.withColumnRenamed(key, "_near_key").withColumn("_near", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: bucket(right_epoch) + d)))
+    apart = F.col(right_epoch) - F.col(left_epoch)
+    close = (apart > 0) & (apart <= within) if only_after else F.abs(apart) <= within
     dealt = left.withColumn("_bucket", bucket(left_epoch))
-    pairs = dealt.join(near, (dealt[key] == near[key]) & (dealt["_bucket"] == near["_bucket"]) & close, how)
-    return pairs.drop(near[key]).drop("_bucket")
+    pairs = dealt.join(near, (F.col(key) == F.col("_near_key")) & (F.col("_bucket") == F.col("_near")) & close, how)
+    return pairs.drop("_near_key", "_near", "_bucket")
+
+
+def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Left rows for which SQL's `left_key NOT IN (select right_key ...)` is true, as an anti join that may be shuffled.
+
+    Against no rows at all it is true for every row, null keys too; against rows with a null it is true for none.
+    """
+    seen = right.agg(F.count("*").alias("_n"), F.count(F.when(F.col(right_key).isNull(), 1)).alias("_nulls"))  # one row
+    other = right.select(F.col(right_key).alias("_other"))
+    apart = left.join(other, left[left_key] == other["_other"], "left_anti").crossJoin(F.broadcast(seen))
+    return apart.where((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(left_key).isNotNull())).drop("_n", "_nulls")
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_epoch: str, right_epoch: str, columns: Sequence[str]) -> DataFrame:

@@ -68,14 +68,23 @@ def beta_arms(outcomes: DataFrame, arm: str, success: str, width: float = 0.05)
     return arms.crossJoin(F.broadcast(best)).select(arm, "n", "wins", mean.alias("mean"), (mean - 1.96 * sd).alias("low"), (mean + 1.96 * sd).alias("high"), regret.alias("regret"), ((F.col("n") >= 100) & (regret / F.col("n") < width)).alias("converged"))
 
 
+PRIME = (1 << 31) - 1
+
+
 def uniform(*parts: Column | int) -> Column:
-    """A number in (0, 1) from integers, by steps of a multiplicative generator modulo 2**31 - 1 that SQL can repeat."""
+    """A number in (0, 1) from integers, by quadratic steps modulo 2**31 - 1 that SQL can repeat."""
+
+    def stirred(x: Column, multiplier: int, add: int) -> Column:
+        step = lambda y: F.pmod(y * y + y * multiplier + add, F.lit(PRIME))
+        return F.get(F.transform(F.array(x), step), F.lit(0))  # x is worked out once
+
     x = F.lit(1).cast("long")
     for p in parts:
-        x = F.pmod((x * 48_271 + (F.lit(p) if isinstance(p, int) else p).cast("long") + 11) * 69_621, F.lit((1 << 31) - 1))
+        seed = (F.lit(p) if isinstance(p, int) else p).cast("long")
+        x = stirred(F.pmod(x * 48_271 + seed + 11, F.lit(PRIME)), 69_621, 5)
     for multiplier in (16_807, 39_373, 62_089_911):
-        x = F.pmod(x * multiplier + 7, F.lit((1 << 31) - 1))
-    return (x + 1) / F.lit(float(1 << 31))
+        x = stirred(x, multiplier, 7)
+    return (x + 1) / F.lit(float(PRIME + 1))
 
 
 def normal_draw(*parts: Column | int) -> Column:
@@ -268,6 +277,11 @@ def random_search(points: DataFrame, point: str, axes: dict[str, tuple[float, fl
     return points.select(point, *[(F.lit(low) + uniform(seed + i, F.col(point)) * (high - low)).alias(name) for i, (name, (low, high)) in enumerate(axes.items())])
 
 
+def spread(x: Column, seed: int) -> Column:
+    """A number in [0, 1) from an integer by two multiplications: enough to shift a digit by, and short."""
+    return F.pmod(F.pmod(x * 48_271 + seed * 69_621 + 11, F.lit(PRIME)) * 16_807, F.lit(PRIME)) / F.lit(float(PRIME))
+
+
 def permuted(i: Column, n: int, seed: int) -> Column:
     """A keyed permutation of 0 to n - 1, worked out in the row.
 
@@ -279,8 +293,8 @@ def permuted(i: Column, n: int, seed: int) -> Column:
     x = F.pmod(i.cast("long") * step + seed, F.lit(n))
     low, high = F.pmod(x, F.lit(radix)), F.floor(x / radix).cast("long")
     for r in range(2):
-        high = F.pmod(high + F.floor(uniform(seed, 10 + r, low) * (n // radix)).cast("long"), F.lit(n // radix))
-        low = F.pmod(low + F.floor(uniform(seed, 20 + r, high) * radix).cast("long"), F.lit(radix))
+        high = F.pmod(high + F.floor(spread(low, seed + 10 + r) * (n // radix)).cast("long"), F.lit(n // radix))
+        low = F.pmod(low + F.floor(spread(high, seed + 20 + r) * radix).cast("long"), F.lit(radix))
     return F.pmod((high * radix + low) * step + 1, F.lit(n))
 
 

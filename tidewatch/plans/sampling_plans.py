@@ -12,17 +12,16 @@ from ..sources.tables import read, requests
 from .registry import query
 
 c = F.col
-M = (1 << 31) - 1
 
 
 def uniform_sql(*parts) -> str:
     """The number of selection.uniform as SQL text."""
     x = "1::bigint"
     for p in parts:
-        x = f"((({x}) * 48271 + ({p}) + 11) * 69621 % {M})"
+        x = f"list_transform([(({x}) * 48271 + ({p}) + 11) % {E.PRIME}], lambda y: (y * y + y * 69621 + 5) % {E.PRIME})[1]"
     for multiplier in (16_807, 39_373, 62_089_911):
-        x = f"(({x} * {multiplier} + 7) % {M})"
-    return f"(({x} + 1) / {float(1 << 31)!r}::double)"
+        x = f"list_transform([({x})], lambda y: (y * y + y * {multiplier} + 7) % {E.PRIME})[1]"
+    return f"(({x} + 1) / {float(E.PRIME + 1)!r}::double)"
 
 
 def normal_sql(*parts) -> str:
@@ -81,13 +80,17 @@ def spans(rows) -> tuple[int, dict[str, tuple[float, float]]]:
     return r[0], {a: (r[1 + 2 * i] or 0.0, r[2 + 2 * i] or 0.0) for i, a in enumerate(AXES)}
 
 
+def spread_sql(x: str, seed: int) -> str:
+    return f"((({x}) * 48271 + {seed * 69_621 + 11}) % {E.PRIME} * 16807 % {E.PRIME} / {float(E.PRIME)!r}::double)"
+
+
 def permuted_sql(i: str, seed: int) -> str:
     """The number of selection.permuted as SQL text over n, step and radix."""
     x = f"(({i}) * step + {seed}) % n"
     low, high = f"({x}) % radix", f"({x}) // radix"
     for r in range(2):
-        high = f"(({high}) + floor({uniform_sql(seed, 10 + r, low)} * (n // radix))::bigint) % (n // radix)"
-        low = f"(({low}) + floor({uniform_sql(seed, 20 + r, high)} * radix)::bigint) % radix"
+        high = f"(({high}) + floor({spread_sql(low, seed + 10 + r)} * (n // radix))::bigint) % (n // radix)"
+        low = f"(({low}) + floor({spread_sql(high, seed + 20 + r)} * radix)::bigint) % radix"
     return f"((({high}) * radix + ({low})) * step + 1) % n"
 
 

@@ -6,7 +6,11 @@ dialects. Doubles are rounded to six digits.
 
 from __future__ import annotations
 
-from .registry import both
+from pyspark.sql import functions as F
+
+from ..operators import joins
+from ..sources.tables import feedback, requests
+from .registry import both, query
 
 HOUR, SIX_HOURS, DAY = 3600, 21600, 86400
 
@@ -116,11 +120,23 @@ both(
     f"""with d as (select model_id, {start(DAY)} as day_start, count(*) as n from requests group by model_id, {start(DAY)}), l as (select *, lag(n) over (partition by model_id order by day_start) as before from d)
     select model_id, day_start, n, before, case when before is null then 'new' when n > 1.2 * before then 'up' when n < 0.8 * before then 'down' else 'flat' end as trend from l""",
 )
-both(
+
+
+@query(
     "q20_multi_join",
     """select r.request_id, r.user_id, f.rating, n.request_id as next_request, n.epoch_s - r.epoch_s as gap
     from requests r left join feedback f on f.request_id = r.request_id and f.epoch_s <= r.epoch_s + 120 left join requests n on n.user_id = r.user_id and n.epoch_s > r.epoch_s and n.epoch_s <= r.epoch_s + 900""",
 )
+def multi_join(spark, sf_dir):
+    """A user's requests meet within time buckets only."""
+    rows = requests(spark, sf_dir)
+    rated = feedback(spark, sf_dir).select(F.col("request_id").alias("rated"), "rating", F.col("epoch_s").alias("rated_at"))
+    both_sides = rows.join(rated, (F.col("request_id") == F.col("rated")) & (F.col("rated_at") <= F.col("epoch_s") + 120), "left").select("request_id", "user_id", "epoch_s", "rating")
+    following = rows.select("user_id", F.col("request_id").alias("next_request"), F.col("epoch_s").alias("next_at"))
+    found = joins.interval_join(both_sides, following, "user_id", "epoch_s", "next_at", 900, "left", only_after=True)
+    return found.select("request_id", "user_id", "rating", "next_request", (F.col("next_at") - F.col("epoch_s")).alias("gap"))
+
+
 both(
     "sql_scalar_functions",
     """select event_id, upper(event_type) as u, lower(event_type) as l, length(event_type) as n, substring(event_type, 2, 3) as mid, concat(event_type, '-', cast(user_id as string)) as c,
@@ -131,7 +147,14 @@ both(
 )
 both("sql_predicates", "select event_id from events where event_type like 'p%' and value between 1 and 50 and user_id in (1, 2, 3, 4, 5) or event_type ilike 'ERR%' and value is not null and not value > 10", "events")
 both("sql_exists", "select request_id from requests r where exists (select 1 from feedback f where f.request_id = r.request_id and f.rating >= 4)")
-both("sql_not_in", "select request_id from requests where request_id not in (select request_id from feedback)")
+
+
+@query("sql_not_in", "select request_id from requests where request_id not in (select request_id from feedback)")
+def not_in(spark, sf_dir):
+    """Spark would send the whole subquery to every task."""
+    return joins.not_in(requests(spark, sf_dir).select("request_id"), feedback(spark, sf_dir), "request_id", "request_id")
+
+
 both("sql_distinct", "select distinct model_id, endpoint, success from requests")
 both("sql_union", "select model_id, variant from requests where success union select 'model_x', 'control'")
 both("sql_union_all", "select user_id, 'request' as kind from requests union all select user_id, 'feedback' from feedback")
