@@ -1,7 +1,7 @@
 """Restoring disguised words by a noisy channel: character lattices, decoded under a character language model.
 
 A stretch of text is in doubt if letters stand next to signs that are read as letters, if a letter comes three times in
-a row or two different ones twice each, or if single letters are set apart by signs or spaces. Each of its characters
+a row or two different ones twice each, if a word has a star or several marks inside, or if single letters are set apart. Each of its characters
 allows several readings: the letter itself, letters that a sign stands for, a word boundary, or nothing (never for a
 digit); a repeated letter is read once or twice. The Viterbi algorithm finds the likeliest reading under a trigram model
 of characters. All other text is its own only reading; so is a word that one space cuts into two longer parts.
@@ -23,7 +23,7 @@ SYMBOLS = 28
 OTHER = 27
 #: Letters that a sign is read as.
 READINGS = {
-    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c",
+    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t",
     "€": "e", "£": "l", "¡": "i", "§": "s", "µ": "u", "а": "a", "в": "b", "е": "e", "і": "i", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
@@ -31,6 +31,8 @@ READINGS = {
 AS_LETTER, AS_BOUNDARY, AS_NOTHING, ONCE, ONCE_OF_MANY, TWICE_OF_MANY = -1.0, -1.5, -1.5, -3.0, -0.3, -1.5
 #: A sign that may be a letter as a boundary, and as nothing.
 SIGN_AS_BOUNDARY, SIGN_AS_NOTHING = -4.0, -3.5
+#: Signs that are mostly marks between words, at the edges of a stretch.
+EDGE_SIGNS = "!|+¡§"
 #: A letter beyond ASCII as its base letter.
 AS_BASE = -2.0
 #: Characters that are decoded together: a longer stretch is taken in parts.
@@ -79,8 +81,8 @@ def language_model(counts: np.ndarray, words: list[str] = (), share: float = 0.3
 def lattice(stretch: str) -> list[tuple[list[tuple[int, str, float]], float | None, bool]]:
     """Steps of a stretch: readings (symbol, letter, logarithm), that of being skipped, whether only the last letter may follow."""
     out = []
-    for c, run in groupby(stretch.lower()):
-        n = len(list(run))
+    runs = [(c, len(list(run))) for c, run in groupby(stretch.lower())]
+    for at, (c, n) in enumerate(runs):
         letter = c.isalpha()
         readings = [(ord(x) - 96, x, AS_LETTER) for x in READINGS.get(c, "")]
         if "a" <= c <= "z":
@@ -90,7 +92,8 @@ def lattice(stretch: str) -> list[tuple[list[tuple[int, str, float]], float | No
             readings += [(OTHER, c, 0.0)] + ([(ord(base) - 96, base, AS_BASE)] if "a" <= base <= "z" else [])
             skipped = None
         else:
-            readings.append((0, " ", SIGN_AS_BOUNDARY if c in READINGS else AS_BOUNDARY))
+            within = c in READINGS and not (c in EDGE_SIGNS and at in (0, len(runs) - 1))
+            readings.append((0, " ", SIGN_AS_BOUNDARY if within else AS_BOUNDARY))
             skipped = AS_NOTHING if c not in READINGS else None if c.isdigit() else SIGN_AS_NOTHING
         out.append((readings, skipped, False))
         if n > 1:
@@ -144,7 +147,13 @@ def doubtful(data: np.ndarray) -> list[tuple[int, int]]:
     if not len(start):
         return []
     total = np.append(0, np.cumsum(mark))
-    flagged = (total[end] - total[start] > 0) & (np.add.reduceat(letter.astype(np.int32), start) > 0)
+    # a word with two and more marks inside, or a star
+    cut = np.zeros(len(data), np.int32)
+    cut[2:] = split[:-2] & split[1:-1] & letter[2:]
+    cut[1:] |= (data[:-1] == 0x2A) & letter[1:]
+    cuts = np.append(0, np.cumsum(cut))
+    inner = letter[start] & (cuts[end] - cuts[start] > 0)
+    flagged = (inner | (total[end] - total[start] > 0)) & (np.add.reduceat(letter.astype(np.int32), start) > 0)
     # single letters or signs, three and more, with one or two spaces between
     single = (end - start == 1) & (letter[start] | sign[start])
     near = np.append(False, start[1:] - end[:-1] <= 2)

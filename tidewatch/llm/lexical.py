@@ -10,7 +10,8 @@ score.
    A bucket is left for the items whose length times the bucket's longest is under their threshold (Cauchy-Schwarz);
    vectors under every item's threshold are not even read.
 4. Inside a bucket an item looks at its few heaviest coordinates. What the others can add is bounded by the product of
-   the lengths that remain; only vectors that may still reach the threshold are scored, exactly and in integers.
+   the lengths that remain, and by the largest of each coordinate in the bucket; only vectors that may still reach the
+   threshold are scored, exactly and in integers.
 5. Each task keeps the best of an item that it has met, and two rounds of windows make one ranking of these.
 
 The items are the stated query set: they are taken in blocks of bounded size, each broadcast with its vocabulary and
@@ -50,7 +51,7 @@ FIRST = 1 / 32
 #: Vectors and postings of one bucket, and the heaviest coordinates of an item that are looked at before the others.
 BUCKET = 1_000
 BUCKET_POSTINGS = 1 << 20
-FOCUS = 8
+FOCUS = 24
 #: Parts in which an item's candidates are ranked before they meet.
 SALTS = 32
 #: Bounds are taken a little higher than computed, so that rounding never loses a document.
@@ -115,13 +116,14 @@ class Search:
 
 @dataclass
 class Bucket:
-    """Vectors of like length: length, and the postings of each code as slices of documents and impacts."""
+    """Vectors of like length: length, the postings of each code as slices of documents and impacts, its largest impact."""
 
     length: np.ndarray
     docs: np.ndarray
     impacts: np.ndarray
     codes: np.ndarray
     edges: np.ndarray
+    most: np.ndarray
 
     @classmethod
     def of(cls, length: np.ndarray, sizes: np.ndarray, codes: np.ndarray, impacts: np.ndarray) -> Bucket:
@@ -129,7 +131,8 @@ class Bucket:
         docs = np.repeat(np.arange(len(sizes)), sizes)[order]
         codes = codes[order]
         first = np.flatnonzero(np.diff(codes, prepend=-1))
-        return cls(length, docs, impacts[order], codes[first], np.append(first, len(codes)))
+        impacts = impacts[order]
+        return cls(length, docs, impacts, codes[first], np.append(first, len(codes)), np.maximum.reduceat(impacts, first) if len(first) else first)
 
     def postings(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(place among `codes`, first, last) of the codes that occur here."""
@@ -140,8 +143,14 @@ class Bucket:
         return list(zip(here.tolist(), self.edges[at[here]].tolist(), self.edges[at[here] + 1].tolist(), strict=True))
 
     def survivors(self, search: Search, item: int, threshold: float) -> np.ndarray:
-        """The vectors that may reach the threshold, by the bound over the heaviest coordinates and the lengths that remain."""
+        """The vectors that may reach the threshold by their heaviest coordinates and a bound on what the others can add.
+
+        That is no more than the product of the lengths that remain, and no more than what they add where each is at its
+        largest in the bucket.
+        """
         codes, q = search.codes[item][:FOCUS], search.coordinates[item]
+        others = search.codes[item][FOCUS:]
+        most = sum(float(self.most[np.searchsorted(self.codes, others[i])]) * float(search.gains[item][FOCUS + i]) for i, _, _ in self.postings(others))
         seen, part, square = self.postings(codes), np.zeros(len(self.length)), np.zeros(len(self.length))
         if seen:
             docs = np.concatenate([self.docs[a:b] for _, a, b in seen])
@@ -150,7 +159,7 @@ class Bucket:
             square = np.bincount(docs, x * x, len(self.length))
         rest = math.sqrt(float(q[FOCUS:] @ q[FOCUS:]))
         left = np.sqrt(np.maximum(self.length * self.length * SLACK - square, 0))
-        return (part + rest * left) * SLACK >= threshold
+        return (part + np.minimum(rest * left, most)) * SLACK >= threshold
 
     def scores(self, search: Search, item: int, chosen: np.ndarray) -> np.ndarray:
         """The exact score of the chosen vectors, 0 for the others."""
