@@ -138,7 +138,8 @@ def adwin(df: DataFrame, key: str, order: Sequence[str], value: str, delta: floa
     older = F.greatest(F.lit(1), n - F.greatest(F.floor(n / 4), F.lit(5)).cast("int"))
     s, q = sums(older)
     mean, recent = s / older, (all_s - s) / (n - older)
-    off = F.abs(recent - mean) > 1.5 * F.sqrt(F.greatest(F.lit(0.0), q / older - mean * mean))
+    # equal values differ by rounding alone, which is no warning
+    off = F.abs(recent - mean) > F.greatest(1e-9 * F.abs(mean), 1.5 * F.sqrt(F.greatest(F.lit(0.0), q / older - mean * mean)))
     df = df.withColumn("is_drift", F.when(n < 10, False).otherwise(F.exists(cuts, apart)))
     return df.withColumn("is_warning", F.when(n > 10, off & ~F.col("is_drift")).otherwise(False)).drop("_v", "_s", "_q")
 

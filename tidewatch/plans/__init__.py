@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers them all."""
 
-from . import anomaly_plans, data_plans, decision_sql, feature_sql, function_plans, report_plans, sampling_plans, selection_plans, window_plans, worked_sql  # noqa: F401
+from . import alert_plans, anomaly_plans, data_plans, decision_sql, feature_sql, function_plans, report_plans, sampling_plans, selection_plans, window_plans, worked_sql  # noqa: F401
