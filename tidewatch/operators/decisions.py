@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -162,3 +163,63 @@ def cost_insights(daily: DataFrame, key: str, day: str, cost: str, alpha: float
     spike = F.when(growth > critical, "critical").when(growth > warning, "warning")
     odd = (F.col("_n") > least) & (F.col("_d") > 1e-12) & ((x - F.col("_m")) / F.col("_d") > z)
     return rows.select(key, day, cost, spike.alias("spike"), "ema", (F.col("ema") > above * F.col("_mean")).alias("above_mean"), odd.alias("odd"))
+
+
+@dataclass(frozen=True)
+class SwitchLimits:
+    """Weights of cost, latency and quality, and what a switch must keep to; None is not checked.
+
+    Costs count up to `cost_range` and latencies up to `latency_range`; quality goes to `quality_range`.
+    """
+
+    cost_weight: float = 0.4
+    latency_weight: float = 0.3
+    quality_weight: float = 0.3
+    cost_range: float = 100.0
+    latency_range: float = 5000.0
+    quality_range: float = 5.0
+    most_cost_pct: float = 10.0
+    most_latency_ms: float | None = None
+    least_quality: float | None = None
+    least_period_s: int = 3600
+    full_sample: int = 1000
+
+
+def model_score(limits: SwitchLimits) -> Column:
+    below = lambda x, most: (most - F.least(F.col(x), F.lit(most))) / most
+    return limits.cost_weight * below("cost", limits.cost_range) + limits.latency_weight * below("latency", limits.latency_range) + limits.quality_weight * (F.col("quality") / limits.quality_range)
+
+
+def model_switches(points: DataFrame, current: DataFrame, scope: str, now: int, limits: SwitchLimits = SwitchLimits()) -> DataFrame:
+    """A row for each scope of `current`: the model in use, the best one, what a switch changes, the checks that fail, and the decision.
+
+    `points` has (scope, model, n, success, cost, latency, quality), `current` (scope, model, evaluated_at), one row a scope;
+    evaluated_at is null if there was none. The best model has the highest score; of equal ones the cheapest, then the
+    fastest, then the one of best quality. As a model that another one beats scores no more than it and comes behind it
+    among equals, the best is on the frontier, and one aggregate finds it. The decision is `keep` (best already, or nothing is
+    known of the scope or its model), `blocked` (a check fails) or `switch`. A cost that rises from zero fails its check.
+    """
+    if min(limits.cost_weight, limits.latency_weight, limits.quality_weight) < 0:
+        raise ValueError("weights are zero at least")
+    values = F.struct("model", "n", "success", "cost", "latency", "quality", model_score(limits).alias("score"))
+    place = F.struct(model_score(limits).alias("score"), (-F.col("cost")).alias("cost"), (-F.col("latency")).alias("latency"), "quality", "model")
+    best = points.groupBy(scope).agg(F.max_by(values, place).alias("_best"))
+    used = points.select(F.col(scope).alias("_scope"), F.col("model").alias("_model"), F.struct("cost", "latency", "quality", "n").alias("_now"))
+    known = current.join(used, F.col(scope).eqNullSafe(F.col("_scope")) & F.col("model").eqNullSafe(F.col("_model")), "left").drop("_scope", "_model")
+    rows = known.join(best.withColumnRenamed(scope, "_scope"), F.col(scope).eqNullSafe(F.col("_scope")), "left").drop("_scope")
+    b, a = (lambda x: F.col(f"_best.{x}")), (lambda x: F.col(f"_now.{x}"))
+    cost = b("cost") - a("cost")
+    dear = F.when(a("cost") == 0, cost > 0).otherwise(cost / a("cost") * 100 > limits.most_cost_pct)
+    checks = [("cost", dear)]
+    if limits.most_latency_ms is not None:
+        checks.append(("latency", b("latency") - a("latency") > limits.most_latency_ms))
+    if limits.least_quality is not None:
+        checks.append(("quality", b("quality") < limits.least_quality))
+    checks.append(("period", now - F.col("evaluated_at") < limits.least_period_s))
+    failed = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in checks]))
+    same = F.col("_best").isNull() | F.col("_now").isNull() | (b("model") == F.col("model"))
+    confidence = F.least(F.lit(1.0), 0.5 * F.least(b("n") / limits.full_sample, F.lit(1.0)) + 0.5 * b("success"))
+    return rows.select(
+        scope, "model", b("model").alias("best"), b("score").alias("score"), cost.alias("cost_change"), (cost * a("n")).alias("cost_change_all"), (b("latency") - a("latency")).alias("latency_change"), (b("quality") - a("quality")).alias("quality_change"),
+        failed.alias("failed"), confidence.alias("confidence"), F.when(same, "keep").when(F.size(failed) > 0, "blocked").otherwise("switch").alias("decision"),
+    )

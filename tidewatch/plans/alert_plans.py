@@ -139,3 +139,23 @@ def performance_report(spark, sf_dir):
     levels = [severity.alias(titles[title]) for title, severity, _ in decisions.performance_rules(c("base_p95"))]
     numbers = [F.round(x, 9 if x == "rps" else 6).alias(x) for x in ("p50", "p90", "p95", "p99", "p999", "rps", "success", "ema")]
     return joined.select("model_id", "n", *numbers, *levels)
+
+
+@query(
+    "x23_model_switches",
+    f"""with r as (select r.*, f.rating from requests r left join feedback f on f.request_id = r.request_id), p as (select endpoint, model_id as model, count(*) as n, avg(success::int) as success, avg(cost_usd) as cost, avg(latency_ms) as latency, coalesce(avg(rating), 3.5) as quality from r group by all),
+    s as (select *, 0.4::double * (0.02::double - least(cost, 0.02::double)) / 0.02::double + 0.3::double * (5000 - least(latency, 5000)) / 5000 + 0.3::double * quality / 5 as score from p),
+    f as (select * from s x where not exists (select 1 from s y where y.endpoint = x.endpoint and y.model <> x.model and y.cost <= x.cost and y.latency <= x.latency and y.quality >= x.quality and (y.cost < x.cost or y.latency < x.latency or y.quality > x.quality))),
+    b as (select * from f qualify row_number() over (partition by endpoint order by score desc, cost, latency, quality desc, model desc) = 1), u as (select endpoint, model_id as model, count(*) as k, max(epoch_s) as evaluated_at from requests where epoch_s < {NOW} group by all), c as (select * from u qualify row_number() over (partition by endpoint order by k desc, model) = 1),
+    j as (select c.endpoint, c.model, b.model as best, b.score, b.cost - s.cost as cost_change, (b.cost - s.cost) / s.cost * 100 > 10 as dear, b.latency - s.latency > 100 as slow, b.quality < 2.5 as poor, {NOW} - c.evaluated_at < 3600 as soon, least(1, 0.5 * least(b.n / 1000.0::double, 1) + 0.5 * b.success) as confidence from c join s on s.endpoint = c.endpoint and s.model = c.model join b on b.endpoint = c.endpoint)
+    select endpoint, model, best, round(score, 6)::double as score, round(cost_change, 9) as cost_change, concat_ws(',', case when dear then 'cost' end, case when slow then 'latency' end, case when poor then 'quality' end, case when soon then 'period' end) as failed, round(confidence, 6)::double as confidence, case when best = model then 'keep' when dear or slow or poor or soon then 'blocked' else 'switch' end as decision from j""",
+)
+def model_switches(spark, sf_dir):
+    """By endpoint: the model used most before NOW, last looked at when it was last used."""
+    rows = requests(spark, sf_dir)
+    rated = rows.join(feedback(spark, sf_dir).select("request_id", "rating"), "request_id", "left")
+    points = rated.groupBy("endpoint", c("model_id").alias("model")).agg(F.count("*").alias("n"), F.avg(c("success").cast("double")).alias("success"), F.avg("cost_usd").alias("cost"), F.avg("latency_ms").alias("latency"), F.coalesce(F.avg("rating"), F.lit(3.5)).alias("quality"))
+    used = rows.where(c("epoch_s") < NOW).groupBy("endpoint", c("model_id").alias("model")).agg(F.count("*").alias("k"), F.max("epoch_s").alias("evaluated_at"))
+    current = used.groupBy("endpoint").agg(F.min_by(F.struct("model", "evaluated_at"), F.struct(-c("k"), "model")).alias("u")).select("endpoint", "u.*")
+    found = decisions.model_switches(points, current, "endpoint", NOW, decisions.SwitchLimits(cost_range=0.02, most_latency_ms=100.0, least_quality=2.5))
+    return found.select("endpoint", "model", "best", F.round("score", 6).alias("score"), F.round("cost_change", 9).alias("cost_change"), F.concat_ws(",", "failed").alias("failed"), F.round("confidence", 6).alias("confidence"), "decision")
