@@ -55,7 +55,7 @@ def confirmed_outliers(df: DataFrame, key: str, order: Sequence[str], value: str
         moments = lambda part: F.struct(F.count(x).over(part).alias("n"), F.avg(x).over(part).alias("m"), (F.var_pop(x).over(part) * F.count(x).over(part)).alias("q"), F.col("_chunk").alias("chunk"))
         rows = rows.withColumn("_to", moments(chunk.orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)))
         rows = rows.withColumn("_from", moments(chunk.orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)))
-        return rows.withColumn("_from", F.lag("_from", window - 1).over(whole))
+        return rows.withColumn("_from", F.lag("_from", window - 1).over(whole)).withColumn("_place", F.col("_rn"))
 
     known = df.where(F.col(value).isNotNull() & ~F.isnan(x))
     rows = ordered.over_frames(known, key, order, window, add)
@@ -66,11 +66,10 @@ def confirmed_outliers(df: DataFrame, key: str, order: Sequence[str], value: str
     squares = F.col("_to.q") + F.when(there, F.col("_from.q")).otherwise(0.0) + apart * apart * F.col("_to.n") * n_from / n
     variance = squares / F.when(n > 1, n - 1)
     z = F.when(variance > ROUNDING * mean * mean, (x - mean) / F.sqrt(variance)).otherwise(0.0)
-    rows = rows.select(*df.columns, z.alias("z"), ((n >= least) & (F.abs(z) > threshold)).alias("_out"))
-    blocked = ordered.in_blocks(rows, *order[:2])
-    placed = ordered.running(blocked, key, order, [("_at", "count", F.lit(1))])
-    placed = ordered.running(placed, key, order, [("_calm", "last", F.when(~F.col("_out"), F.col("_at")))])
-    run = F.col("_at") - F.coalesce("_calm", F.lit(0))
+    rows = rows.select(*df.columns, "_place", z.alias("z"), ((n >= least) & (F.abs(z) > threshold)).alias("_out"))
+    blocked = rows.withColumn("_block", F.floor((F.col("_place") - 1) / ordered.FRAME_ROWS))  # places are known: no cuts to look for
+    placed = ordered.running(blocked, key, ["_place"], [("_calm", "last", F.when(~F.col("_out"), F.col("_place")))])
+    run = F.col("_place") - F.coalesce("_calm", F.lit(0))
     level = F.when(run >= consecutive, F.coalesce(level_above(F.abs("z"), threshold, error, critical), F.lit(1)))
     return placed.select(*df.columns, "z", run.alias("run"), level.alias("level"), F.when(level.isNotNull(), confidence(F.col("z"), run, consecutive)).alias("confidence"))
 

@@ -51,8 +51,9 @@ SCORED = """select model_id, request_id, epoch_s, kind, v, case when n > 1 and s
 def confirmed_anomalies(spark, sf_dir):
     """Two deviations in place of the default three, so that the given values have runs of outliers."""
     rows = requests(spark, sf_dir).select("model_id", "request_id", "epoch_s", "latency_ms", "cost_usd", "success")
-    found = lambda value, kind: alerts.confirmed_outliers(rows.select("model_id", "request_id", "epoch_s", value), "model_id", ["request_id"], value, threshold=2.0).where("level is not null").select("model_id", "epoch_s", F.lit(kind).alias("kind"), "level", F.abs("z").alias("score"), "confidence")
-    single = found("latency_ms", "latency").unionByName(found("cost_usd", "cost"))
+    both = rows.select("model_id", "request_id", "epoch_s", F.expr("stack(2, 'latency', latency_ms, 'cost', cost_usd) as (kind, v)")).withColumn("scope", F.concat_ws("/", "model_id", "kind"))
+    found = alerts.confirmed_outliers(both, "scope", ["request_id"], "v", threshold=2.0).where("level is not null")
+    single = found.select("model_id", "epoch_s", "kind", "level", F.abs("z").alias("score"), "confidence")
     together = alerts.collective_anomalies(single, "model_id", "epoch_s", "level", within=7200).select("model_id", F.lit("collective").alias("kind"), "level", c("n").cast("double").alias("score"), "confidence")
     none = F.lit(None).cast("double").alias("confidence")
     volume = alerts.volume_anomalies(rows, "model_id", "epoch_s", seconds=21600).select("model_id", F.lit("volume").alias("kind"), "level", (F.abs("change") * 10).alias("score"), none)
