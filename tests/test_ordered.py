@@ -12,7 +12,7 @@ from test_oracles import plain, sql  # noqa: F401
 from tidewatch.operators import ordered as O
 from tidewatch.plans import registry
 
-SPLIT = ["n01_rolling_z", "n02_expanding_z", "n03_rolling_iqr", "n04_rolling_mad", "n05_mahalanobis", "n06_group_outliers", "n07_adwin", "n08_page_hinkley", "n09_cusum", "n10_welch_drift", "n18_threshold_monitor", "w06_global_window", "w07_count_window", "w11_watermark_replay", "w13_punctuated_watermark", "a03_nearest_rank", "a04_quartiles", "a07_percentile_kinds", "j02_asof_join", "f02_point_in_time", "x09_health_checks", "z01_performance_insights"]
+SPLIT = ["n01_rolling_z", "n02_expanding_z", "n03_rolling_iqr", "n04_rolling_mad", "n05_mahalanobis", "n06_group_outliers", "n07_adwin", "n08_page_hinkley", "n09_cusum", "n10_welch_drift", "n18_threshold_monitor", "n22_monitor_with_drift", "z26_performance_report", "w06_global_window", "w07_count_window", "w11_watermark_replay", "w13_punctuated_watermark", "a03_nearest_rank", "a04_quartiles", "a07_percentile_kinds", "j02_asof_join", "f02_point_in_time", "x09_health_checks", "z01_performance_insights"]
 
 
 @pytest.mark.parametrize("name", SPLIT)
