@@ -127,7 +127,7 @@ def threshold_alerts(df: DataFrame, key: str, order: Sequence[str], value: str,
     Detector parameters are adwin's delta and window, page_hinkley's threshold and alpha, cusum's target, slack and threshold. Rows without a value are left out.
     """
     columns = list(dict.fromkeys([key, *order, value]))
-    rows = df.select(*columns).where(F.col(value).isNotNull())
+    rows = ordered.numbered(df.select(*columns).where(F.col(value).isNotNull()), key, order)  # once for all detectors
     x = F.col(value)
     drift = anomalous = F.lit(None).cast("int")
     if limits.drift == "adwin":

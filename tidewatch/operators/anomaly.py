@@ -86,20 +86,19 @@ def rolling_mahalanobis(df: DataFrame, key: str, order: Sequence[str], dimension
 def page_hinkley(df: DataFrame, key: str, order: Sequence[str], value: str, threshold: float, alpha: float) -> DataFrame:
     """Cumulated excess over the first value, above its lowest point so far."""
     x = F.col(value)
-    rows = ordered.running(ordered.in_blocks(df, order[0]), key, order, [("_ref", "first", x), ("_n", "count", x), ("_x", "sum", x)])
-    rows = rows.withColumn("_s", F.col("_x") - F.col("_n") * (F.col("_ref") + alpha)).drop("_x", "_n", "_ref")
-    rows = ordered.running(rows, key, order, [("_low", "min", F.col("_s"))])
-    rows = rows.withColumn("score", F.col("_s") - F.least(F.lit(0.0), F.col("_low")))
-    return rows.withColumn("is_drift", F.col("score") > threshold).withColumn("is_warning", (F.col("score") > 0.7 * threshold) & ~F.col("is_drift")).drop("_s", "_low", "_block")
+    first = df.groupBy(F.struct(key).alias("_k")).agg(F.min_by(x, F.struct(*order)).alias("_ref"))  # a row a key
+    rows = df.withColumn("_k", F.struct(key)).join(F.broadcast(first), "_k").drop("_k")
+    rows = ordered.nested_sums(rows, key, order, {"_s": x - F.col("_ref") - alpha})
+    rows = rows.withColumn("score", F.col("_s") - F.least(F.lit(0.0), F.col("_s_low")))
+    rows = rows.withColumn("is_drift", F.col("score") > threshold).withColumn("is_warning", (F.col("score") > 0.7 * threshold) & ~F.col("is_drift"))
+    return rows.select(*df.columns, "score", "is_drift", "is_warning")
 
 
 def cusum(df: DataFrame, key: str, order: Sequence[str], value: str, target: float, slack: float, threshold: float) -> DataFrame:
     """Cumulated deviations to either side, each less half the slack a row and never below zero."""
-    sums = [("_u", "sum", F.col(value) - target - slack / 2), ("_d", "sum", target - F.col(value) - slack / 2)]
-    rows = ordered.running(ordered.in_blocks(df, order[0]), key, order, sums)
-    rows = ordered.running(rows, key, order, [("_u_low", "min", F.col("_u")), ("_d_low", "min", F.col("_d"))])
+    rows = ordered.nested_sums(df, key, order, {"_u": F.col(value) - target - slack / 2, "_d": target - F.col(value) - slack / 2})
     above = lambda side: F.col(f"_{side}") - F.least(F.lit(0.0), F.col(f"_{side}_low"))
-    rows = rows.withColumn("high", above("u")).withColumn("low", above("d")).drop("_u", "_d", "_u_low", "_d_low", "_block")
+    rows = rows.select(*df.columns, above("u").alias("high"), above("d").alias("low"))
     rows = rows.withColumn("is_warning", (F.greatest("high", "low") > 0.7 * threshold) & ~(F.greatest("high", "low") > threshold))
     return rows.withColumn("direction", F.when(F.col("high") > threshold, "up").when(F.col("low") > threshold, "down"))
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -27,6 +29,8 @@ STRIDE = 32
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp")
 #: Rows of a key between two cuts of bounded frames.
 FRAME_ROWS = 8_192
+#: Rows, and sums of rows, that are added up one after another, and rows of a chunk: a power of it.
+GROUP, CHUNK = 16, 4_096
 
 
 def _number(df: DataFrame, column: str) -> Column:
@@ -86,10 +90,11 @@ def running(rows: DataFrame, key: str, order: Sequence[str], specs: Sequence[tup
     """Add running values to rows that have _block: (name, how, column[, before]).
 
     how is sum, count, min, max, last (the last value that is not null) or first (of the whole key); with before, the row
-    itself does not count.
+    itself does not count. The key is held as a struct, in which null equals null: rows that are dealt by it and sorted once
+    for their own block are joined where they lie.
     """
     one = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-    at, earlier = F.struct(*order), Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    at, earlier = F.struct(*order), Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     parts = []
     for name, how, column, *_ in specs:
         if how == "first":
@@ -98,43 +103,126 @@ def running(rows: DataFrame, key: str, order: Sequence[str], specs: Sequence[tup
             parts.append(F.max_by(column, F.when(column.isNotNull(), at)).alias(f"_p_{name}"))
         else:
             parts.append(one[how](column).alias(f"_p_{name}"))
-    small = rows.groupBy(key, "_block").agg(*parts)  # a row a key and block
+    names = rows.columns
+    rows = rows.withColumn("_k", F.struct(key))
+    small = rows.groupBy("_k", "_block").agg(*parts)  # a row a key and block
     carried = []
     for name, how, *_ in specs:
         p = F.col(f"_p_{name}")
         if how == "first":
-            carried.append(F.first(p).over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)).alias(f"_c_{name}"))
+            carried.append(F.first(p).over(Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)).alias(f"_c_{name}"))
         elif how == "last":
             carried.append(F.last(p, ignorenulls=True).over(earlier).alias(f"_c_{name}"))
         else:
             carried.append({"count": F.sum}.get(how, one.get(how))(p).over(earlier).alias(f"_c_{name}"))
-    joined = _taken_over(rows, key, small.select(key, "_block", *carried))
-    own = Window.partitionBy(key, "_block").orderBy(*order)
-    made = []
+    own = Window.partitionBy("_k", "_block").orderBy(*order)
+    within, made = [], []
     for name, how, column, *before in specs:
         frame = own.rowsBetween(Window.unboundedPreceding, -1 if before and before[0] else 0)
-        carry = F.col(f"_c_{name}")
+        part, carry = F.col(f"_o_{name}"), F.col(f"_c_{name}")
         if how == "first":
             made.append(carry.alias(name))
-        elif how == "last":
-            made.append(F.coalesce(F.last(column, ignorenulls=True).over(frame), carry).alias(name))
+            continue
+        within.append((F.last(column, ignorenulls=True) if how == "last" else one[how](column)).over(frame).alias(f"_o_{name}"))
+        if how == "last":
+            made.append(F.coalesce(part, carry).alias(name))
         elif how in ("sum", "count"):
-            part = one[how](column).over(frame)
             made.append(F.coalesce(part + carry, part, carry).alias(name))
         else:
-            made.append((F.least if how == "min" else F.greatest)(one[how](column).over(frame), carry).alias(name))
-    return joined.select("*", *made).drop(*[f"_c_{name}" for name, *_ in specs])
+            made.append((F.least if how == "min" else F.greatest)(part, carry).alias(name))
+    joined = rows.select("*", *within).join(small.select("_k", "_block", *carried), ["_k", "_block"])
+    return joined.select(*names, *made)
 
 
 def numbered(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Add _rn, the place of a row among those of its key from 1, and _total, how many the key has."""
-    rows = in_blocks(df, *order[:2])
-    small = rows.groupBy(key, "_block").agg(F.count("*").alias("_n"))
-    by_key = Window.partitionBy(key)
+    """Add _rn, the place of a row among those of its key from 1, and _total, how many the key has. Rows that have places keep them."""
+    if "_rn" in df.columns:
+        return df
+    rows = in_blocks(df, *order[:2]).withColumn("_k", F.struct(key))
+    small = rows.groupBy("_k", "_block").agg(F.count("*").alias("_n"))
+    by_key = Window.partitionBy("_k")
     before = F.coalesce(F.sum("_n").over(by_key.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = _taken_over(rows, key, small.select(key, "_block", before.alias("_before"), F.sum("_n").over(by_key).alias("_total")))
-    place = F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order))
-    return joined.withColumn("_rn", F.col("_before") + place).drop("_before", "_block")
+    placed = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_k", "_block").orderBy(*order)))
+    joined = placed.join(small.select("_k", "_block", before.alias("_before"), F.sum("_n").over(by_key).alias("_total")), ["_k", "_block"])
+    return joined.select(*df.columns, (F.col("_before") + F.col("_row")).alias("_rn"), "_total")
+
+
+def _sums_before(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each of the rows and for the end: start and all values before, in nested groups of GROUP."""
+    n = len(values)
+    if n < GROUP:
+        return np.cumsum(np.concatenate([start[None], values]), axis=0)
+    whole, width = n // GROUP, values.shape[1]
+    totals = np.cumsum(values[: whole * GROUP].reshape(whole, GROUP, width), axis=1)[:, -1]
+    padded = np.concatenate([values, np.zeros(((whole + 1) * GROUP - n, width))]).reshape(whole + 1, GROUP, width)
+    within = np.concatenate([_sums_before(totals, start)[:, None], padded], axis=1)
+    return np.cumsum(within, axis=1)[:, :GROUP].reshape(-1, width)[: n + 1]
+
+
+def nested_sums(df: DataFrame, key: str, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Add running sums of doubles, and the lowest value of each so far as <name>_low.
+
+    Rows are added up in groups of GROUP by their place, those sums in groups of GROUP, and so on; a running sum is put
+    together from the largest whole groups down. So its rounding error grows with the logarithm of the rows, and its last
+    digit rests on the places of the rows alone, not on where blocks are cut. A chunk of CHUNK rows is whole groups, so
+    chunks are summed by themselves, joined on one row each, and walked from the sum before them. Nulls are left out.
+    """
+    rows = numbered(df, key, order)
+    kept, types, width = rows.columns, dict(rows.dtypes), len(sums)
+    rows = rows.withColumns({"_block": F.floor((F.col("_rn") - 1) / CHUNK)} | {f"_x{i}": x.cast("double") for i, x in enumerate(sums.values())})
+    totals, befores, afters, lows = [f"_t{i}" for i in range(2 * width)], [f"_b{i}" for i in range(2 * width)], [f"_a{i}" for i in range(2 * width)], [f"_l{i}" for i in range(width)]
+    at = lambda names: ", ".join([f"`{key}` {types[key]}", "_block long", *[f"{c} double" for c in names]])
+    made = [c for name in sums for c in (name, f"{name}_low")]
+    full = ", ".join([*[f"`{c}` {types[c]}" for c in kept], *[f"`{c}` double" for c in made]])
+
+    def matrix(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+        return np.stack([table.column(c).to_numpy() for c in names], axis=1).astype(float)
+
+    def of_chunk(table: pa.Table, columns: np.ndarray, names: Sequence[str]) -> pa.Table:
+        """A row a chunk of the table with those columns."""
+        return pa.table([table.column(key), table.column("_block"), *columns.T], names=[key, "_block", *names])
+
+    def values(table: pa.Table) -> np.ndarray:
+        """The values, and for each whether it is there."""
+        columns = [table.column(f"_x{i}") for i in range(width)]
+        return np.stack([c.fill_null(0.0).to_numpy() for c in columns] + [c.is_valid().to_numpy() for c in columns], axis=1).astype(float)
+
+    def walked(table: pa.Table, small: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """Rows in order, their running sums, and whether a value has been there yet."""
+        table = table.sort_by("_rn")
+        found = _sums_before(values(table), matrix(small, befores)[0])[1:]
+        if len(found) == CHUNK:
+            found[-1] = matrix(small, afters)[0]
+        return table, found[:, :width], found[:, width:] > 0
+
+    def total(table: pa.Table) -> pa.Table:
+        return of_chunk(table.slice(0, 1), _sums_before(values(table.sort_by("_rn")), np.zeros(2 * width))[-1:], totals)
+
+    def carried(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_block")  # a row a chunk
+        found = _sums_before(matrix(table, totals), np.zeros(2 * width))
+        return of_chunk(table, np.concatenate([found[:-1], found[1:]], axis=1), [*befores, *afters])
+
+    def lowest(table: pa.Table, small: pa.Table) -> pa.Table:
+        _, found, known = walked(table, small)
+        low = np.fmin.reduce(np.where(known, found, np.inf), axis=0)[None]
+        return of_chunk(small, np.concatenate([matrix(small, [*befores, *afters]), low], axis=1), [*befores, *afters, *lows])
+
+    def lowest_before(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_block")
+        low = np.concatenate([np.full((1, width), np.inf), np.fmin.accumulate(matrix(table, lows), axis=0)[:-1]])
+        return of_chunk(table, np.concatenate([matrix(table, [*befores, *afters]), low], axis=1), [*befores, *afters, *lows])
+
+    def finished(table: pa.Table, small: pa.Table) -> pa.Table:
+        table, found, known = walked(table, small)
+        low = np.fmin(np.fmin.accumulate(np.where(known, found, np.inf), axis=0), matrix(small, lows))
+        more = [pa.array(x[:, i], mask=~known[:, i]) for i in range(width) for x in (found, low)]
+        return pa.table([*(table.column(c) for c in kept), *more], names=[*kept, *made])
+
+    chunks = rows.groupBy(key, "_block")
+    small = chunks.applyInArrow(total, at(totals)).groupBy(key).applyInArrow(carried, at([*befores, *afters]))
+    small = chunks.cogroup(small.groupBy(key, "_block")).applyInArrow(lowest, at([*befores, *afters, *lows])).groupBy(key).applyInArrow(lowest_before, at([*befores, *afters, *lows]))
+    return chunks.cogroup(small.groupBy(key, "_block")).applyInArrow(finished, full)
 
 
 def over_frames(df: DataFrame, key: str, order: Sequence[str], n: int, add: Callable[[DataFrame, WindowSpec], DataFrame]) -> DataFrame:
@@ -146,7 +234,7 @@ def over_frames(df: DataFrame, key: str, order: Sequence[str], n: int, add: Call
     dealt = rows.withColumn("_at", F.explode(F.when(place >= cut - n + 1, F.array(own, after)).otherwise(F.array(own))))
     dealt = dealt.select("*", F.col("_at.frame").alias("_frame"), F.col("_at.context").alias("_context")).drop("_at")
     w = Window.partitionBy(key, "_frame").orderBy(*order).rowsBetween(-(n - 1), 0)
-    return add(dealt, w).where(~F.col("_context")).drop("_frame", "_context", "_rn", "_total")
+    return add(dealt, w).where(~F.col("_context")).drop("_frame", "_context", *[c for c in ("_rn", "_total") if c not in df.columns])
 
 
 def values_at(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
