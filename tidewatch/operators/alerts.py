@@ -88,13 +88,11 @@ def volume_anomalies(df: DataFrame, key: str, epoch: str, seconds: int = 60, bac
 def collective_anomalies(records: DataFrame, key: str, epoch: str, level: str, within: int = 300, least: int = 3) -> DataFrame:
     """(key, epoch, n, level, confidence): records with `least` of their key in the last `within` seconds, themselves and those of the same second included.
 
-    level is the highest of them. Each record lies in its own stretch of time and as context in the next.
+    level is the highest of them.
     """
-    own = F.floor(F.col(epoch) / within)
-    dealt = records.select(key, epoch, level, F.explode(F.array(F.struct(own.alias("part"), F.lit(False).alias("context")), F.struct((own + 1).alias("part"), F.lit(True).alias("context")))).alias("_p"))
-    w = Window.partitionBy(key, F.col("_p.part")).orderBy(F.col(epoch)).rangeBetween(-within, 0)
-    seen = dealt.withColumn("n", F.count("*").over(w)).withColumn("_top", F.max(level).over(w)).where(~F.col("_p.context") & (F.col("n") >= least))
-    return seen.select(key, epoch, "n", F.col("_top").alias(level), F.lit(0.85).alias("confidence"))
+    seen = ordered.range_points(records.select(key, epoch, level), key, epoch, within, {"n": ("count", F.lit(1)), "_top": ("max", F.col(level))})
+    each = seen.where(F.col("n") >= least).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))  # records of one second have the same
+    return each.select(F.col("_point.k").alias(key), F.col("_point.t").alias(epoch), "n", F.col("_top").alias(level), F.lit(0.85).alias("confidence"))
 
 
 @dataclass(frozen=True)

@@ -237,6 +237,35 @@ def over_frames(df: DataFrame, key: str, order: Sequence[str], n: int, add: Call
     return add(dealt, w).where(~F.col("_context")).drop("_frame", "_context", *[c for c in ("_rn", "_total") if c not in df.columns])
 
 
+def range_totals(df: DataFrame, key: str, at: str, within: int, totals: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Add totals (sum, count or max of a column) over the rows of a key whose whole number `at` is up to `within` under the row's own."""
+    point = F.struct(F.col(key).alias("k"), F.col(at).alias("t"))
+    return df.withColumn("_point", point).join(range_points(df, key, at, within, totals).drop("_rows"), "_point").drop("_point")
+
+
+def range_points(df: DataFrame, key: str, at: str, within: int, totals: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(_point, _rows, totals) of each key and number: _point is a struct of k and t, _rows how many rows it has.
+
+    Numbers are cut into parts as wide as a frame, so that a frame is the end
+    of one part and the beginning of the next: each is a running value, and a row costs the same however many rows its
+    frame has. Nothing is subtracted.
+    """
+    how = {"sum": F.sum, "count": F.count, "max": F.max}
+    point = F.struct(F.col(key).alias("k"), F.col(at).alias("t"))
+    points = df.groupBy(point.alias("_point")).agg(F.count("*").alias("_rows"), *[how[h](x).alias(f"_p_{name}") for name, (h, x) in totals.items()])
+    part = F.floor(F.col("_point.t") / (within + 1))
+    dealt = points.select("*", F.struct("_point.k").alias("_k"), F.explode(F.array(F.struct(part.alias("part"), F.lit(False).alias("context")), F.struct((part + 1).alias("part"), F.lit(True).alias("context")))).alias("_at"))
+    dealt = dealt.select("*", F.col("_at.part").alias("_frame"), F.col("_at.context").alias("_context"), F.pmod("_point.t", F.lit(within + 1)).alias("_place"))
+    frame = lambda *order: Window.partitionBy("_k", "_frame").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own, before = frame("_place", "_context"), frame(F.desc("_place"), "_context")  # of the part before: places after the row's own
+    made = []
+    for name, (h, _) in totals.items():
+        p, join = F.col(f"_p_{name}"), F.max if h == "max" else F.sum
+        a, b = join(F.when(~F.col("_context"), p)).over(own), join(F.when(F.col("_context"), p)).over(before)
+        made.append((F.greatest(a, b) if h == "max" else F.coalesce(a + b, a, b)).alias(name))
+    return dealt.select("_point", "_rows", "_context", *made).where(~F.col("_context")).drop("_context")
+
+
 def values_at(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """One row per key with its sorted values at 0-based ranks, each a column of n, the number of values.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins
+from ..operators import joins, ordered
 from ..sources.tables import feedback, requests
 from .registry import both, query
 
@@ -174,10 +174,19 @@ both(
     lead(request_id) over (partition by user_id order by epoch_s, request_id) as next_id, first_value(request_id) over (partition by user_id order by epoch_s, request_id) as first_id,
     last_value(request_id) over (partition by user_id order by epoch_s, request_id rows between unbounded preceding and unbounded following) as last_id from requests""",
 )
-both(
+
+
+@query(
     "sql_range_frame",
     f"select request_id, count(*) over (partition by model_id order by epoch_s range between {HOUR} preceding and current row) as last_hour, round(sum(cost_usd) over (partition by model_id order by epoch_s range between {HOUR} preceding and current row), 6) as cost_last_hour from requests",
 )
+def range_frame(spark, sf_dir):
+    c = F.col
+    rows = requests(spark, sf_dir).select("request_id", "model_id", "epoch_s", "cost_usd")
+    framed = ordered.range_totals(rows, "model_id", "epoch_s", HOUR, {"last_hour": ("count", F.lit(1)), "_cost": ("sum", c("cost_usd"))})
+    return framed.select("request_id", "last_hour", F.round("_cost", 6).alias("cost_last_hour"))
+
+
 both("sql_conditional_aggregates", "select model_id, count(*) filter (where success) as ok, count(case when latency_ms > 2000 then 1 end) as slow, round(avg(case when success then latency_ms end), 6) as ok_latency from requests group by model_id")
 both(
     "sql_budget_forecast",
