@@ -18,6 +18,9 @@ from pyspark.sql.types import _parse_datatype_string
 
 from .ordered import _taken_over, in_blocks
 
+#: Numbers of the matrices of rows that are composed together.
+MATRIX_CELLS = 1 << 20
+
 
 def _dealt(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return rows.repartition(key, "_block").sortWithinPartitions(key, "_block", *[F.asc_nulls_last(c) for c in order])
@@ -162,6 +165,15 @@ def exponential_average(df: DataFrame, key: str, order: Sequence[str], value: st
     return _dealt(joined, key, order).mapInArrow(walked, out)
 
 
+def _composed(m: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps y = m y' + v one after another as one step: two beside each other become one, until one is left."""
+    while len(m) > 1:
+        odd = len(m) % 2
+        first_m, first_v, then_m, then_v = m[odd::2], v[odd::2], m[odd + 1 :: 2], v[odd + 1 :: 2]
+        m, v = np.concatenate([m[:odd], then_m @ first_m]), np.concatenate([v[:odd], np.einsum("nij,nj->ni", then_m, first_v) + then_v])
+    return m[0], v[0]
+
+
 def gradient_fold(df: DataFrame, key: str, order: Sequence[str], values: str, rate: float, schema: str) -> DataFrame:
     """(key, n, theta, total) after all rows of a key: theta = theta + rate (r - theta f) f for each row's features f and reward r.
 
@@ -179,14 +191,20 @@ def gradient_fold(df: DataFrame, key: str, order: Sequence[str], values: str, ra
 
         for batch in batches:
             starts, last = _starts(batch, key, last)
-            for k, block, xs, new in zip(batch.column(key).to_pylist(), batch.column("_block").to_pylist(), batch.column(values).to_pylist(), starts, strict=True):
-                f, r = np.array(xs[:-1], float), float(xs[-1])
-                if new:
+            xs = batch.column(values).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
+            d = xs.shape[1] - 1
+            most = max(1, MATRIX_CELLS // (d * d))
+            cuts = sorted({*np.flatnonzero(starts).tolist(), *range(0, batch.num_rows, most), batch.num_rows})
+            for low, high in zip(cuts, cuts[1:]):
+                if starts[low]:
                     if held:
                         yield row()
-                    at, held = (k, block), (0, 0.0, np.eye(len(f)), np.zeros(len(f)))
+                    at = (batch.column(key)[low].as_py(), batch.column("_block")[low].as_py())
+                    held = (0, 0.0, np.eye(d), np.zeros(d))
+                f, r = xs[low:high, :-1], xs[low:high, -1]
                 n, total, m, v = held
-                held = (n + 1, total + r, m - rate * np.outer(f, f @ m), v + rate * (r - f @ v) * f)
+                later, plus = _composed(np.eye(d) - rate * f[:, :, None] * f[:, None, :], rate * r[:, None] * f)
+                held = (n + high - low, total + float(r.sum()), later @ m, later @ v + plus)
         if held:
             yield row()
 

@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,15 +93,50 @@ def normal_draw(*parts: Column | int) -> Column:
     return F.sqrt(-2 * F.ln(uniform(*parts, 1))) * F.cos(2 * math.pi * uniform(*parts, 2))
 
 
-def gamma_draw(shape: Column, *parts: Column | int) -> Column:
+def _normals(keys: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
+    """The numbers of normal_draw, for a batch of keys between the parts: `parts` begins with those before the key."""
+    stirred = lambda x, multiplier, add: (x * x + x * multiplier + add) % PRIME
+
+    def uniform_of(x: np.ndarray) -> np.ndarray:
+        for multiplier in (16_807, 39_373, 62_089_911):
+            x = stirred(x, multiplier, 7)
+        return (x + 1) / float(PRIME + 1)
+
+    x = np.ones(len(keys), np.int64)
+    for p in parts:
+        x = stirred((x * 48_271 + p + 11) % PRIME, 69_621, 5)
+    one, two = (uniform_of(stirred((x * 48_271 + p + 11) % PRIME, 69_621, 5)) for p in (1, 2))
+    return np.sqrt(-2 * np.log(one)) * np.cos(2 * math.pi * two)
+
+
+def normal_draws(n: Column, seed: int, key: Column, tails: Sequence[tuple[int, ...]] = ((),)) -> Column:
+    """An array of normal_draw(seed, key, i, *tail) for i from 1 to n and each tail, tail after tail for each i.
+
+    A batch of rows is drawn at once: row by row the steps of one number cost a hundred times as much.
+    """
+
+    @F.arrow_udf("array<double>")
+    def drawn(sizes: pa.Array, keys: pa.Array) -> pa.Array:
+        counts, missing = sizes.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), keys.is_null().to_numpy(zero_copy_only=False)
+        k = keys.fill_null(0).to_numpy(zero_copy_only=False)
+        columns = [_normals(k, seed, k, i, *tail) for i in range(1, int(counts.max(initial=0)) + 1) for tail in tails]
+        values = np.stack(columns, axis=1) if columns else np.zeros((len(k), 0))
+        taken = np.arange(values.shape[1]) < (counts * len(tails))[:, None]
+        offsets = np.concatenate([[0], np.cumsum(counts * len(tails))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[taken], pa.float64(), mask=np.broadcast_to(missing[:, None], values.shape)[taken]))
+
+    return drawn(n.cast("int"), key.cast("long"))
+
+
+def gamma_of(shape: Column, normal: Column) -> Column:
     """A gamma number of shape 1 and more, as the cube of a normal one (Wilson and Hilferty), no less than a tiny bit."""
-    root = 1 - 1 / (9 * shape) + normal_draw(*parts) / (3 * F.sqrt(shape))
+    root = 1 - 1 / (9 * shape) + normal / (3 * F.sqrt(shape))
     return shape * F.pow(F.greatest(root, F.lit(1e-6)), F.lit(3.0))
 
 
 def beta_draw(a: Column, b: Column, *parts: Column | int) -> Column:
     """A beta number as the share of one gamma number in two."""
-    x, y = gamma_draw(a, *parts, 3), gamma_draw(b, *parts, 4)
+    x, y = gamma_of(a, normal_draw(*parts, 3)), gamma_of(b, normal_draw(*parts, 4))
     return x / (x + y)
 
 
@@ -116,9 +152,13 @@ def thompson_choice(rows: DataFrame, arms: DataFrame, arm: str, key: str, seed:
     Arms are a catalogue: a row each, gathered into one; Spark sends it along with a plan of its own choice.
     """
     listed = arms.agg(F.array_sort(F.collect_list(F.struct(F.col(arm).alias("arm"), "wins", "n"))).alias("_arms"))
-    draw = lambda x, i: F.struct(beta_draw(x["wins"] + 1.0, x["n"] - x["wins"] + 1.0, seed, F.col(key), i + 1).alias("draw"), (-i).alias("place"), x["arm"].alias("arm"))
-    best = F.array_max(F.transform("_arms", draw))
-    return rows.crossJoin(listed).select(key, best.alias("_best")).select(key, F.col("_best.arm").alias("choice"), F.col("_best.draw").alias("draw"))
+
+    def draw(x: Column, i: Column) -> Column:
+        won, lost = gamma_of(x["wins"] + 1.0, F.get("_z", 2 * i)), gamma_of(x["n"] - x["wins"] + 1.0, F.get("_z", 2 * i + 1))
+        return F.struct((won / (won + lost)).alias("draw"), (-i).alias("place"), x["arm"].alias("arm"))
+
+    drawn = rows.select(key).crossJoin(F.broadcast(listed)).withColumn("_z", normal_draws(F.size("_arms"), seed, F.col(key), ((3,), (4,))))
+    return drawn.select(key, F.array_max(F.transform("_arms", draw)).alias("_best")).select(key, F.col("_best.arm").alias("choice"), F.col("_best.draw").alias("draw"))
 
 
 def contextual_choice(rows: DataFrame, fitted: DataFrame, policy: str, key: str, features: str, seed: int) -> DataFrame:
@@ -130,9 +170,10 @@ def contextual_choice(rows: DataFrame, fitted: DataFrame, policy: str, key: str,
     x = F.col(features)
     size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v))
     mean = lambda a: F.aggregate(F.zip_with(a["theta"], x, lambda t, v: t * v), F.lit(0.0), lambda t, v: t + v)
-    draw = lambda a, i: F.struct((mean(a) + F.sqrt(a["variance"]) * size * normal_draw(seed, F.col(key), i + 1)).alias("draw"), (-i).alias("place"), a["arm"].alias("arm"))
+    draw = lambda a, i: F.struct((mean(a) + F.sqrt(a["variance"]) * size * F.get("_z", i)).alias("draw"), (-i).alias("place"), a["arm"].alias("arm"))
     best = F.array_max(F.transform("_arms", draw))
-    return rows.join(listed, policy).select(key, best.alias("_best")).select(key, F.col("_best.arm").alias("choice"), F.col("_best.draw").alias("draw"))
+    drawn = rows.select(policy, key, features).join(F.broadcast(listed), policy).withColumn("_z", normal_draws(F.size("_arms"), seed, F.col(key)))
+    return drawn.select(key, best.alias("_best")).select(key, F.col("_best.arm").alias("choice"), F.col("_best.draw").alias("draw"))
 
 
 def linucb(rows: DataFrame, arm: str, features: Sequence[str], reward_col: str, alpha: float) -> DataFrame:
