@@ -8,7 +8,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import anomaly, ordered, scans
@@ -49,24 +51,39 @@ def confirmed_outliers(df: DataFrame, key: str, order: Sequence[str], value: str
     """
     x = F.col(value).cast("double")
 
-    def add(rows: DataFrame, w) -> DataFrame:
-        rows = rows.withColumn("_chunk", F.floor((F.col("_rn") - 1) / window))
-        chunk, whole = Window.partitionBy(key, "_frame", "_chunk"), Window.partitionBy(key, "_frame").orderBy("_rn")
-        moments = lambda part: F.struct(F.count(x).over(part).alias("n"), F.avg(x).over(part).alias("m"), (F.var_pop(x).over(part) * F.count(x).over(part)).alias("q"), F.col("_chunk").alias("chunk"))
-        rows = rows.withColumn("_to", moments(chunk.orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)))
-        rows = rows.withColumn("_from", moments(chunk.orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)))
-        return rows.withColumn("_from", F.lag("_from", window - 1).over(whole)).withColumn("_place", F.col("_rn"))
-
-    known = df.where(F.col(value).isNotNull() & ~F.isnan(x))
-    rows = ordered.over_frames(known, key, order, window, add)
-    there = F.col("_from.chunk") < F.col("_chunk")  # else the window lies in the row's own chunk
-    n_from = F.when(there, F.col("_from.n")).otherwise(0)
-    n, apart = F.col("_to.n") + n_from, F.when(there, F.col("_from.m") - F.col("_to.m")).otherwise(0.0)
-    mean = F.col("_to.m") + apart * n_from / n
-    squares = F.col("_to.q") + F.when(there, F.col("_from.q")).otherwise(0.0) + apart * apart * F.col("_to.n") * n_from / n
-    variance = squares / F.when(n > 1, n - 1)
-    z = F.when(variance > ROUNDING * mean * mean, (x - mean) / F.sqrt(variance)).otherwise(0.0)
-    rows = rows.select(*df.columns, "_place", z.alias("z"), ((n >= least) & (F.abs(z) > threshold)).alias("_out"))
+    def moments(v: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many, their mean and their squares about it, from the first of each row of the matrix on; what is not there comes first or last."""
+        n = np.cumsum(there, axis=1)
+        mean = np.cumsum(v, axis=1) / np.maximum(n, 1)
+        before = np.concatenate([np.zeros((len(v), 1)), mean[:, :-1]], axis=1)
+        return n, mean, np.cumsum(np.where(there & (n > 1), (v - before) * (v - mean), 0.0), axis=1)
+
+    def scored(table: pa.Table) -> pa.Table:
+        """Rows of a frame in order with their z and whether they are outliers."""
+        table = table.sort_by("_rn")
+        v, place = table.column("_v").to_numpy(), table.column("_rn").to_numpy() - 1
+        start = place[0] // window
+        at = place - start * window
+        cells = np.zeros((at[-1] // window + 1) * window)
+        there = np.zeros(len(cells), bool)
+        cells[at], there[at] = v, True
+        cells, there = cells.reshape(-1, window), there.reshape(-1, window)
+        to_n, to_m, to_q = (c.ravel()[at] for c in moments(cells, there))
+        ends = [np.concatenate([np.zeros(window), c[:, ::-1].ravel()])[at + 1] for c in moments(cells[:, ::-1], there[:, ::-1])]
+        from_n, from_m, from_q = (np.where((at + 1) % window > 0, c, 0.0) for c in ends)  # else the window is the row's own chunk
+        n = to_n + from_n
+        apart = np.where(from_n > 0, from_m - to_m, 0.0)
+        mean = to_m + apart * from_n / n
+        variance = (to_q + from_q + apart * apart * to_n * from_n / n) / np.maximum(n - 1, 1)
+        varies = (n > 1) & (variance > ROUNDING * mean * mean)
+        z = np.where(varies, (v - mean) / np.sqrt(np.where(varies, variance, 1.0)), 0.0)
+        return pa.table([*(table.column(c) for c in kept), pa.array(z), pa.array((n >= least) & (np.abs(z) > threshold))], names=[*kept, "z", "_out"])
+
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(x)).withColumn("_v", x)
+    kept = [*df.columns, "_rn", "_context"]
+    types = dict(df.dtypes) | {"_rn": "bigint", "_context": "boolean"}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "z double", "_out boolean"])
+    rows = ordered.over_frames(known, key, order, window, lambda dealt, w: dealt.groupBy(key, "_frame").applyInArrow(scored, schema).withColumn("_place", F.col("_rn")))
     blocked = rows.withColumn("_block", F.floor((F.col("_place") - 1) / ordered.FRAME_ROWS))  # places are known: no cuts to look for
     placed = ordered.running(blocked, key, ["_place"], [("_calm", "last", F.when(~F.col("_out"), F.col("_place")))])
     run = F.col("_place") - F.coalesce("_calm", F.lit(0))
