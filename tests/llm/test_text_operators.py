@@ -253,6 +253,23 @@ def test_word_ids_in_batches_equal_the_library(monkeypatch):
     assert not any(len(w) > tokens.LONGEST_ENTRY for w in (*found.new, *found.old))
 
 
+def test_plain_texts_are_cut_as_arrays(monkeypatch):
+    """Only texts in doubt are cut word by word; the model sees a batch's distinct words once; blocks do not show."""
+    path = public_tokenizers.path(q.WORD_VOCABULARY)
+    library, found, cut, learnt = Tokenizer.from_file(path), tokens.WordIds(path), [], []
+    split, encode_words = tokens.words, found.encode_words
+    monkeypatch.setattr(tokens, "words", lambda t: cut.append(t) or split(t))
+    monkeypatch.setattr(found, "encode_words", lambda w: learnt.extend(w) or encode_words(w))
+    texts = ["", "It's one's own; it'LL do, 'tis 42 ''s", "naïve Ωmega\u00a0it's", " \n", "x² here", "end<|endoftext|>", "'", "a" * 40 + " b'", "'re 'r 'l ll'll_x"]
+    expected = [tokens.packed(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert found.encode(texts) == expected
+    assert cut == ["x² here", "end<|endoftext|>"] and len(learnt) == len(set(learnt))
+    learnt.clear()
+    for size in (1, 7, 30):
+        monkeypatch.setattr(tokens, "BLOCK_CHARACTERS", size)
+        assert found.encode(texts) == expected and set(learnt) <= {"here", "end"}  # beside a doubtful word until now
+
+
 def test_only_doubtful_pre_tokens_go_to_the_library(monkeypatch):
     encoder, asked = tokens.Encoder(public_tokenizers.path(q.BYTE_VOCABULARY)), []
     whole = encoder.whole

@@ -25,6 +25,8 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ from .common import held, map_pieces, map_rows, text_bytes
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 WORD = re.compile(f"[^{SPACE}]+")
+WHITE = re.compile(f"[{SPACE}]")
 #: Separators that are white space for Python's split and patterns, and not for Unicode.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: The two vocabularies' own patterns; letters are word characters without digits and the low line.
@@ -47,10 +50,13 @@ REPORTED_ENTRIES = 1 << 14
 MERGED_REPORTS = 16
 CACHE_ENTRIES = 1 << 17
 WORD_ENTRIES = 1 << 17
+ODD_ENTRIES = 1 << 15
 LONGEST_ENTRY = 64
 #: Words that are encoded as one text, and text that a task encodes together, bytes; a longer text is taken alone.
 JOINED_WORDS = 200
 PIECE_BYTES = 2 << 20
+#: Characters of texts that are cut into words together, white space allowing.
+BLOCK_CHARACTERS = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -158,8 +164,6 @@ def frequent_pre_tokens(docs: DataFrame, cut, id_col: str = "doc_id", text_col:
     """
 
     def row(seen: Counter, most: int):
-        import pyarrow as pa
-
         kept = sorted(((-n, w) for w, n in seen.most_common(most) if n > 1))
         columns = [pa.array([[w for _, w in kept]], pa.list_(pa.string())), pa.array([[-n for n, _ in kept]], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, names=["words", "counts"])
@@ -213,58 +217,152 @@ def packed(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
+#: Classes of characters in the word-level pattern, a mark for doubtful ones, and characters not looked at yet.
+BLANK, LETTER, DIGIT, OTHER, DOUBT, UNSEEN = 0, 1, 2, 3, 4, 255
+#: Between texts: white space for the pattern; a text that holds it is in doubt anyway.
+BETWEEN = "\x1c"
+
+
 class WordIds:
-    """Pre-token to packed ids of a word-level vocabulary, for all pre-tokens of a batch of texts at once.
+    """Text to packed ids of a word-level vocabulary, for all words of a batch of texts at once.
 
-    Each worker learns what it meets: unknown words are joined and encoded together, and fall apart at the tokens that
-    end a word. What the last batches used is kept in two generations of bounded size.
+    Texts are joined, normalised and cut by classes of characters as arrays, their distinct words by Arrow's dictionary.
+    Words that the worker does not know are encoded together by the bare model, and fall apart at the tokens that end a
+    word; what the last batches used is kept in two generations of bounded size. Words are spelled in the byte alphabet.
+    A text that holds a doubtful character or the beginning of a special token goes pre-token by pre-token.
     """
 
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread: Spark runs a task on every core
         self.encoder, self.new, self.old = Encoder(path), {}, {}
+        self.bare = Tokenizer(self.encoder.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.odd: dict[str, bytes] = {}
+        self.spelling = dict(enumerate(self.encoder.alphabet)) | {0x0A: "\n"}
+        self.classes = np.full(0x110000, UNSEEN, np.uint8)
         vocabulary = self.encoder.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    def classes_of(self, codes: np.ndarray) -> np.ndarray:
+        found = self.classes[codes]
+        if (found == UNSEEN).any():
+            for code in np.unique(codes[found == UNSEEN]).tolist():
+                c = chr(code)
+                kind = BLANK if c.isspace() else DIGIT if c.isdecimal() else LETTER if c.isalnum() else OTHER
+                self.classes[code] = kind | DOUBT * doubtful(c)
+            found = self.classes[codes]
+        return found
+
+    def cut(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the matches of WORD_LEVEL and the stretches between them start, and which are matches."""
+        kind = self.classes_of(codes) & OTHER
+        starts = kind == DIGIT
+        starts[0] = True
+        starts[1:] |= kind[1:] != kind[:-1]
+        at = np.flatnonzero((codes == 0x27) & starts)
+        if len(at):  # 's 't 'm 'd, and 're 've 'll, where a match starts
+            padded = np.append(codes, [0, 0])
+            first, second = padded[at + 1], padded[at + 2]
+            one = np.isin(first, [*b"stmd"])
+            two = np.isin(first, [*b"rv"]) & (second == 0x65) | (first == 0x6C) & (second == 0x6C)
+            starts[at[one | two] + 1] = False
+            after = np.concatenate([at[one] + 2, at[two] + 3])
+            starts[after[after < len(codes)]] = True
+        places = np.flatnonzero(starts)
+        return places, kind[places] != BLANK
+
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        library = self.encoder.whole
+        """Ids of distinct words that are spelled in the byte alphabet."""
         texts = [" ".join(words[i : i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
-        ids = np.fromiter(chain.from_iterable(x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)), np.dtype("<u4"))
+        ids = np.fromiter(chain.from_iterable(x.ids for x in self.bare.encode_batch_fast(texts, add_special_tokens=False)), np.dtype("<u4"))
         cut = np.flatnonzero(self.ends[ids]) + 1
         if len(cut) != len(words) or (len(cut) and cut[-1] != len(ids)):  # a word that is not one word when joined: each by itself
-            return {w: packed(self.encoder.words_of(w)) for w in words}
+            return {w: packed([t.id for t in self.encoder.model.tokenize(w)]) for w in words}
         raw, edges = ids.tobytes(), (4 * np.concatenate([[0], cut])).tolist()
         return {w: raw[a:b] for w, a, b in zip(words, edges[:-1], edges[1:], strict=True)}
 
-    def learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens without white space; what holds for all of them is done to all of them at once."""
-        odd = [w for w in missing if "<|" in w]
-        if any(map(doubtful, set().union(*missing))):
-            odd += [w for w in missing if "<|" not in w and not restated(w)]
-        plain = list(missing.difference(odd))
-        normal = normal_form(" ".join(plain)).split(" ") if plain else []
-        parts = [n if n.isalpha() else WORD_LEVEL.findall(n) for n in normal]
-        ids = self.encode_words(list({x for p in parts for x in ((p,) if p.__class__ is str else p)}))
-        found = {w: packed(self.encoder.whole.encode(w, add_special_tokens=False).ids) for w in odd}
-        found.update((w, ids[p] if p.__class__ is str else b"".join([ids[x] for x in p])) for w, p in zip(plain, parts, strict=True))
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        if len(self.new) > WORD_ENTRIES:
+            self.old, self.new = self.new, {}
+        found = list(map(self.new.get, words))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        if gaps:
+            older = {w: v for i in gaps if (v := self.old.get(w := words[i])) is not None}
+            learnt = older | self.encode_words([w for i in gaps if (w := words[i]) not in older])
+            for i in gaps:
+                found[i] = learnt[words[i]]
+            self.new.update((w, v) for w, v in learnt.items() if len(w) <= LONGEST_ENTRY)
         return found
 
+    def encode_odd(self, text: str) -> bytes:
+        """A text in doubt: only pre-tokens that are in doubt themselves go to the library as they are."""
+        found = []
+        for w in words(text):
+            ids = self.odd.get(w)
+            if ids is None:
+                ids = packed(self.encoder.words_of(w))
+                if len(w) <= LONGEST_ENTRY:
+                    if len(self.odd) >= ODD_ENTRIES:
+                        self.odd.clear()
+                    self.odd[w] = ids
+            found.append(ids)
+        return b"".join(found)
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that hold nothing doubtful."""
+        whole = normal_form(BETWEEN.join(["", *texts, ""]))
+        codes, data = np.frombuffer(whole.encode("utf-32-le"), "<u4"), whole.encode()
+        places, matches = self.cut(codes)
+        between = np.flatnonzero(codes == ord(BETWEEN))
+        if len(data) == len(codes):
+            edges = np.append(places, len(data)).astype(np.int32)
+        else:
+            widths = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000).astype(np.int32)
+            edges = np.concatenate([[0], np.cumsum(widths)])[np.append(places, len(codes))].astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(edges), pa.py_buffer(data)]).filter(pa.array(matches)).dictionary_encode()
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(parts.dictionary)], parts.dictionary), b"\n")[0].as_py()  # no word holds white space
+        found = self.ids_of(joined.decode("latin-1").translate(self.spelling).split("\n") if joined else [])
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        firsts, ids = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(found), "<u4")
+        which = parts.indices.to_numpy()
+        n = lengths[which]
+        before = np.concatenate([[0], np.cumsum(n)])
+        coded = ids[np.repeat(firsts[which] - before[:-1], n) + np.arange(before[-1])].tobytes()
+        ends = (4 * before[np.searchsorted(places[matches], between)]).tolist()
+        return [coded[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.new) > WORD_ENTRIES:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        lists = [words(t) for t in texts]
-        ids = [list(map(new.get, x)) for x in lists]
-        gaps = [[i for i, v in enumerate(x) if v is None] for x in ids]
-        missing = {ws[i] for ws, g in zip(lists, gaps, strict=True) for i in g}
-        found = {w: old[w] for w in missing if w in old}
-        found |= self.learn(missing - found.keys())
-        for ws, x, g in zip(lists, ids, gaps, strict=True):
-            for i in g:
-                x[i] = found[ws[i]]
-        new.update((w, v) for w, v in found.items() if len(w) <= LONGEST_ENTRY)
-        return list(map(b"".join, ids))
+        found: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            codes = np.frombuffer(BETWEEN.join(["", *(x for _, x in held)]).encode("utf-32-le"), "<u4")
+            doubts = np.append(0, np.cumsum((self.classes_of(codes) & DOUBT) > 0))
+            edges = np.cumsum([0, *(1 + len(x) for _, x in held)])
+            odd = (np.diff(doubts[edges]) > 1).tolist()  # beyond the mark before it
+            odd = [o or "<|" in x for o, (_, x) in zip(odd, held, strict=True)]
+            plain = iter(self.encode_plain([x for o, (_, x) in zip(odd, held, strict=True) if not o]))
+            for o, (i, x) in zip(odd, held, strict=True):
+                found[i].append(self.encode_odd(x) if o else next(plain))
+            held.clear()
+
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text):  # a long text is cut at white space
+                end = m.start() if len(text) - at > BLOCK_CHARACTERS and (m := WHITE.search(text, at + BLOCK_CHARACTERS)) else len(text)
+                if held and size + end - at > BLOCK_CHARACTERS:
+                    flush()
+                    size = 0
+                held.append((i, text[at:end]))
+                size += end - at
+                at = end
+        if held:
+            flush()
+        return list(map(b"".join, found))
 
 
 def encode_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
