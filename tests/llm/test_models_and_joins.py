@@ -459,3 +459,22 @@ def test_pipeline_stages_keep_their_contract(spark, small):
     packed = corpus_pipeline.STAGES[-1][1](spark, before, small)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
     assert corpus_pipeline.run(spark, small).count() == packed.count()
+
+
+def test_buckets_meet_in_one_shuffle(spark, monkeypatch):
+    """As by aggregate and join, also where a token is common to all nodes; each n-gram and its node are shuffled once."""
+    rng = random.Random(31)
+    nodes = [(rng.getrandbits(63) - (1 << 62), sorted({7, *(rng.randrange(-300, 300) << 50 for _ in range(rng.randint(1, 9)))})) for _ in range(2500)]
+    known = spark.createDataFrame([*nodes, (5, [1 << 40])], "node long, prefix array<long>").repartition(3)
+    holders = {}
+    for node, prefix in [*nodes, (5, [1 << 40])]:
+        for token in prefix:
+            holders.setdefault(token, []).append(node)
+    expected = sorted((token, node, min(x)) for token, x in holders.items() if len(x) > 1 for node in x)
+    for part_tokens in (1 << 20, 10):
+        monkeypatch.setattr(jaccard, "PART_TOKENS", part_tokens)
+        found = jaccard.buckets_of(known)
+        assert sorted(map(tuple, found.collect())) == expected
+    plan = jaccard.buckets_of(jaccard.materialise(known, "nodes"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert jaccard.buckets_of(known.limit(0)).collect() == []

@@ -25,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,9 @@ SKETCH = 1 << 20
 SKETCH_ROW = 1 << 12
 #: Marks of a first part: where in the order its parts end, for the bound on overlaps.
 MARKS = 16
+#: Parts that n-grams of first parts are dealt into at least, and how many of them a part should hold.
+LEAST_PARTS = 256
+PART_TOKENS = 1 << 20
 #: Nodes and n-grams of one group that a task joins at a time.
 GROUP_NODES = 96
 GROUP_GRAMS = 400_000
@@ -152,6 +156,41 @@ def prepare(docs: DataFrame, classes, id_col: str, text_col: str) -> DataFrame:
     return map_pieces(text_bytes(docs, id_col, text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, n long, node long, prefix array<long>, marks array<long>", PIECE_BYTES)
 
 
+def buckets_of(known: DataFrame) -> DataFrame:
+    """(token, node, pivot) of the n-grams of first parts that several nodes have: pivot is the smallest of these nodes.
+
+    N-grams are dealt by hash into parts of bounded size and meet once. The nodes of an Arrow batch send one row of arrays to
+    a part, so that an n-gram and its node travel in 16 bytes, and nothing has to be joined back.
+    """
+    total = known.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    parts = max(LEAST_PARTS, total // PART_TOKENS)
+
+    def deal(batches):
+        for batch in batches:
+            prefix = batch.column("prefix")
+            tokens = prefix.flatten().to_numpy()
+            nodes = np.repeat(batch.column("node").to_numpy(), prefix.value_lengths().to_numpy())
+            part = (mix(tokens.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            used, counts = np.unique(part, return_counts=True)
+            edges = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+            columns = [pa.array(used), *(pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (tokens, nodes))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "tokens", "nodes"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        tokens, nodes = (pc.list_flatten(table.column(c)).to_numpy() for c in ("tokens", "nodes"))
+        order = np.lexsort((nodes, tokens))
+        tokens, nodes = tokens[order], nodes[order]
+        starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        counts = np.diff(np.append(starts, len(tokens)))
+        several = np.repeat(counts > 1, counts)
+        pivots = np.repeat(nodes[starts], counts)
+        return pa.table({"token": tokens[several], "node": nodes[several], "pivot": pivots[several]})
+
+    dealt = in_small_batches(known.select("node", "prefix")).mapInArrow(deal, "part long, tokens array<long>, nodes array<long>")
+    return dealt.groupBy("part").applyInArrow(meet, "token long, node long, pivot long")
+
+
 def may_link(parts: list[list[int]], sizes: list[int], marks: list[list[int]]) -> Union:
     """Union of the sets that may be linked, by a trie join of their first parts, of which only bucketed n-grams travel.
 
@@ -287,11 +326,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Copies are folded before anything is made of their n-grams; most of them already where they are read.
     folded = prepared.where(F.col("prefix").isNotNull()).groupBy("node").agg(F.min(id_col).alias(id_col), F.count("*").alias("_copies"), F.min(F.struct("n", "prefix", "marks")).alias("_first"))
     known = materialise(folded.select("node", id_col, "_copies", "_first.*"), "nodes")
-    tokens = known.select(F.explode("prefix").alias("token"), "node")
-    buckets = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("token", "pivot")
-    bucketed = materialise(tokens.join(buckets, "token"), "buckets")
+    bucketed = materialise(buckets_of(known), "buckets")
     sizes_of = known.select("node", "n", "marks")
     grams = bucketed.groupBy("node").agg(F.collect_list("token").alias("grams")).join(sizes_of, "node")  # a first part at most
+    grams = materialise(grams, "grams")
     stars = bucketed.where("node <> pivot").select("pivot", "node").distinct()
     stars = materialise(stars.join(known.select("node", "n"), "node").select("pivot", "node", "n"), "stars")
     chunks = F.greatest(F.ceil(F.count("*") / GROUP_NODES), F.ceil(F.sum("n") / GROUP_GRAMS)).cast("int")
