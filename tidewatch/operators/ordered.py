@@ -80,6 +80,13 @@ def in_blocks(df: DataFrame, by: str, then: str | None = None) -> DataFrame:
     return df.crossJoin(F.broadcast(sketch)).withColumn("_block", at).drop("_cuts", "_wide", "_ties")
 
 
+def _free(name: str, taken: Sequence[str]) -> str:
+    """The name, behind as many underscores as it takes not to hide one of the taken."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def _taken_over(rows: DataFrame, key: str, small: DataFrame) -> DataFrame:
     """Rows with the columns of their key and block."""
     there = small.withColumnRenamed(key, "_there_key").withColumnRenamed("_block", "_there_block")
@@ -91,10 +98,11 @@ def running(rows: DataFrame, key: str, order: Sequence[str], specs: Sequence[tup
 
     how is sum, count, min, max, last (the last value that is not null) or first (of the whole key); with before, the row
     itself does not count. The key is held as a struct, in which null equals null: rows that are dealt by it and sorted once
-    for their own block are joined where they lie.
+    for their own block are joined where they lie. Its column has a name of its own, as rows may bring any.
     """
     one = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-    at, earlier = F.struct(*order), Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    k = _free("_k", rows.columns)
+    at, earlier = F.struct(*order), Window.partitionBy(k).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     parts = []
     for name, how, column, *_ in specs:
         if how == "first":
@@ -104,18 +112,18 @@ def running(rows: DataFrame, key: str, order: Sequence[str], specs: Sequence[tup
         else:
             parts.append(one[how](column).alias(f"_p_{name}"))
     names = rows.columns
-    rows = rows.withColumn("_k", F.struct(key))
-    small = rows.groupBy("_k", "_block").agg(*parts)  # a row a key and block
+    rows = rows.withColumn(k, F.struct(key))
+    small = rows.groupBy(k, "_block").agg(*parts)  # a row a key and block
     carried = []
     for name, how, *_ in specs:
         p = F.col(f"_p_{name}")
         if how == "first":
-            carried.append(F.first(p).over(Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)).alias(f"_c_{name}"))
+            carried.append(F.first(p).over(Window.partitionBy(k).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)).alias(f"_c_{name}"))
         elif how == "last":
             carried.append(F.last(p, ignorenulls=True).over(earlier).alias(f"_c_{name}"))
         else:
             carried.append({"count": F.sum}.get(how, one.get(how))(p).over(earlier).alias(f"_c_{name}"))
-    own = Window.partitionBy("_k", "_block").orderBy(*order)
+    own = Window.partitionBy(k, "_block").orderBy(*order)
     within, made = [], []
     for name, how, column, *before in specs:
         frame = own.rowsBetween(Window.unboundedPreceding, -1 if before and before[0] else 0)
@@ -130,7 +138,7 @@ def running(rows: DataFrame, key: str, order: Sequence[str], specs: Sequence[tup
             made.append(F.coalesce(part + carry, part, carry).alias(name))
         else:
             made.append((F.least if how == "min" else F.greatest)(part, carry).alias(name))
-    joined = rows.select("*", *within).join(small.select("_k", "_block", *carried), ["_k", "_block"])
+    joined = rows.select("*", *within).join(small.select(k, "_block", *carried), [k, "_block"])
     return joined.select(*names, *made)
 
 
@@ -138,12 +146,13 @@ def numbered(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Add _rn, the place of a row among those of its key from 1, and _total, how many the key has. Rows that have places keep them."""
     if "_rn" in df.columns:
         return df
-    rows = in_blocks(df, *order[:2]).withColumn("_k", F.struct(key))
-    small = rows.groupBy("_k", "_block").agg(F.count("*").alias("_n"))
-    by_key = Window.partitionBy("_k")
+    k = _free("_k", df.columns)
+    rows = in_blocks(df, *order[:2]).withColumn(k, F.struct(key))
+    small = rows.groupBy(k, "_block").agg(F.count("*").alias("_n"))
+    by_key = Window.partitionBy(k)
     before = F.coalesce(F.sum("_n").over(by_key.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_k", "_block").orderBy(*order)))
-    joined = placed.join(small.select("_k", "_block", before.alias("_before"), F.sum("_n").over(by_key).alias("_total")), ["_k", "_block"])
+    placed = rows.withColumn("_row", F.row_number().over(Window.partitionBy(k, "_block").orderBy(*order)))
+    joined = placed.join(small.select(k, "_block", before.alias("_before"), F.sum("_n").over(by_key).alias("_total")), [k, "_block"])
     return joined.select(*df.columns, (F.col("_before") + F.col("_row")).alias("_rn"), "_total")
 
 

@@ -96,10 +96,10 @@ def watermark_replay(df: DataFrame, source: str, epoch: str, order: str, delay:
 
 
 def punctuated_watermark(df: DataFrame, source: str, epoch: str, order: str, every: int) -> DataFrame:
-    """A watermark that only moves at every n-th event of its source."""
-    counted = ordered.running(ordered.in_blocks(df, order), source, [order], [("_k", "count", F.lit(1)), ("_top", "max", F.col(epoch))])
-    marked = ordered.running(counted, source, [order], [("watermark", "max", F.when(F.col("_k") % every == 0, F.col("_top")))])
-    return marked.drop("_k", "_top", "_block")
+    """A watermark that only moves at every n-th event of its source; events that share a place count by their time, in both passes."""
+    counted = ordered.running(ordered.in_blocks(df, order), source, [order, epoch], [("_nth", "count", F.lit(1)), ("_top", "max", F.col(epoch))])
+    marked = ordered.running(counted, source, ["_nth"], [("watermark", "max", F.when(F.col("_nth") % every == 0, F.col("_top")))])
+    return marked.drop("_nth", "_top", "_block")
 
 
 def late_policy(replayed: DataFrame, allowed: int) -> tuple[DataFrame, DataFrame]:
